@@ -17,12 +17,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import materialize, parts
 
 STEP = 256
 BLOCK = 1 << 17
 #: Pieces that a worker remembers, together with their ids.
-MEMORY = 400_000
+MEMORY = 800_000
 
 
 def code_lengths(counts, limit: int):
@@ -133,16 +133,19 @@ class _Pieces:
         self.tokenizer.encode_special_tokens = True
         self.split, self.known = splitter(pattern), {}
 
-    def learn(self, pieces) -> None:
-        import numpy as np
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts; new pieces of all of them are encoded together."""
+        from array import array
 
-        known = self.known
-        if new := [x for x in dict.fromkeys(pieces) if x not in known]:
+        split, known = [self.split(x) for x in texts], self.known
+        new = list(set().union(*split).difference(known))
+        if new:
             if len(known) + len(new) > MEMORY:
                 known.clear()
-                new = list(dict.fromkeys(pieces))
+                new = list(set().union(*split))
             for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
+                known[x] = array("I", e.ids).tobytes()
+        return [b"".join(map(known.__getitem__, x)) for x in split]
 
 
 def _pieces(spec, pattern: str) -> _Pieces:
@@ -153,83 +156,76 @@ def _pieces(spec, pattern: str) -> _Pieces:
     return _TOKENIZERS[key]
 
 
-def id_counts(docs: DataFrame, spec, pattern: str, end_id: int, text_col: str) -> DataFrame:
-    """``(id, n)`` over all documents, each ended by ``end_id``. Pieces are counted, then encoded once."""
+def encoded(docs: DataFrame, spec, pattern: str, end_id: int, wide: bool, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, ids)`` of whole texts, each ended by ``end_id``, and rows with each task's id counts in ``seen``, ``times``.
 
-    def work(batches: Iterator) -> Iterator:
-        from collections import Counter
+    ``ids`` holds the low bytes of all ids, then the next bytes, of two or four
+    planes; a row of counts has no ids.
+    """
+    kind = "<u4" if wide else "<u2"
 
+    def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        own, total = _pieces(spec, pattern), np.zeros(0, np.int64)
-
-        def flush(seen):
-            nonlocal total
-            pieces = list(seen)
-            for at in range(0, len(pieces), 20_000):
-                some = pieces[at : at + 20_000]
-                own.learn(some)
-                coded = [own.known[x] for x in some]
-                ids = np.frombuffer(b"".join(coded), "<u4")
-                times = np.repeat([seen[x] for x in some], [len(x) // 4 for x in coded])
-                now = np.bincount(ids, times, minlength=len(total)).astype(np.int64)
+        own, end, total = _pieces(spec, pattern), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
+        names = ["doc_id", "ids", "seen", "times"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                coded = [x + end for x in own.encode([x or "" for x in some.column("text").to_pylist()])]
+                flat = np.frombuffer(b"".join(coded), "<u4")
+                now = np.bincount(flat, minlength=len(total))
                 now[: len(total)] += total
                 total = now
-
-        seen, ended = Counter(), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ended += 1
-                if text:
-                    seen.update(own.split(text))
-            if len(seen) > 200_000:
-                flush(seen)
-                seen.clear()
-        flush(seen)
-        if ended:
-            total = np.pad(total, (0, max(0, end_id + 1 - len(total))))
-            total[end_id] += ended
+                planes = [np.frombuffer(x, "<u4").astype(kind).view(np.uint8).reshape(len(x) // 4, -1).T.tobytes() for x in coded]
+                n = len(planes)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(planes, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], names)
         ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([ids], pa.list_(pa.int32())), pa.array([total[ids]], pa.list_(pa.int64()))], names)
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(work, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return frame.mapInArrow(work, "doc_id long, ids binary, seen array<int>, times array<long>")
 
 
 def write_tokens(docs: DataFrame, path: str, spec_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", limit: int = 16) -> None:
     """Encode whole texts (null: empty), end each with ``end_id`` and write the files under ``path``.
 
-    Ascending ids, null first; rows that repeat an id follow each other in text
-    order. Only the id counts, at most one for each vocabulary entry, reach the
-    driver.
+    Ascending ids, null first; rows that repeat an id follow each other in the
+    order of their ids' bytes. Texts are tokenized once: their ids wait in the
+    shared folder until all counts are known. Only the id counts, at most one for
+    each vocabulary entry, reach the driver.
     """
     import numpy as np
+    from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     with open(spec_path, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
-    counted = sorted((r["id"], r["n"]) for r in id_counts(docs, spec, pattern, end_id, text_col).collect())
-    if not counted:
-        counted = [(end_id, 1)]
+        text = f.read()
+    wide = max(end_id, Tokenizer.from_str(text).get_vocab_size()) >= 1 << 16
+    spec = spark.sparkContext.broadcast(text)
+    held = materialize(encoded(docs, spec, pattern, end_id, wide, id_col, text_col), "ids", "zstd")
+    counts = held.where(F.col("seen").isNotNull()).select(F.explode(F.arrays_zip("seen", "times")).alias("x")).groupBy(F.col("x.seen").alias("id")).agg(F.sum("x.times").alias("n"))
+    counted = sorted((r["id"], r["n"]) for r in counts.collect()) or [(end_id, 1)]
     ids = np.array([x for x, _ in counted], np.int64)
     lengths = code_lengths([n for _, n in counted], max(limit, int(len(ids) - 1).bit_length()))
     spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, lengths, strict=True)], "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
     length_of, code_of = np.zeros(int(ids.max()) + 1, np.int64), np.zeros(int(ids.max()) + 1, np.int64)
     length_of[ids], code_of[ids] = lengths, canonical(lengths)
+    kind = "<u4" if wide else "<u2"
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        own, end = _pieces(spec, pattern), np.array([end_id], "<u4").tobytes()
         part, block, start = TaskContext.get().partitionId(), 0, 0
+        width = np.dtype(kind).itemsize
 
         def flush(doc_ids, coded):
             nonlocal block, start
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            counts = np.array([len(x) // 4 for x in coded], np.int64)
+            ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind)[:, 0] for x in coded])
+            counts = np.array([len(x) // width for x in coded], np.int64)
             lens = length_of[ids]
             cum = np.cumsum(lens)
             ends = np.cumsum(counts)
@@ -247,24 +243,17 @@ def write_tokens(docs: DataFrame, path: str, spec_path: str, pattern: str, end_i
 
         doc_ids, coded, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pieces = own.split(text or "")
-                try:
-                    one = b"".join(map(own.known.__getitem__, pieces)) + end
-                except KeyError:
-                    own.learn(pieces)
-                    one = b"".join(map(own.known.__getitem__, pieces)) + end
+            for doc_id, one in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 doc_ids.append(doc_id)
                 coded.append(one)
-                size += len(one) // 4
+                size += len(one) // width
                 if size >= BLOCK:
                     yield flush(doc_ids, coded)
                     doc_ids, coded, size = [], [], 0
         if doc_ids:
             yield flush(doc_ids, coded)
 
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = frame.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = held.where(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", "ids")
     dealt.mapInArrow(work, "part int, block int, start long, doc_ids array<long>, counts array<int>, marks array<long>, payload binary").write.parquet(f"{path}/blocks")
 
 
