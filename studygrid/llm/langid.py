@@ -102,14 +102,17 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_row
     """
     frame = docs.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= sample_chars) & (F.col(text_col).rlike(r"\p{L}")))
     frame = frame.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"), F.col(text_col).alias("text"))
-    languages = frame.select("lang").distinct().count()
-    if not languages:
+    # At most so many languages get rows; of each, a threshold on the draw leaves about four times its share to rank.
+    counts = sorted((r["lang"], r["count"]) for r in frame.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample_rows).collect())
+    if not counts:
         return None
-    each = max(1, sample_rows // languages)
+    each = max(1, sample_rows // len(counts))
+    limits = frame.sparkSession.createDataFrame([(x, min(1.0, (4 * each + 64) / n)) for x, n in counts], "lang string, below double")
     turn = Window.partitionBy("lang").orderBy("draw", "th")
-    drawn = frame.select("lang", "draw", F.xxhash64("text").alias("th")).withColumn("at", F.row_number().over(turn)).where(F.col("at") <= each).where(F.col("lang").isNotNull())
-    drawn = drawn.select("lang", "draw", "th").distinct().limit(sample_rows)
-    rows = frame.withColumn("th", F.xxhash64("text")).join(F.broadcast(drawn), ["lang", "draw", "th"]).select("lang", "draw", "th", "text").dropDuplicates(["lang", "draw", "th"]).limit(sample_rows).collect()
+    drawn = frame.select("lang", "draw", F.xxhash64("text").alias("th")).join(F.broadcast(limits), "lang")
+    drawn = drawn.where((F.col("draw") / float(2**64) + 0.5) <= F.col("below")).withColumn("at", F.row_number().over(turn)).where(F.col("at") <= each)
+    drawn = drawn.select("lang", "draw", "th").distinct()
+    rows = frame.withColumn("th", F.xxhash64("text")).join(F.broadcast(drawn), ["lang", "draw", "th"]).select("lang", "draw", "th", "text").dropDuplicates(["lang", "draw", "th"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["draw"], r["th"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
