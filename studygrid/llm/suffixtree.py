@@ -26,11 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialize, parts, strings
 
 PREFIX = 8
-GROUP = 100_000
+GROUP = 20_000
 #: Rows that a worker takes from a stream of groups at a time.
 CHUNK = 30_000
-#: A side of a join of fewer bytes is broadcast; others are shuffled.
-BROADCAST_BYTES = 32 << 20
 
 
 def _powers(n: int, cache: dict = {}):  # noqa: B006
@@ -114,13 +112,6 @@ def _read(docs: DataFrame, window: int, width: int) -> DataFrame:
     return docs.mapInArrow(work, "id long, th long, n_words long, sha string, anchors array<struct<h:long,at:int,lo:int,hi:int>>")
 
 
-def _with_text(docs: DataFrame, rows: DataFrame, row_bytes: int) -> DataFrame:
-    """``docs`` joined with a table of (id, th), which is broadcast if its counted size is small."""
-    rows = materialize(rows, "places")
-    small = rows.count() * row_bytes < BROADCAST_BYTES
-    return docs.join(F.broadcast(rows) if small else rows, ["id", "th"])
-
-
 def _suffixes(joined: DataFrame, window: int) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -292,11 +283,11 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     places = own.join(shared, F.col("p.h") == F.col("h")).select("id", "th", "p", (F.col("n") > group).alias("frequent"))
     places = materialize(places, "anchors")
     grouped = lambda rows: rows.groupBy("id", "th").agg(F.collect_list("p").alias("places"))
-    ranges = _grown(_suffixes(_with_text(frame, grouped(places.where("not frequent")), 400), window), window, width)
+    ranges = _grown(_suffixes(frame.join(grouped(places.where("not frequent")), ["id", "th"]), window), window, width)
     if shared.where(F.col("n") > group).limit(1).count():
-        ranges = ranges.unionByName(_whole_windows(_with_text(frame, grouped(places.where("frequent")), 400), window))
+        ranges = ranges.unionByName(_whole_windows(frame.join(grouped(places.where("frequent")), ["id", "th"]), window))
     ranges = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    cut = _cut(_with_text(frame, ranges, 200), window).dropDuplicates(["id", "th"])
+    cut = _cut(frame.join(ranges, ["id", "th"]), window).dropDuplicates(["id", "th"])
     rows = read.select("id", "th", "n_words", "sha").join(least, "sha").withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_words") >= window))
     if digest:
         rows = rows.join(cut.drop("kept"), ["id", "th"], "left")
