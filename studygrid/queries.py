@@ -1,6 +1,356 @@
-"""Registered queries of the analytics operators, and their SQL."""
+"""Registered queries of the analytics operators over the driver's tables, and their SQL.
+
+Order lines stand for members, orders for groups, quantity for the weight.
+Doubles are rounded on both sides, as sums are added up in different orders.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from studygrid.functions import values as v
+from studygrid.operators import agreement, compare, groups, ledger, regression, rules
+from studygrid.plans.reports import agreement_report
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+
+
+@query("SELECT l_orderkey, round(sum(sqrt(l_extendedprice) * l_quantity) / sum(l_quantity), 6) AS root_price FROM lineitem GROUP BY l_orderkey")
+def weighted_mean_per_group(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("root_price", F.sqrt("l_extendedprice"))
+    return rounded(groups.weighted_mean_per_group(rows, "root_price", "l_quantity", "l_orderkey"), "root_price")
+
+
+def _trials(spark, d):
+    per = groups.weighted_mean_per_group(table(spark, d, "lineitem"), "l_discount", "l_quantity", "l_orderkey")
+    size = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("total_n"))
+    return per.join(size, "l_orderkey")
+
+
+TRIALS = "t AS (SELECT l_orderkey, sum(l_discount * l_quantity) / sum(l_quantity) AS x, sum(l_quantity) AS w FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"WITH {TRIALS}, m AS (SELECT sum(x * w) / sum(w) AS m, count(*) AS n, sum(w) AS sw FROM t) SELECT round(max(m), 8) AS mean, round(sqrt(sum(w * w * (x - m) * (x - m)) / ((max(n) - 1) / CAST(max(n) AS DOUBLE) * max(sw) * max(sw))), 8) AS se, max(n) AS n FROM t, m")
+def weighted_mean_across_groups(spark, d):
+    return rounded(groups.weighted_mean_across_groups(_trials(spark, d), "l_discount", "total_n", interval=False), "mean", "se", digits=8)
+
+
+@query(f"WITH {TRIALS} SELECT round(avg(x), 8) AS mean, round(stddev_samp(x) / sqrt(count(x)), 8) AS se, count(x) AS n FROM t")
+def simple_mean_across_groups(spark, d):
+    return rounded(groups.simple_mean_across_groups(_trials(spark, d), "l_discount", interval=False), "mean", "se", digits=8)
+
+
+@query("SELECT round(sqrt(sum((l_quantity - 1) * l_tax * l_tax) / sum(l_quantity - 1)), 8) AS pooled_sd, count(*) AS n_members, count(DISTINCT l_orderkey) AS n_groups FROM lineitem WHERE l_quantity > 1")
+def pooled_sd(spark, d):
+    return rounded(groups.pooled_sd(table(spark, d, "lineitem"), "l_tax", "l_quantity", "l_orderkey"), "pooled_sd", digits=8)
+
+
+def flag():
+    return F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag") == "R")
+
+
+FLAG_SQL = "CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag = 'R' END"
+
+
+@query(f"SELECT l_orderkey, coalesce(bool_or({FLAG_SQL}), false) AS flag FROM lineitem GROUP BY l_orderkey")
+def boolean_any_true(spark, d):
+    return groups.boolean_per_group(table(spark, d, "lineitem").withColumn("flag", flag()), "flag", "l_orderkey")
+
+
+@query(f"SELECT l_orderkey, CASE WHEN count(f) > 0 THEN sum(CAST(f AS INT)) * 2 >= count(f) END AS flag FROM (SELECT l_orderkey, {FLAG_SQL} AS f FROM lineitem) GROUP BY l_orderkey")
+def boolean_modal(spark, d):
+    return groups.boolean_per_group(table(spark, d, "lineitem").withColumn("flag", flag()), "flag", "l_orderkey", "modal")
+
+
+@query(f"SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN 'ambiguous' WHEN bool_or(f) THEN 'reported' ELSE 'not_reported' END AS status FROM (SELECT l_orderkey, {FLAG_SQL} IS NOT NULL AND l_tax > 0.04 AS f FROM lineitem) GROUP BY l_orderkey")
+def reporting_class(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("field", F.when(flag().isNotNull() & (F.col("l_tax") > 0.04), 1))
+    return groups.reporting_class(rows, "field", "l_orderkey", rows.where("l_orderkey % 10 = 0").select("l_orderkey"))
+
+
+@query("SELECT l_orderkey, CAST(max(CAST(l_tax > 0.06 AS INT)) + max(CAST(l_discount > 0.08 AS INT)) + max(CAST(l_quantity > 45 OR l_returnflag = 'A' AS INT)) AS INT) AS score FROM lineitem GROUP BY l_orderkey")
+def composite_score(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", *[F.when(c, 1).alias(n) for n, c in (("a", F.col("l_tax") > 0.06), ("b", F.col("l_discount") > 0.08), ("c", F.col("l_quantity") > 45), ("e", F.col("l_returnflag") == "A"))])
+    return groups.composite_score(rows, "l_orderkey", {"one": ["a"], "two": ["b"], "three": ["c", "e"]})
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN l_linenumber <> 3 THEN sqrt(l_tax + 1) END AS tax, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 4 END AS code FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS n_members, sum(l_quantity) AS total_weight, round(sum(tax * l_quantity) / sum(CASE WHEN tax IS NOT NULL THEN l_quantity END), 6) AS tax, count(*) FILTER (WHERE tax IS NULL) AS tax_n_missing, list_sort(list_distinct(list(code))) AS codes FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, n_members, total_weight, tax, tax_n_missing, CASE WHEN len(codes) = 1 THEN codes[1] END AS code,
+CASE WHEN len(codes) = 1 THEN list_transform(codes, lambda c: CASE c WHEN 1 THEN 'Primary' WHEN 2 THEN 'Secondary' ELSE 'code ' || c END)[1] ELSE 'Mixed: ' || array_to_string(list_transform(codes, lambda c: CASE c WHEN 1 THEN 'Primary' WHEN 2 THEN 'Secondary' ELSE 'code ' || c END), ' / ') END AS label FROM g""")
+def group_roll_up(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("tax", F.when(F.col("l_linenumber") != 3, F.sqrt(F.col("l_tax") + 1))).withColumn("code", F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 4 END"))
+    return rounded(groups.roll_up(rows, "l_orderkey", "l_quantity", ["tax"], "code", {1: "Primary", 2: "Secondary", 3: "Community"}), "tax")
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
+def crosstab_counts(spark, d):
+    return groups.crosstab(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("SELECT o_orderpriority, round(100 * coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 0) / sum(o_totalprice), 6) AS \"F\", round(100 * coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 0) / sum(o_totalprice), 6) AS \"O\", round(100 * coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 0) / sum(o_totalprice), 6) AS \"P\" FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1")
+def crosstab_weighted_percent(spark, d):
+    rows = table(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "O", "P"))
+    return rounded(groups.crosstab(rows, "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "o_totalprice", percent=True), "F", "O", "P")
+
+
+@query("WITH c AS (SELECT l_linenumber AS s, count(*) AS n, sum(l_quantity) AS w FROM lineitem GROUP BY 1) SELECT r AS score, coalesce(n, 0) AS n, coalesce(round(100 * w / (SELECT sum(w) FROM c), 6), 0.0) AS share FROM range(10) t(r) LEFT JOIN c ON r = s")
+def dense_distribution(spark, d):
+    return rounded(groups.dense_distribution(table(spark, d, "lineitem"), "l_linenumber", "l_quantity", 9), "share")
+
+
+@query("SELECT 'c_custkey' AS \"column\", count(*) FILTER (WHERE x % 7 = 0) AS n_null, round(100.0 * count(*) FILTER (WHERE x % 7 = 0) / count(*), 6) AS pct_null FROM (SELECT c_custkey AS x FROM customer) UNION ALL SELECT 'c_name', 0, 0.0")
+def null_profile(spark, d):
+    rows = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("c_custkey"), "c_name")
+    return rounded(groups.null_profile(rows), "pct_null")
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem GROUP BY 1")
+def quartiles(spark, d):
+    return rounded(groups.quartiles(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag"), "q1", "median", "q3", digits=4)
+
+
+@query("SELECT l_suppkey, sum(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 ELSE 0 END) AS score FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_weighted_groups(spark, d):
+    return groups.top_groups(table(spark, d, "lineitem"), "l_suppkey", F.expr("CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 ELSE 0 END"), 5)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 100 + sum(CAST(l_quantity > 25 AS INT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) END AS number FROM lineitem")
+def running_number(spark, d):
+    return groups.running_number(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_quantity") > 25, F.lit(100)).select("l_orderkey", "l_linenumber", "number")
+
+
+PAIRS_SQL = "p AS (SELECT l_shipmode AS field, a, b FROM (SELECT 'm' || (l_linenumber % 3) AS l_shipmode, CASE WHEN l_quantity > 20 THEN l_returnflag ELSE 'N' END AS a, CASE WHEN l_tax > 0.01 THEN l_returnflag ELSE 'A' END AS b FROM lineitem))"
+
+
+def _rated(spark, d):
+    return table(spark, d, "lineitem").select(
+        F.concat(F.lit("m"), (F.col("l_linenumber") % 3).cast("string")).alias("field"),
+        F.when(F.col("l_quantity") > 20, F.col("l_returnflag")).otherwise("N").alias("a"),
+        F.when(F.col("l_tax") > 0.01, F.col("l_returnflag")).otherwise("A").alias("b"),
+    )
+
+
+@query(f"""WITH {PAIRS_SQL}, n AS (SELECT field, count(*) AS n, avg(CAST(a = b AS INT)) AS po FROM p GROUP BY 1),
+c AS (SELECT field, cat, sum(x) AS na, sum(y) AS nb FROM (SELECT field, a AS cat, 1 AS x, 0 AS y FROM p UNION ALL SELECT field, b, 0, 1 FROM p) GROUP BY 1, 2),
+e AS (SELECT c.field, sum((na + nb) / (2.0 * n) * (1 - (na + nb) / (2.0 * n))) / (count(*) - 1) AS pe, sum(CAST(na AS DOUBLE) * nb) / (max(n) * max(n)) AS pk FROM c JOIN n ON c.field = n.field GROUP BY 1)
+SELECT n.field, n, round(po, 6) AS percent_agreement, round((po - pe) / (1 - pe), 6) AS ac1, round((po - pk) / (1 - pk), 6) AS kappa FROM n JOIN e ON n.field = e.field""")
+def agreement_categorical(spark, d):
+    return rounded(agreement.categorical(_rated(spark, d)), "percent_agreement", "ac1", "kappa")
+
+
+@query("""WITH p AS (SELECT 'f' || (l_linenumber % 2) AS field, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity END AS a, CASE WHEN l_orderkey % 4 <> 0 THEN l_quantity + 10 * l_tax END AS b FROM lineitem),
+f AS (SELECT field, a, b, (a + b) / 2 AS s FROM p WHERE a IS NOT NULL AND b IS NOT NULL),
+g AS (SELECT field, count(*) AS n, avg(s) AS g, avg(a) AS ma, avg(b) AS mb FROM f GROUP BY 1),
+q AS (SELECT f.field, max(n) AS n, 2 * sum((s - g) * (s - g)) AS subj, max(n) * (max((ma - g) * (ma - g)) + max((mb - g) * (mb - g))) AS rater, sum((a - g) * (a - g) + (b - g) * (b - g)) AS total FROM f JOIN g ON f.field = g.field GROUP BY 1),
+m AS (SELECT field, n, subj / (n - 1) AS bms, rater AS jms, (total - subj - rater) / (n - 1) AS ems FROM q),
+c AS (SELECT field, count(*) FILTER (WHERE a IS NULL AND b IS NULL) * 1.0 / count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS nc FROM p GROUP BY 1),
+s AS (SELECT field, avg(a - b) AS md, stddev_samp(a - b) AS sd FROM f GROUP BY 1)
+SELECT m.field, n, round((bms - ems) / (bms + ems + 2 * (jms - ems) / n), 6) AS icc, round(nc, 6) AS na_concordance, round(md, 6) AS mean_diff, round(sd, 6) AS sd_diff, round(md - 1.96 * sd, 6) AS lower, round(md + 1.96 * sd, 6) AS upper
+FROM m JOIN c ON m.field = c.field JOIN s ON m.field = s.field""")
+def agreement_numerical(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.concat(F.lit("f"), (F.col("l_linenumber") % 2).cast("string")).alias("field"),
+        F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity")).alias("a"),
+        F.when(F.col("l_orderkey") % 4 != 0, F.col("l_quantity") + 10 * F.col("l_tax")).alias("b"),
+    )
+    return rounded(agreement.numerical(rows), "icc", "na_concordance", "mean_diff", "sd_diff", "lower", "upper")
+
+
+@query("""WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(p_type || ' ' || p_name, ' ')) AS b FROM part)
+SELECT p_partkey, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS f1, round(len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM w""")
+def token_f1(spark, d):
+    rows = table(spark, d, "part").withColumn("both", F.concat_ws(" ", "p_type", "p_name"))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    return rounded(rows.select("p_partkey", agreement.token_f1(F.col("p_name"), F.col("both")).alias("f1"), agreement.jaccard(words("p_name"), words("both")).alias("jaccard")), "f1", "jaccard")
+
+
+@query("SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / (count(*) - 2) / regr_sxx(l_extendedprice, l_quantity)), 6) AS se FROM lineitem")
+def ols_one(spark, d):
+    return rounded(rounded(regression.fit_one(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity").drop("t"), "slope", "se"), "intercept", digits=4)
+
+
+@query("""WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS ma, avg(l_tax) AS mb, var_pop(l_quantity) AS aa, var_pop(l_tax) AS bb, covar_pop(l_quantity, l_tax) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_tax, l_extendedprice) AS yb FROM lineitem),
+c AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS a1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS b1 FROM s)
+SELECT n, round(my - a1 * ma - b1 * mb, 3) AS intercept, round(a1, 5) AS slope_a, round(b1, 3) AS slope_b FROM c""")
+def ols_two(spark, d):
+    return rounded(rounded(regression.fit_two(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "l_tax"), "slope_a", digits=5), "intercept", "slope_b", digits=3)
+
+
+@query("""WITH s AS (SELECT count(*) AS n, avg(o_orderkey) AS mx, regr_slope(o_totalprice, o_orderkey) AS b, regr_intercept(o_totalprice, o_orderkey) AS a, regr_sxx(o_totalprice, o_orderkey) AS sxx, regr_syy(o_totalprice, o_orderkey) - regr_slope(o_totalprice, o_orderkey) * regr_sxy(o_totalprice, o_orderkey) AS sse FROM orders),
+h AS (SELECT o_orderkey, n, sse, o_totalprice - a - b * o_orderkey AS r, 1.0 / n + (o_orderkey - mx) * (o_orderkey - mx) / sxx AS h FROM orders, s)
+SELECT o_orderkey, round(r * r * h / (2 * sse / (n - 2) * (1 - h) * (1 - h)), 9) AS cooks, r * r * h / (2 * sse / (n - 2) * (1 - h) * (1 - h)) > 4.0 / n AS influential FROM h""")
+def cooks_distance(spark, d):
+    return rounded(regression.cooks_distance(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "cooks", "influential"), "cooks", digits=9)
+
+
+@query("SELECT round(1 / (1 - sum(l_quantity * l_tax) * sum(l_quantity * l_tax) / (sum(l_quantity * l_quantity) * sum(l_tax * l_tax))), 6) AS vif FROM lineitem")
+def vif_pair(spark, d):
+    return rounded(regression.vif_pair(table(spark, d, "lineitem"), "l_quantity", "l_tax"), "vif")
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
+def spearman(spark, d):
+    return rounded(regression.spearman(table(spark, d, "lineitem"), "l_quantity", "l_discount").select("n", "rho"), "rho")
+
+
+@query("SELECT count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def pearson(spark, d):
+    return rounded(regression.pearson(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select("n", "r"), "r")
+
+
+@query("""WITH c AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS k FROM orders GROUP BY 1), p AS (SELECT *, k * 1.0 / n AS p, 1.959963984540054 AS z FROM c)
+SELECT o_orderpriority, round(p, 6) AS share, round((p + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)), 6) AS low, round((p + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)), 6) AS high FROM p""")
+def wilson_interval(spark, d):
+    c = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k"))
+    return rounded(c.select("o_orderpriority", regression.wilson(F.col("k"), F.col("n")).alias("w")).select("o_orderpriority", "w.*"), "share", "low", "high")
+
+
+RECORDS_SQL = "r AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2)"
+
+
+def _runs(spark, d):
+    rows = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"), F.max("l_quantity").alias("l_quantity"))
+    keys, fields = ["l_orderkey", "l_linenumber"], ["l_returnflag", "l_linestatus"]
+    a = compare.long_form(rows.where("l_orderkey % 11 <> 0 and not (l_orderkey % 7 = 0 and l_linenumber = 2)"), keys, fields)
+    b = compare.long_form(rows.where("l_orderkey % 13 <> 0").withColumn("l_returnflag", F.expr("CASE WHEN l_quantity > 30 THEN 'X' ELSE l_returnflag END")), keys, fields)
+    return a, b
+
+
+@query(f"""WITH {RECORDS_SQL},
+a AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM r WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 2)),
+b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 30 THEN 'X' ELSE l_returnflag END AS l_returnflag, l_linestatus FROM r WHERE l_orderkey % 13 <> 0),
+pa AS (SELECT DISTINCT l_orderkey FROM a), pb AS (SELECT DISTINCT l_orderkey FROM b)
+SELECT coalesce(pa.l_orderkey, pb.l_orderkey) AS l_orderkey, NULL AS l_linenumber, '_status' AS field, CASE WHEN pa.l_orderkey IS NULL THEN 'missing' ELSE 'present' END AS value_a, CASE WHEN pb.l_orderkey IS NULL THEN 'missing' ELSE 'present' END AS value_b FROM pa FULL JOIN pb ON pa.l_orderkey = pb.l_orderkey WHERE pa.l_orderkey IS NULL OR pb.l_orderkey IS NULL
+UNION ALL SELECT coalesce(a.l_orderkey, b.l_orderkey), CAST(coalesce(a.l_linenumber, b.l_linenumber) AS VARCHAR), '_status', CASE WHEN a.l_orderkey IS NULL THEN 'missing' ELSE 'present' END, CASE WHEN b.l_orderkey IS NULL THEN 'missing' ELSE 'present' END
+  FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE (a.l_orderkey IS NULL OR b.l_orderkey IS NULL) AND coalesce(a.l_orderkey, b.l_orderkey) IN (SELECT l_orderkey FROM pa INTERSECT SELECT l_orderkey FROM pb)
+UNION ALL SELECT a.l_orderkey, CAST(a.l_linenumber AS VARCHAR), 'l_returnflag', a.l_returnflag, b.l_returnflag FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_returnflag IS DISTINCT FROM b.l_returnflag
+UNION ALL SELECT a.l_orderkey, CAST(a.l_linenumber AS VARCHAR), 'l_linestatus', a.l_linestatus, b.l_linestatus FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_linestatus IS DISTINCT FROM b.l_linestatus""")
+def diff_runs(spark, d):
+    return compare.diff_runs(*_runs(spark, d), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS value_a, CASE WHEN o_totalprice > 100000 THEN 'P' ELSE o_orderstatus END AS value_b FROM orders WHERE o_totalprice > 100000 AND o_orderstatus <> 'P'")
+def diff_common(spark, d):
+    a = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    b = table(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_totalprice > 100000 THEN 'P' ELSE o_orderstatus END").alias("o_orderstatus"), "o_orderpriority")
+    return compare.diff_common(a, b, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+RULES = [rules.Rule("l_quantity", "range", low=5, high=45), rules.Rule("l_returnflag", "enum", allowed=("A", "N")), rules.Rule("l_tax", "order", other="l_discount"), rules.Rule("l_extendedprice", "integer")]
+FINDINGS_SQL = """f AS (SELECT CAST(l_orderkey AS VARCHAR) AS paper_id, CAST(l_linenumber AS VARCHAR) AS arm, 'ERROR' AS severity, 'range_violation' AS category FROM lineitem WHERE l_quantity < 5 OR l_quantity > 45
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), 'ERROR', 'type_enum' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), 'WARNING', 'range_order' FROM lineitem WHERE l_tax > l_discount
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), 'WARNING', 'type_integer' FROM lineitem WHERE l_extendedprice <> floor(l_extendedprice))"""
+
+
+def _findings(spark, d):
+    return rules.validate(table(spark, d, "lineitem"), RULES, "l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT * FROM f")
+def findings(spark, d):
+    return _findings(spark, d).select("paper_id", "arm", "severity", "category")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT severity, category, count(*) AS n, count(DISTINCT paper_id) AS papers FROM f GROUP BY 1, 2")
+def finding_summary(spark, d):
+    return rules.summary(_findings(spark, d))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT paper_id, sum(CASE severity WHEN 'ERROR' THEN 3 WHEN 'WARNING' THEN 1 ELSE 0 END) AS score FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def worst_papers(spark, d):
+    return rules.worst_papers(_findings(spark, d))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT paper_id, count(*) AS errors FROM f WHERE severity = 'ERROR' GROUP BY 1 HAVING count(*) >= 5")
+def crowded_papers(spark, d):
+    return rules.crowded(_findings(spark, d))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS paper_id FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) NOT IN (SELECT paper_id FROM f)")
+def clean_papers(spark, d):
+    return rules.clean_papers(table(spark, d, "lineitem"), _findings(spark, d), "l_orderkey")
+
+
+def _ledger(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("paper_id"), F.lit("c").alias("category"), F.col("o_orderpriority").alias("message"), F.lit("ERROR").alias("severity"), "o_orderkey", "o_orderstatus")
+    old = o.where("o_orderkey % 3 <> 0").withColumn("status", F.expr("CASE WHEN o_orderstatus = 'F' THEN 'accepted' ELSE 'open' END"))
+    return old, o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 5 <> 0")
+
+
+LEDGER_SQL = """l AS (SELECT CAST(o_orderkey AS VARCHAR) AS paper_id, 'c' AS category, o_orderpriority AS message, 'ERROR' AS severity,
+CASE WHEN o_orderkey % 3 <> 0 AND o_orderstatus = 'F' THEN 'accepted' ELSE 'open' END AS status FROM orders
+WHERE (o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 0) AND NOT (o_orderkey % 3 <> 0 AND o_orderstatus <> 'F' AND o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0))"""
+
+
+@query(f"WITH {LEDGER_SQL} SELECT * FROM l")
+def ledger_sync(spark, d):
+    return ledger.sync(*_ledger(spark, d))
+
+
+@query(f"WITH {LEDGER_SQL} SELECT severity, count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'accepted') AS accepted, 0 AS rejected, 0 AS fixed, count(DISTINCT CASE WHEN status = 'open' THEN paper_id END) AS blocking_papers FROM l GROUP BY 1")
+def ledger_stats(spark, d):
+    return ledger.stats(ledger.sync(*_ledger(spark, d)))
+
+
+@query(f"WITH {LEDGER_SQL} SELECT paper_id, category, message, severity, CASE WHEN status = 'open' AND CAST(paper_id AS BIGINT) % 2 = 0 THEN 'fixed' ELSE status END AS status FROM l")
+def ledger_resolve(spark, d):
+    now = ledger.sync(*_ledger(spark, d))
+    decided = now.select(*ledger.KEY, F.when(F.col("paper_id").cast("long") % 2 == 0, "fixed").otherwise("unclear").alias("decision"))
+    return ledger.resolve(now, decided)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 1000 AND o_totalprice <= 50000 THEN 'low' WHEN o_totalprice > 50000 AND o_totalprice <= 150000 THEN 'middle' WHEN o_totalprice > 150000 AND o_totalprice <= 300000 THEN 'high' END AS bucket FROM orders")
+def right_closed_buckets(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", v.bucket(F.col("o_totalprice"), [1000, 50000, 150000, 300000], ["low", "middle", "high"]).alias("bucket"))
+
+
+@query("SELECT o_orderkey, CASE WHEN regexp_matches(lower(o_orderpriority), 'urgent|high') THEN 'first' WHEN regexp_matches(lower(o_orderpriority), 'low') THEN 'last' ELSE 'open' END AS decision FROM orders")
+def first_match_rules(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", v.first_match(F.col("o_orderpriority"), [("urgent|high", "first"), ("low", "last")], "open").alias("decision"))
+
+
+@query("""SELECT o_orderkey, trim(regexp_replace('  ' || o_orderpriority || '   x. ', '\\s+', ' ', 'g')) AS basic, regexp_replace(lower(trim(regexp_replace('  ' || o_orderpriority || '   x. ', '\\s+', ' ', 'g'))), '[.,;:!?\\s]+$', '') AS free,
+o_orderstatus = 'F' AS flag FROM orders""")
+def normalised_text(spark, d):
+    messy = F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit("   x. "))
+    return table(spark, d, "orders").select("o_orderkey", v.basic_string(messy).alias("basic"), v.free_text(messy).alias("free"), v.boolean(F.when(F.col("o_orderstatus") == "F", " Yes").otherwise("0")).alias("flag"))
+
+
+@query("SELECT p_partkey, p_size - p_size % 7 + CASE WHEN p_size % 7 > 3.5 THEN 7 ELSE 0 END AS week FROM part")
+def nearest_week(spark, d):
+    return table(spark, d, "part").select("p_partkey", v.nearest_multiple(F.col("p_size"), (7,)).alias("week"))
+
+
+@query("SELECT CASE WHEN n_name IN ('CHINA') THEN 'Asia' WHEN n_name IN ('UNITED') THEN 'x' ELSE 'Other' END AS continent, count(*) AS n FROM (SELECT CASE n_name WHEN 'CHINA' THEN 'CHINA' ELSE '-' END AS n_name FROM nation) GROUP BY 1")
+def continents(spark, d):
+    name = F.when(F.col("n_name") == "CHINA", "China").otherwise("Atlantis")
+    return table(spark, d, "nation").select(v.continent(name).alias("continent")).groupBy("continent").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RECORDS_SQL} SELECT 'l_linestatus' AS field, 'categorical' AS bucket, count(*) AS n, 'ac1' AS metric, 1.0 AS value, false AS flagged FROM r WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 2) AND l_orderkey % 13 <> 0
+UNION ALL SELECT 'l_returnflag', 'free_text', count(*), 'token_f1', round(avg(CAST(l_quantity <= 30 AS INT)), 6), false FROM r WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 2) AND l_orderkey % 13 <> 0""")
+def agreement_of_runs(spark, d):
+    mapping = spark.createDataFrame([("l_linestatus", "categorical"), ("l_returnflag", "free_text")], "field_name string, bucket string")
+    return rounded(agreement_report(*_runs(spark, d), mapping, ["l_orderkey", "l_linenumber"], {"categorical": 0.8}), "value")
