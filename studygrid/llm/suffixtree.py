@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, parts, strings
 
 PREFIX = 8
-GROUP = 20_000
+GROUP = 100_000
 #: Rows that a worker takes from a stream of groups at a time.
 CHUNK = 30_000
 
@@ -283,11 +283,11 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     places = own.join(shared, F.col("p.h") == F.col("h")).select("id", "th", "p", (F.col("n") > group).alias("frequent"))
     places = materialize(places, "anchors")
     grouped = lambda rows: rows.groupBy("id", "th").agg(F.collect_list("p").alias("places"))
-    ranges = _grown(_suffixes(frame.join(grouped(places.where("not frequent")), ["id", "th"]), window), window, width)
+    ranges = _grown(_suffixes(frame.join(grouped(places.where("not frequent")).hint("merge"), ["id", "th"]), window), window, width)
     if shared.where(F.col("n") > group).limit(1).count():
-        ranges = ranges.unionByName(_whole_windows(frame.join(grouped(places.where("frequent")), ["id", "th"]), window))
+        ranges = ranges.unionByName(_whole_windows(frame.join(grouped(places.where("frequent")).hint("merge"), ["id", "th"]), window))
     ranges = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    cut = _cut(frame.join(ranges, ["id", "th"]), window).dropDuplicates(["id", "th"])
+    cut = _cut(frame.join(ranges.hint("merge"), ["id", "th"]), window).dropDuplicates(["id", "th"])
     rows = read.select("id", "th", "n_words", "sha").join(least, "sha").withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_words") >= window))
     if digest:
         rows = rows.join(cut.drop("kept"), ["id", "th"], "left")
