@@ -41,6 +41,13 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fit_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session's Arrow batches hold at most ``rows`` rows from now on: whole texts make wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """While stages run inside, Arrow batches hold fewer rows, and so less memory in executors and workers."""

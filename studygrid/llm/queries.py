@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import huffman, imi, langid, linededup, mixing, mtree, ppm, prefix_bpe, simhash, suffixtree
-from .common import held, scratch_path
+from .common import fit_batches, held, scratch_path
 
 #: The vocabulary files' folder; STUDYGRID_TOKENIZERS names another.
 TOKENIZERS = os.environ.get("STUDYGRID_TOKENIZERS") or os.path.dirname(public_tokenizers.path("x"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    fit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
