@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parts
 
-STEP = 256
-BLOCK = 1 << 17
+#: Ids of a run that a mark starts, and of a block; a block's runs are decoded side by side.
+STEP = 128
+BLOCK = 1 << 19
 #: Pieces that a worker remembers, together with their ids.
-MEMORY = 800_000
+MEMORY = 1_200_000
 
 
 def code_lengths(counts, limit: int):
@@ -122,6 +123,7 @@ class _Pieces:
     """Ids of pieces, by the tokenizers library, as little-endian 32-bit strings."""
 
     def __init__(self, spec: str, pattern: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,7 +131,12 @@ class _Pieces:
 
         from .pieces import splitter
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        parsed = json.loads(spec)
+        before = parsed.get("pre_tokenizer") or {}
+        if before.get("type") == "ByteLevel" and not before.get("add_prefix_space"):
+            # Its split is the one that made the pieces, which it would only find again.
+            before["use_regex"] = False
+        self.tokenizer = Tokenizer.from_str(json.dumps(parsed))
         self.tokenizer.encode_special_tokens = True
         self.split, self.known = splitter(pattern), {}
 
