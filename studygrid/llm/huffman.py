@@ -169,7 +169,7 @@ def encoded(docs: DataFrame, spec, pattern: str, end_id: int, wide: bool, id_col
     ``ids`` holds the low bytes of all ids, then the next bytes, of two or four
     planes; a row of counts has no ids.
     """
-    kind = "<u4" if wide else "<u2"
+    width = 4 if wide else 2
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -185,7 +185,7 @@ def encoded(docs: DataFrame, spec, pattern: str, end_id: int, wide: bool, id_col
                 now = np.bincount(flat, minlength=len(total))
                 now[: len(total)] += total
                 total = now
-                planes = [np.frombuffer(x, "<u4").astype(kind).view(np.uint8).reshape(len(x) // 4, -1).T.tobytes() for x in coded]
+                planes = [b"".join([x[k::4] for k in range(width)]) for x in coded]
                 n = len(planes)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(planes, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], names)
         ids = np.flatnonzero(total)
@@ -219,7 +219,7 @@ def write_tokens(docs: DataFrame, path: str, spec_path: str, pattern: str, end_i
     spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, lengths, strict=True)], "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
     length_of, code_of = np.zeros(int(ids.max()) + 1, np.int64), np.zeros(int(ids.max()) + 1, np.int64)
     length_of[ids], code_of[ids] = lengths, canonical(lengths)
-    kind = "<u4" if wide else "<u2"
+    width = 4 if wide else 2
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -227,12 +227,14 @@ def write_tokens(docs: DataFrame, path: str, spec_path: str, pattern: str, end_i
         from pyspark import TaskContext
 
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        width = np.dtype(kind).itemsize
 
         def flush(doc_ids, coded):
             nonlocal block, start
-            ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind)[:, 0] for x in coded])
             counts = np.array([len(x) // width for x in coded], np.int64)
+            ids = np.zeros(int(counts.sum()), np.int64)
+            for k in range(width):
+                plane = np.frombuffer(b"".join([x[k * n : (k + 1) * n] for x, n in zip(coded, counts.tolist(), strict=True)]), np.uint8)
+                ids |= plane.astype(np.int64) << 8 * k
             lens = length_of[ids]
             cum = np.cumsum(lens)
             ends = np.cumsum(counts)

@@ -20,7 +20,7 @@ def splitter(pattern: str):
 
     general = regex.compile(pattern).findall
     short = pattern
-    for name, own in ((r"[^\s\p{L}\p{N}]", f"[^{BLANKS}{LETTERS}{DIGITS}]"), (r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{DIGITS}]"), (r"\S", f"[^{BLANKS}]"), (r"\s", f"[{BLANKS}]")):
+    for name, own in ((r"[^\s\p{L}\p{N}]+|", f"[^{BLANKS}{LETTERS}{DIGITS}]++|"), (r"\p{L}+|", f"[{LETTERS}]++|"), (r"\p{N}+|", f"[{DIGITS}]++|"), (r"[^\s\p{L}\p{N}]", f"[^{BLANKS}{LETTERS}{DIGITS}]"), (r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{DIGITS}]"), (r"\S", f"[^{BLANKS}]"), (r"\s", f"[{BLANKS}]")):
         short = short.replace(name, own)
     if "\\" in short.replace("\\'", ""):
         return general
