@@ -56,3 +56,9 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def t_ppf(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(a, b) if pd.notna(a) and pd.notna(b) and b > 0 else None for a, b in zip(p, df, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def normal_p_value(z: pd.Series) -> pd.Series:
+    """Two-sided p of the standard normal."""
+    return pd.Series([math.erfc(abs(x) / math.sqrt(2)) if pd.notna(x) else None for x in z], dtype="float64")

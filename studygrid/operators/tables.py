@@ -59,10 +59,10 @@ def error_summary(df: DataFrame, columns: list[str], names: dict[str, str] = ERR
     fine = ~F.exists("cells", lambda x: x.isin(*[v for k, v in names.items() if k != "none"]))
     rows = df.select(cells.alias("cells")).withColumn("fine", fine)
     total = rows.agg(F.count("*").alias("n_rows"), F.sum(F.size("cells")).alias("n_cells"), F.count_if(~F.col("fine")).alias("bad"))
-    each = rows.select("fine", F.col("cells"), F.explode(F.array_distinct("cells")).alias("error_type"))
+    each = rows.select("cells", F.explode(F.array_distinct("cells")).alias("error_type"))
     within = F.size(F.filter("cells", lambda x: x == F.col("error_type")))
-    by_type = each.groupBy("error_type").agg(F.sum(within).alias("count"), F.count("*").alias("has"), F.count_if("fine").alias("clean"))
-    with_type = F.when(F.col("error_type") == names.get("none", "none"), F.col("clean")).otherwise(F.col("has"))
+    by_type = each.groupBy("error_type").agg(F.sum(within).alias("count"), F.count("*").alias("has"))
+    with_type = F.when(F.col("error_type") == names.get("none", "none"), F.col("n_rows") - F.col("bad")).otherwise(F.col("has"))
     typed = by_type.crossJoin(F.broadcast(total)).select("error_type", "count", F.try_divide(100.0 * F.col("count"), F.col("n_cells")).alias("pct"), with_type.alias("rows_with_type"), "n_rows")
     any_ = total.select(F.lit("any_error").alias("error_type"), F.col("bad").alias("count"), F.try_divide(100.0 * F.col("bad"), F.col("n_rows")).alias("pct"), F.col("bad").alias("rows_with_type"), "n_rows")
     return typed.unionByName(any_)
