@@ -24,6 +24,8 @@ STEP = 128
 BLOCK = 1 << 19
 #: Pieces that a worker remembers, together with their ids.
 MEMORY = 1_200_000
+#: Stands between new pieces that are encoded as one text, and how many are.
+MARK, GROUP = "\0", 100
 
 
 def code_lengths(counts, limit: int):
@@ -132,26 +134,51 @@ class _Pieces:
         from .pieces import splitter
 
         parsed = json.loads(spec)
-        before = parsed.get("pre_tokenizer") or {}
+        before, self.mark, grouped = parsed.get("pre_tokenizer") or {}, None, False
         if before.get("type") == "ByteLevel" and not before.get("add_prefix_space"):
             # Its split is the one that made the pieces, which it would only find again.
             before["use_regex"] = False
+            grouped = not parsed.get("normalizer")
+            if grouped:
+                apart = {"type": "Split", "pattern": {"String": MARK}, "behavior": "Isolated", "invert": False}
+                parsed["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [apart, before]}
         self.tokenizer = Tokenizer.from_str(json.dumps(parsed))
         self.tokenizer.encode_special_tokens = True
+        if grouped:
+            found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+            self.mark = found[0] if len(found) == 1 else None
         self.split, self.known = splitter(pattern), {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts; new pieces of all of them are encoded together."""
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces, many at a time with the mark between them; pieces that hold it are encoded alone."""
         from array import array
 
+        import numpy as np
+
+        known, alone = self.known, new
+        if self.mark is not None:
+            alone, new = [x for x in new if MARK in x], [x for x in new if MARK not in x]
+            groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast(list(map(MARK.join, groups)), add_special_tokens=False), strict=True):
+                raw = array("I", e.ids).tobytes()
+                ends = (np.flatnonzero(np.frombuffer(raw, np.uint32) == self.mark) * 4).tolist()
+                ends.append(len(raw))
+                begin = 0
+                for x, end in zip(group, ends, strict=True):
+                    known[x] = raw[begin:end]
+                    begin = end + 4
+        for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            known[x] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts; new pieces of all of them are encoded together."""
         split, known = [self.split(x) for x in texts], self.known
         new = list(set().union(*split).difference(known))
         if new:
             if len(known) + len(new) > MEMORY:
                 known.clear()
                 new = list(set().union(*split))
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = array("I", e.ids).tobytes()
+            self._learn(new)
         return [b"".join(map(known.__getitem__, x)) for x in split]
 
 

@@ -391,6 +391,19 @@ def test_huffman_code_is_optimal_and_prefix_free():
         assert (decoder.runs(payload, offsets[::100], np.full(5, 100)) == ids).all()
 
 
+def test_new_pieces_are_encoded_together_like_alone():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        own = huffman._Pieces(f.read(), P.PATTERN)
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = [" ".join(f"wort{i * 7919 % 10007}" for i in range(5 * huffman.GROUP)), "a\0b \0\0 \0", "\0", "", "<|endoftext|> x \n\n\tä€😀 ɐ", huffman.MARK.join("abc")]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert own.mark is not None and got == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_token_files(spark, docs, rows, empty):
     spec = P.path("byte_bpe_50k.json")
     known = Tokenizer.from_file(spec)
