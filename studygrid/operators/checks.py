@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studygrid.functions.values import label_count_percent
-
+#: The count of ``Label: N (P%)`` or ``Label: N``.
+COUNT = r"^[^:]*:\s*(\d+)\s*(?:\(\d+\.?\d*\s*%\)\s*)?$"
 #: Endings that name a statistic.
 STATISTICS = ("mean", "sd", "se", "median", "iqr", "range", "n", "pct", "category", "distribution", "total")
 #: Fixed value: prefixes of any comorbidity.
@@ -47,6 +47,11 @@ def collect(df: DataFrame, paper: str, arm: str, checks: list[Column]) -> DataFr
     return df.select(F.col(paper).cast("string").alias("paper_id"), F.col(arm).cast("string").alias("arm"), F.explode(all_).alias("f")).select("paper_id", "arm", "f.*")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, as lambdas share no common parts."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def arm_name(arm: Column) -> Column:
     """Names begin with control or treat and hold no parentheses; null counts as empty."""
     a = F.coalesce(arm, F.lit(""))
@@ -86,11 +91,14 @@ def item_sum(field: str, items: Column, n: Column, missing: str | None = None) -
     over, and then has the missing item as its fix. Items without a count do not
     take part; a list without any is not checked.
     """
-    counts = F.array_compact(F.transform(items, lambda x: label_count_percent(x)["n"]))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    low = finding("WARNING", "array_sum_count_low", _say(f"{field}: ", total, " of ", n), field, _say(f"{missing}: ", (n - total).cast("long")) if missing else None)
-    high = finding("WARNING", "array_sum_count_high", _say(f"{field}: ", total, " of only ", n))
-    return F.when((n > 0) & (total > 0), only((F.lit(missing is not None) & (total < n), low), (total > n, high)))
+    counts = F.transform(items, lambda x: F.coalesce(F.regexp_extract(x, COUNT, 1).try_cast("long"), F.lit(0).cast("long")))
+
+    def judge(total: Column) -> Column:
+        low = finding("WARNING", "array_sum_count_low", _say(f"{field}: ", total, " of ", n), field, _say(f"{missing}: ", (n - total).cast("long")) if missing else None)
+        high = finding("WARNING", "array_sum_count_high", _say(f"{field}: ", total, " of only ", n))
+        return F.when(total > 0, only((F.lit(missing is not None) & (total < n), low), (total > n, high)))
+
+    return F.when(n > 0, _once(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x), judge))
 
 
 def _lookup(words: list[str]) -> Column:
@@ -104,12 +112,15 @@ def _lookup(words: list[str]) -> Column:
 def canonical(prefix: Column, vocabulary: list[str]) -> Column:
     """The vocabulary's spelling of a prefix: itself, then without one statistic, then as a mean; null if there is none."""
     words = _lookup(vocabulary)
-    ending = F.regexp_extract(prefix, f"(_(?:{'|'.join(STATISTICS)}))$", 1)
-    base = F.when(ending != "", F.substring(prefix, F.lit(1), F.length(prefix) - F.length(ending)))
     find = lambda key: F.try_element_at(words, F.lower(key))
     bare = lambda word: F.substring(word, F.lit(1), F.length(word) - 5)
     mean = lambda key: bare(find(F.concat(key, F.lit("_mean"))))
-    return F.coalesce(find(prefix), F.concat(F.coalesce(find(base), mean(base)), ending), mean(prefix))
+
+    def without(ending: Column) -> Column:
+        base = F.when(ending != "", F.substring(prefix, F.lit(1), F.length(prefix) - F.length(ending)))
+        return F.concat(F.coalesce(find(base), mean(base)), ending)
+
+    return F.coalesce(find(prefix), _once(F.regexp_extract(prefix, f"(_(?:{'|'.join(STATISTICS)}))$", 1), without), mean(prefix))
 
 
 def item_prefixes(items: Column, vocabulary: list[str]) -> Column:
@@ -120,17 +131,17 @@ def item_prefixes(items: Column, vocabulary: list[str]) -> Column:
     a literal of the plan, so it is meant for hundreds of words.
     """
 
-    def judge(x: Column) -> Column:
-        p = F.trim(F.substring_index(x, ":", 1))
-        right = canonical(p, vocabulary)
-        wrong_case = right.isNotNull() & (right != p)
+    def judge(x: Column, p: Column, right: Column) -> Column:
         skipped = (p == "") | (p == "other") | (p == "NA") | p.startswith("Needs Discussion") | p.rlike(COMORBIDITY)
-        fixed = F.concat(right, F.substring(x, F.length(F.substring_index(x, ":", 1)) + 1, F.length(x)))
+        fixed = F.concat(right, F.substring(x, F.instr(x, ":"), F.length(x)))
         casing = finding("WARNING", "severity_prefix_casing", _say(p, " should be ", right), p, fixed)
         unknown = finding("WARNING", "severity_prefix_unknown", _say(p, " is not known"))
-        return F.when(~skipped & wrong_case, casing).when(~skipped & right.isNull() & ~p.rlike(SNAKE_CASE), unknown)
+        return F.when((right == p) | skipped, None).when(right.isNotNull(), casing).when(~p.rlike(SNAKE_CASE), unknown)
+
+    def each(x: Column) -> Column:
+        return _once(F.trim(F.substring_index(x, ":", 1)), lambda p: _once(canonical(p, vocabulary), lambda right: judge(x, p, right)))
 
-    return F.array_compact(F.transform(F.filter(items, lambda x: F.contains(x, F.lit(":"))), judge))
+    return F.array_compact(F.transform(F.filter(items, lambda x: F.contains(x, F.lit(":"))), each))
 
 
 def graded(field: str, value: Column, label: Column, bands=SUGAR_BANDS) -> Column:
