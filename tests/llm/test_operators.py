@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from studygrid.llm import components, huffman, imi, langid, linededup, mixing, mtree, pieces, ppm, prefix_bpe, simhash, suffixtree
+from studygrid.llm import components, huffman, imi, langid, linededup, mixing, mtree, pieces, ppm, prefix_bpe, shingles, simhash, suffixtree
 from studygrid.llm.common import held, scratch_path
 
 RNG = random.Random(3)
@@ -104,6 +104,54 @@ def test_simhash_links_in_blocks(spark):
     assert roots(simhash.links(frame)) == want == roots(simhash.links(frame, block=40))
 
 
+def brute_near_copies(rows):
+    sets = [{b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := toks(t)) else set() for _, t, *_ in rows]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and near(sets[a], sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    best = {}
+    for g, (i, t, *_) in zip(group, rows, strict=True):
+        best.setdefault(g, []).append((i is None, i))
+    return sorted(str(min(x, key=lambda y: (y[0], y[1] or 0))[1]) for x in best.values())
+
+
+def near_texts():
+    """Copies with some words changed, so that similarities lie on both sides of 0.8, and one group that fills its shingles."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(30):
+        base = words(rng.randint(3, 150), rng).split()
+        rows.append((1000 - i, " ".join(base)))
+        for j in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            rows.append((2000 + 10 * i + j, " ".join(copy)))
+    base = words(100, rng).split()
+    return rows + [(5000 + k, " ".join(base[:k] + ["other"] + base[k + 1 :])) for k in range(50)]
+
+
+def test_near_copies_against_brute_force(spark, docs, rows, empty):
+    for width_rows, df in ((rows, docs), (near_texts(), spark.createDataFrame(near_texts(), "doc_id long, text string"))):
+        for crowd in (32, 2):
+            groups = shingles.near_copies(df, crowd=crowd)
+            assert groups.count() == len(width_rows)
+            got = shingles.one_of_each(df, groups)
+            assert got.columns == df.columns and sorted(str(r["doc_id"]) for r in got.collect()) == brute_near_copies(width_rows)
+    assert shingles.deduplicate(empty).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_four_fifths(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame(near_texts(), "doc_id long, text string")
+    stage = corpus_pipeline.STAGES[2][1]
+    assert sorted(str(r["doc_id"]) for r in stage(spark, df, "").collect()) == brute_near_copies(near_texts())
+
+
 def test_language_id(docs, rows, empty):
     found = langid.identify(docs, F.lit(True)).select("doc_id", "text", "lang_pred", "score", "size").collect()
     assert len(found) == len(rows)
