@@ -9,10 +9,10 @@ symbols never seen share evenly. Each text is read from a start mark to an end
 symbol, so probabilities sum to one over texts.
 
 A node is the last k + 1 bytes in one integer. Tasks count sorted nodes of the
-longest contexts, which one shuffle adds up; shorter contexts are their sums. The
-trie that workers hold is bounded: if it had more than ``max_nodes`` nodes, the
-least count that fits the bound would be asked of a node, which texts then meet
-as one more escape.
+longest contexts, which one shuffle adds up; shorter contexts are their sums.
+What workers hold is bounded: of a trie with more than ``max_nodes`` nodes they
+hold the log probabilities of the most frequent nodes of the longest contexts, and
+all other symbols are looked up in the whole trie by joins. Scores are the same.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .common import held, materialize, small_batches, strings
 ORDER = 5
 #: Bytes that no UTF-8 text holds.
 START, END = 0xFF, 0xFE
+#: Trie nodes that workers hold; all others are looked up by joins.
 MAX_NODES = 5_000_000
 #: Tokens whose counts are broadcast; all others are looked up by a join.
 MAX_TOKENS = 200_000
@@ -109,30 +110,23 @@ class Trie:
         """log10 probabilities of keys that the table does not hold, by escaping from context to context."""
         import numpy as np
 
-        out, done = np.zeros(len(keys)), np.zeros(len(keys), bool)
-        gone_t, gone_d = np.zeros(len(keys)), np.zeros(len(keys))
-        for k in range(len(self.levels) - 1, -1, -1):
-            own = keys & np.uint64((1 << 8 * (k + 1)) - 1)
-            ctxs, total, symbols, below = self.contexts[k]
-            at, there = _lookup(ctxs, own >> np.uint64(8))
-            if not len(ctxs):
-                continue
-            entry, seen = _lookup(self.levels[k][0], own) if self.levels[k] else (None, np.zeros(len(own), bool))
-            t, d = total[at] - gone_t, symbols[at] - gone_d
-            live = there & ~done & (d > 0)
-            hit = live & seen
-            if hit.any():
-                out[hit] += np.log10((self.levels[k][1][entry[hit]] - 0.5) / t[hit])
-            miss = live & ~seen
-            out[miss] += np.log10(d[miss] / (2 * t[miss]))
-            done |= hit
-            gone_t, gone_d = np.where(there, below[at], 0), np.where(there, symbols[at], 0)
-        rest = ~done
-        out[rest] -= np.log10(256 - gone_d[rest])
-        return out
+        def steps():
+            for k in range(len(self.levels) - 1, -1, -1):
+                own = keys & np.uint64((1 << 8 * (k + 1)) - 1)
+                ctxs, total, symbols, below = self.contexts[k]
+                at, there = _lookup(ctxs, own >> np.uint64(8))
+                if not len(ctxs):
+                    continue
+                count = np.zeros(len(own), np.int64)
+                if self.levels[k]:
+                    entry, seen = _lookup(self.levels[k][0], own)
+                    count[seen] = self.levels[k][1][entry[seen]]
+                yield there, count, total[at], symbols[at], below[at]
+
+        return escaped(steps(), len(keys))
 
     def score(self, texts: list[bytes]):
-        """log10 probability of each text."""
+        """log10 probability of each text, and the keys left to look up: none."""
         import numpy as np
 
         order = len(self.levels) - 1
@@ -141,7 +135,52 @@ class Trie:
         if not known.all():
             missed, back = np.unique(keys[~known], return_inverse=True)
             values[~known] = self.walk(missed)[back]
-        return np.add.reduceat(values, np.cumsum(sizes) - sizes)
+        return np.add.reduceat(values, np.cumsum(sizes) - sizes), [keys[:0]] * len(texts)
+
+
+@dataclass
+class Part:
+    """The log10 probabilities of some nodes of the longest contexts."""
+
+    order: int
+    keys: object
+    values: object
+
+    def prepare(self):
+        self.table = Table(self.keys, self.values)
+        self.keys = self.values = None
+        return self
+
+    def score(self, texts: list[bytes]):
+        """log10 probability of the symbols of each text that are held, and the keys of all others."""
+        import numpy as np
+
+        keys, sizes = nodes(texts, self.order)
+        values, known = self.table.get(keys)
+        starts = np.cumsum(sizes) - sizes
+        missed = np.split(keys[~known], np.cumsum(np.add.reduceat((~known).astype(np.int64), starts))[:-1])
+        return np.add.reduceat(np.where(known, values, 0.0), starts), missed
+
+
+def escaped(steps, n: int):
+    """log10 probabilities of n symbols; ``steps`` has, from the longest context down, whether it is there, the
+    symbol's count in it, its occurrences, its symbols, and their occurrences one level down."""
+    import numpy as np
+
+    out, done = np.zeros(n), np.zeros(n, bool)
+    gone_t, gone_d = np.zeros(n), np.zeros(n)
+    for there, count, total, symbols, below in steps:
+        t, d = total - gone_t, symbols - gone_d
+        live = there & ~done & (d > 0)
+        hit = live & (count > 0)
+        out[hit] += np.log10((count[hit] - 0.5) / t[hit])
+        miss = live & (count == 0)
+        out[miss] += np.log10(d[miss] / (2 * t[miss]))
+        done |= hit
+        gone_t, gone_d = np.where(there, below, 0), np.where(there, symbols, 0)
+    rest = ~done
+    out[rest] -= np.log10(256 - gone_d[rest])
+    return out
 
 
 class Table:
@@ -250,17 +289,24 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 10_001
 
 
-def build(counted: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie from ``gather``'s rows."""
-    import numpy as np
+def _masked(key, level, order: int):
+    """The last ``level`` + 1 bytes of a key."""
+    masks = F.array(*[F.lit((1 << 8 * (k + 1)) - 1).cast("long") for k in range(order + 1)])
+    return F.col(key).bitwiseAND(F.element_at(masks, F.col(level) + 1))
 
+
+def trie_nodes(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(level, node, n)`` of the whole trie from ``gather``'s rows."""
     top = counted.where(F.col("node").isNotNull())
-    level = F.explode(F.sequence(F.lit(0), F.lit(order)))
-    masks = F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(order + 1)])
-    below = top.select("node", "n", level.alias("level")).select("level", F.col("node").bitwiseAND(F.element_at(masks, F.col("level") + 1)).alias("node"), "n")
-    every = materialize(below.groupBy("level", "node").agg(F.sum("n").alias("n")), "trie")
-    least = _least_count(every, max_nodes)
-    table = every.where(F.col("n") >= least).toArrow()
+    below = top.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level")).select("level", _masked("node", "level", order).alias("node"), "n")
+    return materialize(below.groupBy("level", "node").agg(F.sum("n").alias("n")), "trie")
+
+
+def build(every: DataFrame, order: int = ORDER) -> Trie:
+    """The trie of all nodes."""
+    import numpy as np
+
+    table = every.toArrow()
     levels, node, n = (np.asarray(table.column(c)) for c in ("level", "node", "n"))
     out = []
     for k in range(order + 1):
@@ -270,6 +316,52 @@ def build(counted: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) ->
     return Trie(out)
 
 
+def _contexts(every: DataFrame, order: int) -> DataFrame:
+    """``(level, ctx, total, symbols, below)``, as ``Trie.prepare`` has them."""
+    lower = every.where(F.col("level") < order).select((F.col("level") + 1).alias("above"), F.col("node").alias("suffix"), F.col("n").alias("below"))
+    own = every.withColumn("shorter", F.greatest(F.col("level") - 1, F.lit(0)))
+    own = own.select("level", "node", "n", F.col("level").alias("above"), _masked("node", "shorter", order).alias("suffix"))
+    joined = own.join(lower, ["above", "suffix"], "left")
+    sums = joined.groupBy("level", F.shiftrightunsigned("node", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("symbols"), F.sum(F.coalesce("below", F.lit(0))).alias("below"))
+    return materialize(sums, "contexts")
+
+
+def _part(every: DataFrame, contexts: DataFrame, order: int, most: int) -> Part:
+    """The most frequent nodes of the longest contexts, with their values from the whole trie."""
+    import numpy as np
+
+    top = every.where(F.col("level") == order)
+    top = top.where(F.col("n") >= _least_count(top, most)).withColumn("ctx", F.shiftrightunsigned("node", 8))
+    value = F.log10((F.col("n") - 0.5) / F.col("total")).alias("value")
+    table = top.join(contexts.where(F.col("level") == order).select("ctx", "total"), "ctx").select("node", value).toArrow()
+    return Part(order, np.asarray(table.column("node")).astype(np.uint64), np.asarray(table.column("value")))
+
+
+def _looked_up(keys: DataFrame, every: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """``(key, value)`` of distinct keys by the whole trie."""
+
+    def find(rows, table, on, small):
+        # Short contexts are few and asked for by many keys.
+        few = rows.where(F.col("level") <= small).join(F.broadcast(table.where(F.col("level") <= small)), on, "left")
+        return few.unionByName(rows.where(F.col("level") > small).join(table.where(F.col("level") > small), on, "left"))
+
+    asked = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level"))
+    asked = asked.withColumn("node", _masked("key", "level", order)).withColumn("ctx", F.shiftrightunsigned("node", 8))
+    asked = find(find(asked, every, ["level", "node"], 1), contexts, ["level", "ctx"], 2)
+    names = ("n", "total", "symbols", "below")
+    wide = asked.groupBy("key").agg(*[F.coalesce(F.max(F.when(F.col("level") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(order + 1) for c in names])
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            get = lambda c, b=batch: b.column(c).to_numpy(zero_copy_only=False)
+            steps = ((get(f"total{k}") > 0, get(f"n{k}"), get(f"total{k}"), get(f"symbols{k}"), get(f"below{k}")) for k in range(order, -1, -1))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(escaped(steps, batch.num_rows))], ["key", "value"])
+
+    return wide.mapInArrow(work, "key long, value double")
+
+
 def _prepared(tag: str, shared):
     """The trie and word scores of a run, made ready once a worker."""
     if tag not in _TRIES:
@@ -303,7 +395,10 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     n_all, weight = total["n"], total["n"] + 0.5 * (total["v"] + 1)
     often = tokens.where(F.col("n") >= _least_count(tokens, max_tokens)).toArrow()
     logs = {k: log10((n + 0.5) / weight) for k, n in zip(often.column("token").to_pylist(), often.column("n").to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((build(counted, order, max_nodes), logs))
+    every = trie_nodes(counted, order)
+    whole = every.count() <= max_nodes
+    contexts = None if whole else _contexts(every, order)
+    shared = spark.sparkContext.broadcast((build(every, order) if whole else _part(every, contexts, order, max_nodes), logs))
     tag = uuid.uuid4().hex
 
     def work(batches: Iterator) -> Iterator:
@@ -315,14 +410,16 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
         get, row = common.get, TaskContext.get().partitionId() << 40
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = [x.lower() for x in strings(batch, "text")]
-            n_tokens, n_known, base, rare, scores, at = [], [], [], [], [], 0
+            n_tokens, n_known, base, rare, scores, missed, at = [], [], [], [], [], [], 0
             while at < len(texts):
                 some, size = [], 0
                 while at < len(texts) and (not some or size + len(texts[at]) < CHUNK):
                     some.append(texts[at])
                     size += len(texts[at])
                     at += 1
-                scores.append(trie.score(some))
+                found, left = trie.score(some)
+                scores.append(found)
+                missed += left
             for text in texts:
                 words, sum_, other = text.split(), 0.0, []
                 words.append(b"")
@@ -337,19 +434,27 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                 base.append(sum_)
                 rare.append(other)
             n = len(texts)
+            ends = pa.array(np.cumsum([0, *map(len, missed)]), pa.int32())
+            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(missed).view(np.int64) if missed else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("learned"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(rare, pa.list_(pa.binary()))],
-                ["row", "doc_id", "learned", "n_tokens", "n_known", "base", "score", "rare"],
+                [pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("learned"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(rare, pa.list_(pa.binary())), keys],
+                ["row", "doc_id", "learned", "n_tokens", "n_known", "base", "score", "rare", "keys"],
             )
             row += n
 
     id_type = frame.schema["doc_id"].dataType.simpleString()
     with small_batches(spark):
-        done = materialize(frame.mapInArrow(work, f"row long, doc_id {id_type}, learned boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"), "scored")
+        done = materialize(frame.mapInArrow(work, f"row long, doc_id {id_type}, learned boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, keys array<long>"), "scored")
     seldom = done.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
     seldom = seldom.join(tokens.select("token", F.col("n").alias("c")), "token", "left")
     each = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(weight))
     seldom = seldom.groupBy("row").agg(F.sum(F.col("times") * each).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
+    rest = F.lit(0.0)
+    if not whole:
+        missed = done.select("row", F.explode("keys").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+        values = _looked_up(missed.select("key").distinct(), every, contexts, order)
+        missed = missed.join(values, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest"))
+        done, rest = done.join(missed, "row", "left"), F.coalesce("rest", F.lit(0.0))
     return done.join(seldom, "row", "left").select(
         "doc_id",
         "learned",
@@ -357,8 +462,8 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + rest).alias("score"),
     )
 
 
-__all__ = ["Trie", "build", "gather", "held", "nodes", "score"]
+__all__ = ["Trie", "build", "gather", "held", "nodes", "score", "trie_nodes"]

@@ -279,6 +279,12 @@ def test_ppm_against_brute_force(docs, rows, empty):
     assert all(r["score"] == pytest.approx(-(len((r["text"] or "").encode()) + 1) * math.log10(256)) for r in ppm.score(some, F.lit(False)).join(some.select("doc_id", "text").where("doc_id < 30"), "doc_id").collect())
 
 
+def test_ppm_scores_do_not_depend_on_the_nodes_held(docs):
+    some = docs.where("doc_id is null or doc_id <> 153")
+    scores = lambda most: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in ppm.score(some, ~held("doc_id", 5, 1), max_nodes=most).collect())
+    assert scores(0) == scores(300) == scores(ppm.MAX_NODES)
+
+
 def test_ppm_sums_to_one():
     train = [words(40).encode() for _ in range(5)]
     keys = [ppm.tally(ppm.nodes(train, 2)[0])]
