@@ -2,17 +2,18 @@
 
 ``spark.checkpoint.dir`` names a folder that driver and executors share. Stages
 that are read twice are written there as Parquet, which cuts their lineage and
-survives a lost executor. Only where it is unset (tests) a local one is made.
+survives a lost executor. Where it is unset the session's warehouse folder,
+which Spark shares as well, takes its place.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of every word contract: space and 0x09-0x0D, which is what bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,8 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="studygrid-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/studygrid-scratch"
     return base.rstrip("/")
 
 
@@ -77,6 +77,40 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Numbered:
+    """The columns of ``df`` under the names ``c0``, ``c1``, ... so that no name of an operator clashes with them.
+
+    ``named`` gives them back their own names beside new columns; a column that is
+    called like a new one, in whatever case, is replaced by it.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.schema, self.columns = df.schema, df.columns
+        self.df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+    def of(self, name: str) -> str:
+        """The number of a column; in another case if there is none in this one."""
+        if name not in self.columns:
+            found = [i for i, c in enumerate(self.columns) if c.lower() == name.lower()]
+            if len(found) != 1:
+                raise ValueError(f"no column {name!r} among {self.columns}")
+            return f"c{found[0]}"
+        return f"c{self.columns.index(name)}"
+
+    def kept(self, new=()) -> list[int]:
+        added = {c.lower() for c in new}
+        return [i for i, c in enumerate(self.columns) if c.lower() not in added]
+
+    def fields(self, new=()) -> list[T.StructField]:
+        return [self.schema.fields[i] for i in self.kept(new)]
+
+    def named(self, df: DataFrame, new: dict | None = None) -> DataFrame:
+        """``df``'s numbered columns, then those of ``new``: own names to expressions."""
+        new = new or {}
+        kept = self.kept(new)
+        return df.select(*(f"c{i}" for i in kept), *(x.alias(f"n{i}") for i, x in enumerate(new.values()))).toDF(*(self.columns[i] for i in kept), *new)
+
+
 def strings(batch, name: str) -> list[bytes]:
     """A text column of an Arrow batch as UTF-8 bytes; null becomes empty."""
     import pyarrow as pa

@@ -22,10 +22,10 @@ from .common import materialize, parts
 #: Ids of a run that a mark starts, and of a block; a block's runs are decoded side by side.
 STEP = 128
 BLOCK = 1 << 19
-#: Pieces that a worker remembers, together with their ids.
-MEMORY = 1_200_000
-#: Stands between new pieces that are encoded as one text, and how many are.
-MARK, GROUP = "\0", 100
+#: Ids that are packed at a time, so that the arrays stay in a core's cache.
+PACKED = 1 << 15
+#: Pieces that a worker remembers, together with their ids: the latest, up to twice as many.
+MEMORY = 600_000
 
 
 def code_lengths(counts, limit: int):
@@ -121,72 +121,71 @@ class Decoder:
 _TOKENIZERS: dict = {}
 
 
-class _Pieces:
-    """Ids of pieces, by the tokenizers library, as little-endian 32-bit strings."""
+def _alphabet() -> str:
+    """The characters that stand for bytes 0 to 255: printable ones for themselves, then U+0100 and on for the others."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in set(own))}
+    return "".join(rest.get(b, chr(b)) for b in range(256))
+
+
+class _Texts:
+    """Ids of texts, by the tokenizers library, as little-endian 32-bit strings.
+
+    A byte-level tokenizer merges each piece on its own, so the ids of a piece
+    are asked of its model once and remembered. Texts that hold the string of an
+    added token, and all texts under another kind of tokenizer, are encoded whole.
+    """
 
     def __init__(self, spec: str, pattern: str):
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from array import array
+
         from tokenizers import Tokenizer
 
-        from .pieces import splitter
+        from .pieces import Remembered, splitter
 
         parsed = json.loads(spec)
-        before, self.mark, grouped = parsed.get("pre_tokenizer") or {}, None, False
-        if before.get("type") == "ByteLevel" and not before.get("add_prefix_space"):
-            # Its split is the one that made the pieces, which it would only find again.
-            before["use_regex"] = False
-            grouped = not parsed.get("normalizer")
-            if grouped:
-                apart = {"type": "Split", "pattern": {"String": MARK}, "behavior": "Isolated", "invert": False}
-                parsed["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [apart, before]}
-        self.tokenizer = Tokenizer.from_str(json.dumps(parsed))
-        self.tokenizer.encode_special_tokens = True
-        if grouped:
-            found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-            self.mark = found[0] if len(found) == 1 else None
-        self.split, self.known = splitter(pattern), {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces, many at a time with the mark between them; pieces that hold it are encoded alone."""
+        before = parsed.get("pre_tokenizer") or {}
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.added = [x["content"] for x in parsed.get("added_tokens") or []]
+        self.remembered = None
+        if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not parsed.get("normalizer"):
+            tokenize, alphabet = self.tokenizer.model.tokenize, _alphabet()
+
+            def learn(new: list[str]) -> list[bytes]:
+                if not new:
+                    return []
+                # 0xFF is in no UTF-8 text.
+                spelled = b"\xff".join([x.encode() for x in new]).decode("latin-1").translate(alphabet).split(alphabet[255])
+                return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in spelled]
+
+            self.remembered = Remembered(splitter(pattern), learn, MEMORY)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        import numpy as np
-
-        known, alone = self.known, new
-        if self.mark is not None:
-            alone, new = [x for x in new if MARK in x], [x for x in new if MARK not in x]
-            groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast(list(map(MARK.join, groups)), add_special_tokens=False), strict=True):
-                raw = array("I", e.ids).tobytes()
-                ends = (np.flatnonzero(np.frombuffer(raw, np.uint32) == self.mark) * 4).tolist()
-                ends.append(len(raw))
-                begin = 0
-                for x, end in zip(group, ends, strict=True):
-                    known[x] = raw[begin:end]
-                    begin = end + 4
-        for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            known[x] = array("I", e.ids).tobytes()
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts; new pieces of all of them are encoded together."""
-        split, known = [self.split(x) for x in texts], self.known
-        new = list(set().union(*split).difference(known))
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set().union(*split))
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, x)) for x in split]
-
-
-def _pieces(spec, pattern: str) -> _Pieces:
+        """The ids of whole texts."""
+        if self.remembered is None:
+            return self._whole(texts)
+        marked = {i for x in self.added for i, text in enumerate(texts) if x in text}
+        found = self.remembered.entries([x for i, x in enumerate(texts) if i not in marked] if marked else texts)
+        out = list(map(b"".join, found))
+        for i, x in zip(sorted(marked), self._whole([texts[i] for i in sorted(marked)]) if marked else (), strict=True):
+            out.insert(i, x)
+        return out
+
+
+def _texts(spec, pattern: str) -> _Texts:
     key = (hash(spec.value), pattern)
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = _Pieces(spec.value, pattern)
+        _TOKENIZERS[key] = _Texts(spec.value, pattern)
     return _TOKENIZERS[key]
 
 
@@ -202,12 +201,16 @@ def encoded(docs: DataFrame, spec, pattern: str, end_id: int, wide: bool, id_col
         import numpy as np
         import pyarrow as pa
 
-        own, end, total = _pieces(spec, pattern), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
+        from .pieces import in_lots
+
+        own, end, total = _texts(spec, pattern), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
         names = ["doc_id", "ids", "seen", "times"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                coded = [x + end for x in own.encode([x or "" for x in some.column("text").to_pylist()])]
+            at = 0
+            for lot in in_lots([x or "" for x in batch.column("text").to_pylist()]):
+                some = batch.slice(at, len(lot))
+                at += len(lot)
+                coded = [x + end for x in own.encode(lot)]
                 flat = np.frombuffer(b"".join(coded), "<u4")
                 now = np.bincount(flat, minlength=len(total))
                 now[: len(total)] += total
@@ -225,8 +228,12 @@ def encoded(docs: DataFrame, spec, pattern: str, end_id: int, wide: bool, id_col
 def write_tokens(docs: DataFrame, path: str, spec_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", limit: int = 16) -> None:
     """Encode whole texts (null: empty), end each with ``end_id`` and write the files under ``path``.
 
-    Ascending ids, null first; rows that repeat an id follow each other in the
-    order of their ids' bytes. Texts are tokenized once: their ids wait in the
+    The ids are those of ``Tokenizer.from_file(spec_path)`` with its defaults and
+    ``add_special_tokens=False``: the string of a special token in a text becomes
+    its id. ``pattern`` is the split of a byte-level tokenizer. Ascending ids, null
+    first; rows that repeat an id follow each other in the order of their ids'
+    bytes. A very long text is one document of a block of its own size; an empty
+    table gives files without a block; columns but the two named are ignored. Texts are tokenized once: their ids wait in the
     shared folder until all counts are known. Only the id counts, at most one for
     each vocabulary entry, reach the driver.
     """
@@ -255,8 +262,8 @@ def write_tokens(docs: DataFrame, path: str, spec_path: str, pattern: str, end_i
 
         part, block, start = TaskContext.get().partitionId(), 0, 0
 
-        def flush(doc_ids, coded):
-            nonlocal block, start
+        def packed(coded):
+            """Counts, mark offsets and payload of a few documents."""
             counts = np.array([len(x) // width for x in coded], np.int64)
             ids = np.zeros(int(counts.sum()), np.int64)
             for k in range(width):
@@ -269,12 +276,26 @@ def write_tokens(docs: DataFrame, path: str, spec_path: str, pattern: str, end_i
             begin = np.r_[0, np.cumsum((bits + 7) // 8 * 8)]
             pad = begin[:-1] - (cum[ends - 1] - bits)
             offsets = cum - lens + np.repeat(pad, counts)
-            within = np.arange(len(ids)) - np.repeat(ends - counts, counts)
-            payload = pack(code_of[ids], lens, offsets, int(begin[-1]) // 8)
-            row = [[part], [block], [start], [doc_ids], [counts], [offsets[within % STEP == 0]], [payload]]
+            runs = (counts + STEP - 1) // STEP
+            nth = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+            marks = offsets[np.repeat(ends - counts, runs) + STEP * nth]
+            return counts, marks, pack(code_of[ids], lens, offsets, int(begin[-1]) // 8)
+
+        def flush(doc_ids, coded):
+            nonlocal block, start
+            some, size, found, bits = [], 0, [], 0
+            for i, x in enumerate(coded):
+                some.append(x)
+                size += len(x) // width
+                if size >= PACKED or i == len(coded) - 1:
+                    counts, marks, payload = packed(some)
+                    found.append((counts, marks + bits, payload))
+                    some, size, bits = [], 0, bits + 8 * len(payload)
+            counts, marks = (np.concatenate([x[k] for x in found]) for k in range(2))
+            row = [[part], [block], [start], [doc_ids], [counts], [marks], [b"".join([x[2] for x in found])]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["part", "block", "start", "doc_ids", "counts", "marks", "payload"])
-            block, start = block + 1, start + len(ids)
+            block, start = block + 1, start + int(counts.sum())
             return out
 
         doc_ids, coded, size = [], [], 0

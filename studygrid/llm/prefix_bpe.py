@@ -16,9 +16,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Pieces and stable pairs that a worker remembers; both start anew when full.
-MEMORY = 300_000
+from .common import Numbered
+
+#: Pieces that a worker remembers (the latest, up to twice as many), and pairs of tokens, which start anew when full.
+MEMORY, PAIRS = 400_000, 1_200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,6 +33,11 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.words = ranks, {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
+        # The longest token that ends with these three bytes; other endings have shorter tokens only.
+        self.reach: dict[bytes, int] = {}
+        for x in ranks:
+            if len(x) > self.reach.get(x[-3:], 2):
+                self.reach[x[-3:]] = len(x)
         self.stable: dict[tuple[int, int], bool] = {}
 
     def _merged(self, text: bytes) -> list[int]:
@@ -45,7 +53,7 @@ class PrefixEncoder:
     def _fits(self, before: int, token: int) -> bool:
         key = (before, token)
         if (known := self.stable.get(key)) is None:
-            if len(self.stable) >= 4 * MEMORY:
+            if len(self.stable) >= PAIRS:
                 self.stable.clear()
             text = self.words[token] if before < 0 else self.words[before] + self.words[token]
             known = self.stable[key] = self._merged(text) == ([token] if before < 0 else [before, token])
@@ -53,13 +61,13 @@ class PrefixEncoder:
 
     def extend(self, text: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Continue ``last``, the last tokens of prefixes of 1, 2, ... bytes of ``text``."""
-        ranks, stable, longest = self.ranks, self.stable, self.longest
+        ranks, stable, reach = self.ranks.get, self.stable.get, self.reach.get
         for end in range(len(last) + 1, (len(text) if upto is None else upto) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(text[begin:end])
+            for begin in range(max(0, end - reach(text[end - 3 : end], 2)) if end > 3 else 0, end):
+                token = ranks(text[begin:end])
                 if token is not None:
                     before = last[begin - 1] if begin else -1
-                    known = stable.get((before, token))
+                    known = stable((before, token))
                     if known or known is None and self._fits(before, token):
                         last.append(token)
                         break
@@ -97,43 +105,63 @@ class PrefixEncoder:
             return [whole]
         return self.tokens(self.extend(piece, []))
 
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The encodings of ``pieces``; in sorted order each goes on from the table of the prefix it shares with the one before."""
+        out: list = [None] * len(pieces)
+        before, table = b"", []
+        for i in sorted(range(len(pieces)), key=pieces.__getitem__):
+            piece = pieces[i]
+            if (whole := self.ranks.get(piece)) is not None:
+                out[i] = [whole]
+                continue
+            same = 0
+            for x, y in zip(before, piece, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del table[same:]
+            out[i] = self.tokens(self.extend(piece, table))
+            before = piece
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
 
 
 class TextEncoder:
-    """Encodes whole texts piece by piece, remembering the pieces."""
+    """Encodes whole texts piece by piece, remembering the pieces with their ids in the ``forms`` asked for."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, forms: tuple[str, ...]):
+        from array import array
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        from .pieces import splitter
+        from .pieces import Remembered, splitter
 
-        self.encoder, self.split, self.known = PrefixEncoder(ranks), splitter(pattern), {}
-        self.names = {v: str(v) for v in ranks.values()}
+        self.encoder = own = PrefixEncoder(ranks)
+        names = {v: str(v) for v in ranks.values()}
+        # ids: 32-bit integers; names: decimal ids joined by commas; bytes: what they decode to.
+        made = {"ids": lambda x: array("i", x).tobytes(), "names": lambda x: ",".join(map(names.__getitem__, x)), "bytes": own.decode}
+        forms = [made[x] for x in forms]
 
-    def encode(self, text: str) -> list[int]:
-        from itertools import chain
+        def learn(new: list[str]) -> list[tuple]:
+            ids = own.encode_all([x.encode() for x in new])
+            return list(zip(*(map(f, ids) for f in forms), strict=True))
 
-        pieces, known = self.split(text), self.known
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
-        except KeyError:
-            if len(known) >= MEMORY:
-                known.clear()
-            for x in pieces:
-                if x not in known:
-                    known[x] = tuple(self.encoder.encode(x.encode()))
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        self.remembered = Remembered(splitter(pattern), learn, MEMORY)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple]:
+        """For each text, for each of ``forms``, that of its pieces in order; no columns at all for an empty text."""
+        return (tuple(zip(*x, strict=True)) for x in self.remembered.entries(texts))
 
 
 _ENCODERS: dict = {}
 
 
-def _encoder(shared, tag: int, pattern: str) -> TextEncoder:
+def _encoder(shared, tag: int, pattern: str, forms: tuple[str, ...]) -> TextEncoder:
     """One encoder a worker for each vocabulary; ``tag`` is the checksum of its file."""
-    if (tag, pattern) not in _ENCODERS:
+    if (tag, pattern, forms) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[tag, pattern] = TextEncoder(shared.value, pattern)
-    return _ENCODERS[tag, pattern]
+        _ENCODERS[tag, pattern, forms] = TextEncoder(shared.value, pattern, forms)
+    return _ENCODERS[tag, pattern, forms]
 
 
 def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", what: tuple[str, ...] = ("ids",)) -> DataFrame:
@@ -143,43 +171,72 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     ``sha``: sha256 of the decimal ids joined by commas; ``decoded``: the bytes
     that the ids decode to; ``decoded_sha``: their sha256; ``text``: the decoded
     text, null where the text is null. A null text encodes like an empty one, to
-    no ids. The vocabulary, a file of fixed size, is broadcast.
+    no ids. Texts of any length are encoded whole, a few million characters at a
+    time; repeated rows stay, each encoded alike; an empty table gives none.
+    Other columns, of any name and type, are passed on; one that has the name of
+    a new column is replaced by it. The vocabulary, a file of fixed size, is
+    broadcast.
     """
-    kinds = {"ids": "array<int>", "n": "long", "sha": "string", "decoded": "binary", "decoded_sha": "string", "text": "string"}
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "n": T.LongType(), "sha": T.StringType(), "decoded": T.BinaryType(), "decoded_sha": T.StringType(), "text": T.StringType()}
     with open(ranks_path, "rb") as f:
         tag = zlib.crc32(f.read())
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    names = docs.columns
+    asked = set(what)
+    needed = {"ids": {"ids", "n"}, "names": {"sha"}, "bytes": {"decoded", "decoded_sha", "text"}}
+    forms = tuple(x for x, of in needed.items() if asked & of)
+    if "n" in asked and "ids" not in asked and "sha" in asked:
+        forms = tuple(x for x in forms if x != "ids")  # the commas tell the number
 
     def work(batches: Iterator) -> Iterator:
         from hashlib import sha256
 
+        import numpy as np
         import pyarrow as pa
 
-        types = {"ids": pa.list_(pa.int32()), "n": pa.int64(), "sha": pa.string(), "decoded": pa.binary(), "decoded_sha": pa.string(), "text": pa.string()}
-        own = _encoder(shared, tag, pattern)
-        name, word = own.names.__getitem__, own.encoder.words.__getitem__
+        from .pieces import in_lots, no_cycles
+
+        types = {"n": pa.int64(), "sha": pa.string(), "decoded": pa.binary(), "decoded_sha": pa.string(), "text": pa.string()}
+        encoder = _encoder(shared, tag, pattern, forms)
+        place = {x: i for i, x in enumerate(forms)}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            at = 0
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for lot in in_lots([x or "" for x in texts]):
+                some = batch.slice(at, len(lot))
                 out: dict[str, list] = {k: [] for k in what}
-                for text in some.column("__text").to_pylist():
-                    ids = own.encode(text or "")
-                    if "n" in out:
-                        out["n"].append(len(ids))
-                    if "ids" in out:
+                with no_cycles():
+                    coded = list(encoder.encode(lot))
+                for text, found in zip(texts[at : at + len(lot)], coded, strict=True):
+                    ids = b"".join(found[place["ids"]]) if found and "ids" in place else b""
+                    if "n" in asked:
+                        n = len(ids) // 4
+                    if "sha" in asked:
+                        joined = ",".join(found[place["names"]]) if found else ""
+                        n = joined.count(",") + 1 if joined else 0
+                        out["sha"].append(sha256(joined.encode()).hexdigest())
+                    if "n" in asked:
+                        out["n"].append(n)
+                    if "ids" in asked:
                         out["ids"].append(ids)
-                    if "sha" in out:
-                        out["sha"].append(sha256(",".join(map(name, ids)).encode()).hexdigest())
-                    if "decoded" in out or "decoded_sha" in out or "text" in out:
-                        decoded = b"".join(map(word, ids))
-                        if "decoded" in out:
+                    if "bytes" in place:
+                        decoded = b"".join(found[place["bytes"]]) if found else b""
+                        if "decoded" in asked:
                             out["decoded"].append(decoded)
-                        if "decoded_sha" in out:
+                        if "decoded_sha" in asked:
                             out["decoded_sha"].append(sha256(decoded).hexdigest())
-                        if "text" in out:
+                        if "text" in asked:
                             out["text"].append(None if text is None else decoded.decode())
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), *(pa.array(out[k], types[k]) for k in what)], [*names, *(f"__{k}" for k in what)])
-
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`__{k}` {kinds[k]}" for k in what)]
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(work, ", ".join(fields))
+                made = []
+                for k in what:
+                    if k == "ids":
+                        ends = np.cumsum([0, *(len(x) // 4 for x in out["ids"])])
+                        made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out["ids"]), np.int32))))
+                    else:
+                        made.append(pa.array(out[k], types[k]))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *made], [f.name for f in fields])
+                at += len(lot)
+
+    own = Numbered(docs)
+    new = [f"__{k}" for k in what]
+    fields = [*own.fields(new), *(T.StructField(f"__{k}", kinds[k]) for k in what)]
+    return own.df.select(*(f"c{i}" for i in own.kept(new)), F.col(own.of(text_col)).cast("string").alias("text")).mapInArrow(work, T.StructType(fields))

@@ -327,6 +327,7 @@ def test_line_that_fills_many_partitions(spark):
 
 
 RANKS = prefix_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+KNOWN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
 def test_prefix_bpe_matches_the_library(docs, rows, empty):
@@ -340,6 +341,24 @@ def test_prefix_bpe_matches_the_library(docs, rows, empty):
     assert prefix_bpe.encode_column(empty, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_texts_are_encoded_alike_whatever_is_remembered(monkeypatch):
+    monkeypatch.setattr(prefix_bpe, "MEMORY", 50)
+    monkeypatch.setattr(prefix_bpe, "PAIRS", 20)
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    own, rng = prefix_bpe.TextEncoder(RANKS, P.PATTERN, ("names", "bytes")), random.Random(5)
+    texts = ["".join(rng.choice([" ", "  ", "\n", "a", "é", "ß", "²", "'s", "ÿ", "漢", "thethe", "ingxq", "<|endoftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(900)]
+    for lot in pieces.in_lots(texts, rows=100, chars=1000):
+        for text, found in zip(lot, own.encode(lot), strict=True):
+            assert (",".join(found[0]) if found else "") == ",".join(map(str, known.encode_ordinary(text)))
+            assert (b"".join(found[1]) if found else b"") == text.encode()
+
+
+def test_new_columns_of_the_encoder_replace_those_of_their_name(spark):
+    odd = spark.createDataFrame([("ab cd", 7, "x", (1,))], "text string, __N int, `a ``b.c` string, s struct<`x y`:int>")
+    got = prefix_bpe.encode_column(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, what=("n",)).collect()[0]
+    assert got.asDict(True) == {"text": "ab cd", "a `b.c": "x", "s": {"x y": 1}, "__n": len(KNOWN.encode_ordinary("ab cd"))}
+
+
 def test_prefix_bpe_appends_and_edits():
     enc = prefix_bpe.PrefixEncoder(RANKS)
     rng = random.Random(9)
@@ -445,23 +464,25 @@ def test_huffman_code_is_optimal_and_prefix_free():
         assert (decoder.runs(payload, offsets[::100], np.full(5, 100)) == ids).all()
 
 
-def test_new_pieces_are_encoded_together_like_alone():
-    from tokenizers import Tokenizer
-
+def test_texts_are_encoded_like_by_the_library_with_its_defaults(monkeypatch):
     path = P.path("byte_bpe_50k.json")
+    monkeypatch.setattr(huffman, "MEMORY", 500)
     with open(path, encoding="utf-8") as f:
-        own = huffman._Pieces(f.read(), P.PATTERN)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [" ".join(f"wort{i * 7919 % 10007}" for i in range(5 * huffman.GROUP)), "a\0b \0\0 \0", "\0", "", "<|endoftext|> x \n\n\tä€😀 ɐ", huffman.MARK.join("abc")]
-    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
-    assert own.mark is not None and got == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+        own = huffman._Texts(f.read(), P.PATTERN)
+    plain, rng = Tokenizer.from_file(path), random.Random(4)
+    texts = [" ".join(f"wort{i * 7919 % 10007}" for i in range(500)), "a\0b \0\0 \0", "\0", "", "x <|endoftext|> y", "<|endoftext|> x \n\n\tä€😀 ɐ", "<|endoftext|><|endoftext|>", "<|endof"]
+    texts += ["".join(rng.choice([" ", "  ", "\n", "a", "é", "ß", "²", "'s", "ÿ", "漢", "😀", "\0", "<|endoftext|>"]) for _ in range(rng.randint(0, 20))) for _ in range(2000)]
+    for at in (0, 700, 1400):
+        some = texts[at : at + 700]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [plain.encode(x, add_special_tokens=False).ids for x in some]
+    assert plain.encode(texts[4], add_special_tokens=False).ids[2] == 50256
 
 
 def test_token_files(spark, docs, rows, empty):
     spec = P.path("byte_bpe_50k.json")
     known = Tokenizer.from_file(spec)
-    known.encode_special_tokens = True
+    rows = [*rows, (900, "x <|endoftext|> y", "en", "src0", None, "clash", "clash")]
+    docs = docs.unionByName(spark.createDataFrame(rows[-1:], SCHEMA))
     path = scratch_path(spark, "test-tokens")
     huffman.write_tokens(docs, path, spec, P.PATTERN, 2)
     full = {(r["doc_id"], r["start"]): r["ids"] for r in huffman.read_tokens(spark, path).collect()}
