@@ -77,6 +77,22 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+_CACHED: dict = {}
+
+
+def cached(key, build):
+    """What ``build`` made for ``key`` in this Python worker; a worker keeps one thing at a time, that of its latest operator."""
+    if key not in _CACHED:
+        _CACHED.clear()
+        _CACHED[key] = build()
+    return _CACHED[key]
+
+
+def release() -> None:
+    """Forget what an earlier operator keeps in this Python worker."""
+    _CACHED.clear()
+
+
 class Numbered:
     """The columns of ``df`` under the names ``c0``, ``c1``, ... so that no name of an operator clashes with them.
 
@@ -111,8 +127,8 @@ class Numbered:
         return df.select(*(f"c{i}" for i in kept), *(x.alias(f"n{i}") for i, x in enumerate(new.values()))).toDF(*(self.columns[i] for i in kept), *new)
 
 
-def strings(batch, name: str) -> list[bytes]:
-    """A text column of an Arrow batch as UTF-8 bytes; null becomes empty."""
+def strings(batch, name: str, null: bytes | None = b"") -> list:
+    """A text column of an Arrow batch as UTF-8 bytes; null becomes ``null``."""
     import pyarrow as pa
 
-    return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+    return [null if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]

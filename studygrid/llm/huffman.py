@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import cached, materialize, parts
 
 #: Ids of a run that a mark starts, and of a block; a block's runs are decoded side by side.
 STEP = 128
@@ -118,9 +118,6 @@ class Decoder:
         return out
 
 
-_TOKENIZERS: dict = {}
-
-
 def _alphabet() -> str:
     """The characters that stand for bytes 0 to 255: printable ones for themselves, then U+0100 and on for the others."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -181,21 +178,15 @@ class _Texts:
         return out
 
 
-def _texts(spec, pattern: str) -> _Texts:
-    key = (hash(spec.value), pattern)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = _Texts(spec.value, pattern)
-    return _TOKENIZERS[key]
-
-
 def encoded(docs: DataFrame, spec, pattern: str, end_id: int, wide: bool, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, ids)`` of whole texts, each ended by ``end_id``, and rows with each task's id counts in ``seen``, ``times``.
 
     ``ids`` holds the low bytes of all ids, then the next bytes, of two or four
     planes; a row of counts has no ids.
     """
-    width = 4 if wide else 2
+    import zlib
+
+    width, tag = 4 if wide else 2, zlib.crc32(spec.value.encode())
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -203,7 +194,7 @@ def encoded(docs: DataFrame, spec, pattern: str, end_id: int, wide: bool, id_col
 
         from .pieces import in_lots
 
-        own, end, total = _texts(spec, pattern), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
+        own, end, total = cached(("ids", tag, pattern), lambda: _Texts(spec.value, pattern)), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
         names = ["doc_id", "ids", "seen", "times"]
         for batch in batches:
             at = 0

@@ -16,6 +16,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import Numbered, release
 
 #: Bounds of the sample: rows of all languages together, characters of a row, landmarks.
 SAMPLE_ROWS = 1200
@@ -100,8 +103,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_row
 
     Rows are drawn by a hash of their id; null languages and texts are left out.
     """
-    frame = docs.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= sample_chars) & (F.col(text_col).rlike(r"\p{L}")))
-    frame = frame.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"), F.col(text_col).alias("text"))
+    own = Numbered(docs)
+    lang, text = F.col(own.of(lang_col)), F.col(own.of(text_col))
+    frame = own.df.where(lang.isNotNull() & (F.char_length(text) <= sample_chars) & text.rlike(r"\p{L}"))
+    frame = frame.select(lang.cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col(own.of(id_col))).alias("draw"), text.alias("text"))
     # At most so many languages get rows; of each, a threshold on the draw leaves about four times its share to rank.
     counts = sorted((r["lang"], r["count"]) for r in frame.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample_rows).collect())
     if not counts:
@@ -122,18 +127,23 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     A text that is null or has no letter gets ``und`` and 0, as does every text
     of an untrained model. ``score`` is the best raw score moved from (-1, 1) to
-    (0, 1) and clipped. Ties go to the first language by code point.
+    (0, 1) and clipped. Ties go to the first language by code point. Very long
+    texts are scored whole, repeated rows alike; an empty table gives no rows.
+    Other columns may have any name; those called ``lang_pred`` or ``score`` are
+    replaced.
     """
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared, numbered, new = docs.sparkSession.sparkContext.broadcast(model), Numbered(docs), ("lang_pred", "score")
+    fields = [*numbered.fields(new), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import regex
 
+        release()
         own, letter = shared.value, regex.compile(r"\p{L}").search
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             read = [i for i, x in enumerate(texts) if x and letter(x)] if own else []
             for k in range(0, len(read), 64):
@@ -142,10 +152,10 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 best = raw.argmax(axis=1)
                 for i, j, row in zip(some, best, raw, strict=True):
                     lang[i], score[i] = own.languages[j], min(1.0, max(0.0, (float(row[j]) + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [f.name for f in fields])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string", "score double"]
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(work, ", ".join(fields))
+    kept = numbered.df.select(*(f"c{i}" for i in numbered.kept(new)), F.col(numbered.of(text_col)).cast("string").alias("text"))
+    return kept.mapInArrow(work, T.StructType(fields))
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

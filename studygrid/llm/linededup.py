@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, parts, strings
+from .common import Numbered, materialize, parts, release, strings
 
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -28,6 +29,7 @@ def _hashed(docs: DataFrame, least_chars: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        release()
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             hashes, row, pos, count = [], [], [], []
@@ -92,9 +94,10 @@ def _settled(hashed: DataFrame, least_docs: int) -> DataFrame:
 
 
 def _framed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
+    own = Numbered(docs)
+    text, id_ = F.col(own.of(text_col)).cast("string"), F.col(own.of(id_col))
     # The text's hash keeps rows apart that repeat an id with another text.
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return own.df.where(id_.isNotNull()).select(id_.cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
@@ -135,11 +138,18 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the lines that stay, plus ``__n_lines`` and ``__n_dropped``.
 
-    A null text stays null and counts as one line.
+    A null text stays null and counts as one line, as does an empty one. A very
+    long text is read whole; an empty table gives no rows. Other columns may have
+    any name; those called like the two new ones are replaced.
     """
-    names = docs.columns
-    marks = bitmaps.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("n_dropped").alias("__n_dropped"), F.col("keep").alias("__keep"))
-    joined = docs.join(marks, (docs[id_col].cast("long") == marks["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == marks["__th"]), "left").drop("__id", "__th")
+    own, new = Numbered(docs), ("__n_lines", "__n_dropped")
+    text, id_ = F.col(own.of(text_col)).cast("string"), F.col(own.of(id_col)).cast("long")
+    marks = bitmaps.select("id", "th", F.col("n_dropped").cast("long").alias("dropped"), "keep")
+    joined = own.df.join(marks, (id_ == marks["id"]) & (F.xxhash64(text) == marks["th"]), "left")
+    joined = joined.select(*(f"c{i}" for i in own.kept(new)), text.alias("text"), "keep", F.coalesce("dropped", F.lit(0)).alias("dropped"))
+    at = own.kept(new).index(int(own.of(text_col)[1:]))
+    fields = [*own.fields(new), T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())]
+    fields[at] = T.StructField(fields[at].name, T.StringType())
 
     def work(batches: Iterator) -> Iterator:
         import zlib
@@ -148,25 +158,26 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+            texts = strings(batch, "text", None)
             lines = [1] * len(texts)
-            for i, (text, keep) in enumerate(zip(texts, batch.column("__keep").to_pylist(), strict=True)):
+            for i, (text, keep) in enumerate(zip(texts, batch.column("keep").to_pylist(), strict=True)):
                 if text is None:
                     continue
                 lines[i] = text.count(b"\n") + 1
                 if keep is not None:
                     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=lines[i])
                     texts[i] = b"\n".join(x for x, b in zip(text.split(b"\n"), bits.tolist(), strict=True) if b)
-            made = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "__n_lines": pa.array(lines, pa.int64())}
-            out = [*names, "__n_lines", "__n_dropped"]
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in out], out)
+            arrays = [*batch.columns[:-3], pa.array(lines, pa.int64()), batch.column("dropped")]
+            arrays[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    schema = docs.schema
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "__n_lines long", "__n_dropped int"]
-    joined = joined.withColumn(text_col, F.col(text_col).cast("string"))
-    return joined.mapInArrow(work, ", ".join(fields)).withColumn("__n_dropped", F.coalesce(F.col("__n_dropped").cast("long"), F.lit(0)))
+    return joined.mapInArrow(work, T.StructType(fields))
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """``docs`` without the repeated lines; see ``keep_bitmaps`` for the rule. All rows and columns stay."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, least_chars, least_docs), id_col, text_col).drop("__n_lines", "__n_dropped")
+    new = ("__n_lines", "__n_dropped")
+    own = Numbered(docs)
+    # Numbered names keep the rows' own columns apart from the two that are made and go.
+    made = apply_bitmaps(own.df, keep_bitmaps(docs, id_col, text_col, least_chars, least_docs), own.of(id_col), own.of(text_col))
+    return made.drop(*new).toDF(*docs.columns)

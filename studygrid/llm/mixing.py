@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, Numbered, materialize
 
 #: Key ranges of a source; its prefix sums have at most so many rows in one task.
 BUCKETS = 1024
@@ -68,7 +68,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, most: float, seed: int) -> DataFrame:
     """``(doc_id, source, size, key, source_size, target, epochs, picked)`` of every row."""
-    rows = _keyed(docs, id_col, text_col, source_col, seed).select("__mix.*", F.col("__source").alias("source"))
+    own = Numbered(docs)
+    rows = _keyed(own.df, own.of(id_col), own.of(text_col), own.of(source_col), seed).select("__mix.*", F.col("__source").alias("source"))
     bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
     rows = materialize(rows.withColumn("bucket", bucket), "mix")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -120,7 +121,7 @@ def mixed(
     most: float = 2.0,
     seed: int = 42,
 ) -> DataFrame:
-    """The mix itself: each row of ``docs``, all columns kept, as often as ``mix`` counts copies.
+    """The mix itself: each row of ``docs``, all columns kept whatever their names, as often as ``mix`` counts copies.
 
     A source selects a prefix of its keys, so its last selected key decides for
     every row and no text is shuffled; that table has a row for each source and
@@ -130,8 +131,9 @@ def mixed(
     last = F.max(F.when(F.col("picked"), F.struct("key", "doc_id", "size"))).alias("__last")
     ends = materialize(found.groupBy(F.col("source").alias("__s")).agg(F.max("epochs").alias("__epochs"), last), "mix-ends")
     ends = F.broadcast(ends) if ends.count() < 100_000 else ends
-    keyed = _keyed(docs, id_col, text_col, source_col, seed)
+    own = Numbered(docs)
+    keyed = _keyed(own.df, own.of(id_col), own.of(text_col), own.of(source_col), seed)
     joined = keyed.join(ends, F.col("__source").eqNullSafe(F.col("__s")))
     copies = F.col("__epochs") + F.coalesce(F.col("__mix") <= F.col("__last"), F.lit(False)).cast("long")
     copied = joined.withColumn("__copies", copies).where(F.col("__copies") > 0)
-    return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*own.df.columns).toDF(*docs.columns)

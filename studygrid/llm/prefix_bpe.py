@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered
+from .common import Numbered, cached
 
 #: Pieces that a worker remembers (the latest, up to twice as many), and pairs of tokens, which start anew when full.
-MEMORY, PAIRS = 400_000, 1_200_000
+MEMORY, PAIRS = 200_000, 1_200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -153,17 +153,6 @@ class TextEncoder:
         return (tuple(zip(*x, strict=True)) for x in self.remembered.entries(texts))
 
 
-_ENCODERS: dict = {}
-
-
-def _encoder(shared, tag: int, pattern: str, forms: tuple[str, ...]) -> TextEncoder:
-    """One encoder a worker for each vocabulary; ``tag`` is the checksum of its file."""
-    if (tag, pattern, forms) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[tag, pattern, forms] = TextEncoder(shared.value, pattern, forms)
-    return _ENCODERS[tag, pattern, forms]
-
-
 def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", what: tuple[str, ...] = ("ids",)) -> DataFrame:
     """All columns of ``docs`` and those of ``what``, named ``__<name>``.
 
@@ -196,7 +185,7 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
         from .pieces import in_lots, no_cycles
 
         types = {"n": pa.int64(), "sha": pa.string(), "decoded": pa.binary(), "decoded_sha": pa.string(), "text": pa.string()}
-        encoder = _encoder(shared, tag, pattern, forms)
+        encoder = cached(("bpe", tag, pattern, forms), lambda: TextEncoder(shared.value, pattern, forms))
         place = {x: i for i, x in enumerate(forms)}
         for batch in batches:
             at = 0

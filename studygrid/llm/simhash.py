@@ -20,7 +20,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, strings
+from . import shingles
+from .common import materialize, parts, release, strings
 from .components import components
 
 
@@ -54,6 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import numpy as np
         import pyarrow as pa
 
+        release()
         for batch in batches:
             fps = np.array([fingerprint(x) for x in strings(batch, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
@@ -172,8 +174,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` that are the least id of their component, all columns kept."""
-    found = near_duplicates(docs, id_col, text_col, bits)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """One row of each group of near copies, all columns kept: that of the least id.
+
+    Near copies have four fifths of their shingles of ``words`` words in common,
+    or are linked by such; see ``shingles`` for how fingerprints find them. Null
+    or empty text and text without words are alike, and one such row stays. Rows
+    with a null id take part and stand for a group only if it has no other; of
+    repeated rows one stays. An empty table gives no rows, a very long text is
+    read whole, and other columns may have any name.
+    """
+    return shingles.one_of_each(docs, shingles.near_copies(docs, id_col, text_col, words), id_col, text_col)
