@@ -83,14 +83,27 @@ _CACHED: dict = {}
 def cached(key, build):
     """What ``build`` made for ``key`` in this Python worker; a worker keeps one thing at a time, that of its latest operator."""
     if key not in _CACHED:
+        release()
         _CACHED.clear()
         _CACHED[key] = build()
     return _CACHED[key]
 
 
 def release() -> None:
-    """Forget what an earlier operator keeps in this Python worker."""
+    """Forget what an earlier operator keeps in this Python worker, and give its memory back."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if None in _CACHED:
+        return
     _CACHED.clear()
+    _CACHED[None] = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
 class Numbered:

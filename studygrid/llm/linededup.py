@@ -108,12 +108,15 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is the line without white space at its ends, A-Z in lower case; keys of at
     least ``least_chars`` characters in at least ``least_docs`` different ids
     stay only in the largest id that holds them. Rows with a null id or text
-    lose nothing; an id that comes twice is one document.
+    lose nothing; an id that comes twice is one document, of which every row
+    loses its lines. Very long texts are read whole, repeated rows alike; an
+    empty table gives no rows; other columns, of any name, are ignored.
     """
     found = materialize(_settled(materialize(_hashed(_framed(docs, id_col, text_col), least_chars), "lines"), least_docs), "runs")
     edge = found.where("edge")
     wide = edge.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("stays")).where(F.col("n") >= least_docs)
-    late = edge.join(wide, ["h1", "h2"]).where(F.col("id") != F.col("stays"))
+    # A partition has two edge runs at most, which bounds the keys, not their rows: those stay where they are.
+    late = edge.join(F.broadcast(wide), ["h1", "h2"]).where(F.col("id") != F.col("stays"))
     lost = found.where("not edge").select("id", "th", "n_lines", "pos").unionByName(late.select("id", "th", "n_lines", "pos"))
     lost = lost.groupBy("id", "th", "n_lines").agg(F.collect_set("pos").alias("lost"))
 

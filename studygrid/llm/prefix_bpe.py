@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import Numbered, cached
 
 #: Pieces that a worker remembers (the latest, up to twice as many), and pairs of tokens, which start anew when full.
-MEMORY, PAIRS = 200_000, 1_200_000
+MEMORY, PAIRS = 200_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -131,7 +131,7 @@ class PrefixEncoder:
 class TextEncoder:
     """Encodes whole texts piece by piece, remembering the pieces with their ids in the ``forms`` asked for."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, forms: tuple[str, ...]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, forms: tuple[str, ...], room: int | None = None):
         from array import array
 
         from .pieces import Remembered, splitter
@@ -146,14 +146,14 @@ class TextEncoder:
             ids = own.encode_all([x.encode() for x in new])
             return list(zip(*(map(f, ids) for f in forms), strict=True))
 
-        self.remembered = Remembered(splitter(pattern), learn, MEMORY)
+        self.remembered = Remembered(splitter(pattern), learn, room or MEMORY)
 
     def encode(self, texts: list[str]) -> Iterator[tuple]:
         """For each text, for each of ``forms``, that of its pieces in order; no columns at all for an empty text."""
         return (tuple(zip(*x, strict=True)) for x in self.remembered.entries(texts))
 
 
-def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", what: tuple[str, ...] = ("ids",)) -> DataFrame:
+def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", what: tuple[str, ...] = ("ids",), room: int | None = None) -> DataFrame:
     """All columns of ``docs`` and those of ``what``, named ``__<name>``.
 
     ``ids``: array<int>, the encoding of the whole text; ``n``: its length;
@@ -164,7 +164,8 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     time; repeated rows stay, each encoded alike; an empty table gives none.
     Other columns, of any name and type, are passed on; one that has the name of
     a new column is replaced by it. The vocabulary, a file of fixed size, is
-    broadcast.
+    broadcast; a worker remembers ``room`` to twice as many pieces (``MEMORY`` if
+    None), of about 300 bytes each.
     """
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n": T.LongType(), "sha": T.StringType(), "decoded": T.BinaryType(), "decoded_sha": T.StringType(), "text": T.StringType()}
     with open(ranks_path, "rb") as f:
@@ -185,7 +186,7 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
         from .pieces import in_lots, no_cycles
 
         types = {"n": pa.int64(), "sha": pa.string(), "decoded": pa.binary(), "decoded_sha": pa.string(), "text": pa.string()}
-        encoder = cached(("bpe", tag, pattern, forms), lambda: TextEncoder(shared.value, pattern, forms))
+        encoder = cached(("bpe", tag, pattern, forms, room), lambda: TextEncoder(shared.value, pattern, forms, room))
         place = {x: i for i, x in enumerate(forms)}
         for batch in batches:
             at = 0
