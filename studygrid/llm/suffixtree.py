@@ -4,13 +4,15 @@ A window is ``window`` consecutive words. In each window the 8-word prefix with
 the least hash is its anchor, so equal windows have equal anchors at equal
 places and a document needs a suffix only at its anchors, about one word in
 twenty. Suffixes are grouped by that prefix. Prefixes that one document alone
-has are dropped before any text moves. In a group, the tree of the words that
-follow and the tree of the words that come before are grown node by node (one
-sort a level); a window is a pair of a left and a right node whose depths add up
-to ``window``, and the least document under the pair decides. Groups are streamed
-through memory in prefix order. A prefix with more than ``group`` suffixes is
-lengthened to whole windows, whose groups need only their least document and are
-settled by a plain, map-side combined aggregation.
+has are dropped before any text moves. A prefix with more than ``group`` suffixes
+is lengthened to 16, 32, ... words, with the windows that no longer hold it moved
+to their own run of that length, until its groups fit in memory; a prefix as long
+as a window is a leaf of the tree and needs its least document alone, which is a
+grouped minimum. In each other group, the tree of the words that follow and the
+tree of the words that come before are grown node by node (one sort a level); a
+window is a pair of a left and a right node whose depths add up to ``window``,
+and the least document under the pair decides. Groups are streamed through
+memory in prefix order.
 
 Documents of the same words are collapsed first: of those, all but the least id
 lose every window.
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, strings
+from .common import Numbered, materialize, parts, release, strings
 
 PREFIX = 8
-GROUP = 100_000
+#: Suffixes of a prefix that are grown as one tree; a unit of memory that results don't depend on.
+GROUP = 20_000
 #: Rows that a worker takes from a stream of groups at a time.
 CHUNK = 30_000
 
@@ -91,6 +94,7 @@ def _read(docs: DataFrame, window: int, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        release()
         for batch in batches:
             n_words, sha, found, sizes = [], [], [], []
             for text in strings(batch, "text"):
@@ -212,8 +216,40 @@ def _grown(suffixes: DataFrame, window: int, width: int) -> DataFrame:
     return dealt.mapInArrow(work, "id long, th long, begin int, end int")
 
 
-def _whole_windows(joined: DataFrame, window: int) -> DataFrame:
-    """The windows of frequent prefixes, settled by their own hash."""
+def _lengthened(joined: DataFrame, window: int, width: int, longer: int) -> DataFrame:
+    """``(id, th, p)`` of the same windows with prefixes of ``longer`` in place of ``width`` words.
+
+    Windows that hold the longer run from their anchor on share it; each of the
+    others takes its last ``longer`` words.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for i, th, text, places in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
+                words = text.split()
+                hashes = gram_hashes(words, longer).view(np.int64)
+                for p in places:
+                    at, lo, hi = p["at"], p["lo"], p["hi"]
+                    # Windows from this one on hold ``longer`` words from the anchor on.
+                    full = max(lo, at + longer - window)
+                    some = [(w + window - longer, w, w) for w in range(lo, min(full, hi + 1))]
+                    if full <= hi:
+                        some.append((at, full, hi))
+                    for place, first, last in some:
+                        for col, x in zip(out, (i, th, int(hashes[place]), place, first, last), strict=True):
+                            col.append(x)
+            entries = pa.StructArray.from_arrays([pa.array(out[2], pa.int64()), *(pa.array(x, pa.int32()) for x in out[3:])], ["h", "at", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), entries], ["id", "th", "p"])
+
+    return joined.mapInArrow(work, "id long, th long, p struct<h:long,at:int,lo:int,hi:int>")
+
+
+def _leaves(joined: DataFrame, window: int) -> DataFrame:
+    """The windows of prefixes that are as long as a window: a leaf each, told apart by 128 bits."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -225,12 +261,10 @@ def _whole_windows(joined: DataFrame, window: int) -> DataFrame:
             for i, th, text, places in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
                 words = text.split()
                 for p in places:
-                    for k in range(p["lo"], p["hi"] + 1):
-                        hashes.append(xxhash.xxh3_128_digest(b" ".join(words[k : k + window])))
-                        at.append(k)
-                    n = p["hi"] - p["lo"] + 1
-                    ids += [i] * n
-                    ths += [th] * n
+                    hashes.append(xxhash.xxh3_128_digest(b" ".join(words[p["lo"] : p["lo"] + window])))
+                    at.append(p["lo"])
+                    ids.append(i)
+                    ths.append(th)
             pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(at, pa.int32())], ["w1", "w2", "id", "th", "begin"])
 
@@ -269,23 +303,34 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     A word goes if a window that covers it also starts in a document of smaller
     id; ``kept`` is the words that stay, joined by one space. Null and empty
     texts have no words; rows with a null id take no part, as no id is smaller
-    or larger; rows that repeat an id are compared with smaller ids alone.
+    or larger; rows that repeat an id are compared with smaller ids alone. Very
+    long texts are read whole; an empty table gives no rows; other columns, of
+    any name, are ignored.
     """
     width = min(PREFIX, window)
-    text = F.col(text_col).cast("string")
-    frame = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    names = Numbered(docs)
+    text, id_ = F.col(names.of(text_col)).cast("string"), F.col(names.of(id_col))
+    frame = names.df.where(id_.isNotNull()).select(id_.cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     read = materialize(_read(frame, window, width), "words")
     least = read.groupBy("sha").agg(F.min("id").alias("least"))
     long_ = read.where(F.col("n_words") >= window)
     own = long_.join(least, "sha").where(F.col("id") == F.col("least")).select("id", "th", F.explode("anchors").alias("p"))
-    shared = own.groupBy(F.col("p.h").alias("h")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where(F.col("a") < F.col("b"))
-    shared = materialize(shared.select("h", "n"), "prefixes")
-    places = own.join(shared, F.col("p.h") == F.col("h")).select("id", "th", "p", (F.col("n") > group).alias("frequent"))
-    places = materialize(places, "anchors")
-    grouped = lambda rows: rows.groupBy("id", "th").agg(F.collect_list("p").alias("places"))
-    ranges = _grown(_suffixes(frame.join(grouped(places.where("not frequent")).hint("merge"), ["id", "th"]), window), window, width)
-    if shared.where(F.col("n") > group).limit(1).count():
-        ranges = ranges.unionByName(_whole_windows(frame.join(grouped(places.where("frequent")).hint("merge"), ["id", "th"]), window))
+    with_text = lambda rows: frame.join(rows.groupBy("id", "th").agg(F.collect_list("p").alias("places")).hint("merge"), ["id", "th"])
+    ranges = None
+    while True:
+        shared = own.groupBy(F.col("p.h").alias("h")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where(F.col("a") < F.col("b"))
+        places = own.join(shared.select("h", "n"), F.col("p.h") == F.col("h")).select("id", "th", "p", (F.col("n") > group).alias("frequent"))
+        places = materialize(places, f"anchors-{width}")
+        grown = _grown(_suffixes(with_text(places.where("not frequent")), window), window, width)
+        ranges = grown if ranges is None else ranges.unionByName(grown)
+        frequent = places.where("frequent")
+        if frequent.isEmpty():
+            break
+        if width == window:
+            ranges = ranges.unionByName(_leaves(with_text(frequent), window))
+            break
+        longer = min(2 * width, window)
+        own, width = materialize(_lengthened(with_text(frequent), window, width, longer), f"prefixes-{longer}"), longer
     ranges = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     cut = _cut(frame.join(ranges.hint("merge"), ["id", "th"]), window).dropDuplicates(["id", "th"])
     rows = read.select("id", "th", "n_words", "sha").join(least, "sha").withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_words") >= window))
