@@ -20,24 +20,35 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BLOCK = 16_384
-QUERIES = 1024
+#: Queries that meet a block at a time: it is copied once for so many.
+QUERIES = 8192
 PAGE = 256
 FAN = 16
 #: Below every score; its negative is an integer too.
-LOW = -(1 << 62)
+LOW = -(1 << 63) + 1
 
 
 class MTree:
-    """``rows``: float64 matrix of integers; entries are numbered as the rows are."""
+    """``rows``: int64 matrix; entries are numbered as the rows are.
 
-    def __init__(self, rows, page: int = PAGE, fan: int = FAN, seed: int = 7):
+    ``most`` is above the absolute value of every score. Below 2**53 products of
+    doubles are exact; from there on scores are computed as integers, below 2**63.
+    """
+
+    def __init__(self, rows, page: int = PAGE, fan: int = FAN, seed: int = 7, most: float = 2.0**53):
         import numpy as np
 
+        if most >= 2.0**63:
+            raise OverflowError("scores beyond 64 bits")
+        self.integers, self.exact, self.packed = rows, most <= 2.0**53, most * len(rows) < 2.0**61
+        rows = rows.astype(np.float64)
         self.rows, self.page, self.fan = rows, page, fan
         norms = (rows**2).sum(axis=1)
         self.bound = float(norms.max()) if len(rows) else 0.0
         self.space = np.hstack([rows, np.sqrt(np.maximum(self.bound - norms, 0))[:, None]])
         self.rng = np.random.default_rng(seed)
+        #: Pages that queries have read.
+        self.reads = 0
         # Of each page: routing row, radius, entries, their stored distances, upper node.
         self.pages: list[tuple] = []
         # Of each upper node: routing row, radius; and of each page its distance to it.
@@ -84,9 +95,11 @@ class MTree:
         import numpy as np
 
         n, q = len(self.rows), len(queries)
-        best = np.full((q, k), LOW)
+        # Scores and rows of the k best; packed, a score and its row in one number.
+        best, found = np.full((q, k), LOW), np.full((q, k), -1)
         if not n or not q:
-            return best, np.full((q, k), -1)
+            return best, found
+        integers, queries = queries, queries.astype(np.float64)
         space = np.hstack([queries, np.zeros((q, 1))])
         norms = (queries**2).sum(axis=1)
         slack = 1e-6 * (1 + norms + self.bound)
@@ -123,27 +136,42 @@ class MTree:
                     guess[new, j] = np.maximum(guess[new, j], own[new, j] - r)
                     who = who[guess[who, j] ** 2 <= reach[who] + slack[who]]
                 if len(who):
-                    self._read(j, who, queries, at, far, own, reach, slack, best, norms, k)
+                    self.reads += len(who)
+                    self._read(j, who, queries if self.exact else integers, at, far, own, reach, slack, best, found, norms, k)
                     guess[who, j] = np.inf
+        if not self.packed:
+            return best, found
         rows = np.where(best > LOW, n - 1 - best % n, -1)
         return np.where(rows >= 0, best // n, best), rows
 
-    def _read(self, j, who, queries, at, far, own, reach, slack, best, norms, k) -> None:
+    def _read(self, j, who, queries, at, far, own, reach, slack, best, found, norms, k) -> None:
         import numpy as np
 
         open_ = (own[who, j][:, None] - far[None]) ** 2 <= (reach[who] + slack[who])[:, None]
         some = open_.any(axis=0)
         if not some.any():
             return
-        scores = np.rint(queries[who] @ self.rows[at[some]].T).astype(np.int64)
-        # A score and its row in one number that orders by score, then smaller row.
-        ranked = np.where(open_[:, some], scores * len(self.rows) + (len(self.rows) - 1 - at[some]), LOW)
-        both = np.concatenate([best[who], ranked], axis=1)
-        if both.shape[1] > k:
-            both = -np.partition(-both, k - 1, axis=1)[:, :k]
-        best[who] = -np.sort(-both, axis=1)
+        if self.exact:
+            scores = np.rint(queries[who] @ self.rows[at[some]].T).astype(np.int64)
+        else:
+            scores = queries[who] @ self.integers[at[some]].T
+        if self.packed:
+            # A score and its row in one number that orders by score, then smaller row.
+            ranked = np.where(open_[:, some], scores * len(self.rows) + (len(self.rows) - 1 - at[some]), LOW)
+            both = np.concatenate([best[who], ranked], axis=1)
+            if both.shape[1] > k:
+                both = -np.partition(-both, k - 1, axis=1)[:, :k]
+            best[who] = -np.sort(-both, axis=1)
+            last = best[who, -1] // len(self.rows)
+        else:
+            both = np.concatenate([best[who], np.where(open_[:, some], scores, LOW)], axis=1)
+            rows = np.concatenate([found[who], np.broadcast_to(at[some], scores.shape)], axis=1)
+            order = np.lexsort((rows, -both), axis=1)[:, :k]
+            best[who], found[who] = np.take_along_axis(both, order, axis=1), np.take_along_axis(rows, order, axis=1)
+            found[who] = np.where(best[who] > LOW, found[who], -1)
+            last = best[who, -1]
         full = best[who, -1] > LOW
-        reach[who[full]] = norms[who[full]] + self.bound - 2.0 * (best[who[full], -1] // len(self.rows))
+        reach[who[full]] = norms[who[full]] + self.bound - 2.0 * last[full]
 
 
 def quantized(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -159,7 +187,9 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     Ties go to the smaller id. Queries are the rows where ``is_query`` holds; a
     row that repeats an id and a vector counts once; a shorter vector is filled
     up with zeros; null ids take no part; fewer than ``k`` other rows give all of
-    them. Scores must stay below 2**53 / number of rows of a block.
+    them; an empty table gives no rows; other columns, of any name, are ignored.
+    Scores are exact integers; where norms allow one beyond 64 bits, or a
+    component is beyond them, an OverflowError tells so.
     """
     points = quantized(rows, id_col, vector_col, scale).dropDuplicates(["id", "q"])
     asked = quantized(rows.where(is_query), id_col, vector_col, scale).dropDuplicates(["id", "q"])
@@ -167,7 +197,12 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     points = points.withColumn("at", F.row_number().over(turn)).where(F.col("at") <= k + 1)
     points = materialize(points.groupBy("q").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "points")
     asked = materialize(asked.join(points.select("q", "rep"), "q").select("id", "rep"), "asked")
-    size = points.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
+    norm = F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d"), F.max(norm).alias("norm")).first()
+    # No product of two rows is beyond the largest squared norm; rounding of that is far below the margin.
+    most = 1.000001 * (size["norm"] or 0.0) + 1
+    if most >= 2.0**63:
+        raise OverflowError(f"squared norms of up to {size['norm']:.4g} allow scores beyond 64 bits")
     sought = asked.select("rep").distinct()
     n_sought = sought.count()
     blocks, turns, width = max(1, -(-size["n"] // block)), max(1, -(-n_sought // queries)), size["d"] or 0
@@ -184,13 +219,13 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         def read(table, id_name, vector_name):
             flat = table.column(vector_name).combine_chunks().flatten().to_numpy()
             rep = table.column(id_name).to_numpy()
-            return rep, flat.reshape(len(rep), -1).astype(np.float64) if len(rep) else np.zeros((0, width))
+            return rep, flat.reshape(len(rep), -1) if len(rep) else np.zeros((0, width), np.int64)
 
         rep, x = read(left, "rep", "q")
         order = np.argsort(rep)
         rep, x = rep[order], x[order]
         who, q = read(right, "asked", "v")
-        scores, at = MTree(x).search(q, min(k + 1, max(1, len(rep))))
+        scores, at = MTree(x, most=most).search(q, min(k + 1, max(1, len(rep))))
         i, j = np.nonzero(at >= 0)
         return pa.table({"asked": who[i], "rep": rep[at[i, j]], "score": scores[i, j]}, pa.schema([("asked", pa.int64()), ("rep", pa.int64()), ("score", pa.int64())]))
 
