@@ -7,7 +7,10 @@ to be filed there: the squared distances to the two bisecting planes, summed. A
 vector within the cosine threshold moves at most delta = sqrt(2 - 2 t), and by
 delta / sqrt(d) along a given direction if it moves anywhere alike; the traversal
 ends where the cells left would hold less than 1 - ``recall`` of the links (at
-recall 1, where none can hold any). All pairs that meet are verified exactly.
+recall 1, where none can hold any). Pairs that meet are settled by products of
+single precision, which are off by less than ``NARROW``; the few that come as
+near to the threshold as that are verified in double precision by a join, so
+that cells carry vectors of half the size.
 
 Equal vectors are one entry. A cell with more than ``block`` rows is dealt out as
 pairs of blocks; tasks give back counts and spanning links, never all pairs.
@@ -20,14 +23,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import Numbered, materialize, parts
 from .components import components
 
-#: Rows that the codebooks are fitted on, codewords of a half, rows a cell should hold.
-SAMPLE = 8192
-CODEWORDS = 256
+#: Rows that the codebooks are fitted on at least, and for each codeword; codewords of a half at most; rows a cell should hold.
+SAMPLE, SAMPLE_EACH = 8192, 16
+CODEWORDS = 4096
 CELL_ROWS = 200
 BLOCK = 4096
+#: Above the error of a product of two unit vectors in single precision, for up to some thousands of components.
+NARROW = 1e-4
 
 
 def codebook(rows, k: int, rounds: int = 12, seed: int = 5):
@@ -83,18 +88,22 @@ def reach(threshold: float, recall: float, width: int, words: int) -> float:
 
 
 def _linked(probe, members, weight, same, threshold: float):
-    """Weighted number of members within the threshold of each probe, and labels that spread over links.
+    """Weighted number of members surely within the threshold of each probe, labels that spread over links, and pairs too near to tell.
 
     ``same``: for each probe the member that it is itself, or -1.
     """
     import numpy as np
 
     p, m = len(probe), len(members)
-    hit = np.zeros((p, m), bool)
-    for at in range(0, p, 1024):
-        hit[at : at + 1024] = probe[at : at + 1024] @ members.T >= threshold
+    hit, close = np.zeros((p, m), bool), []
     mine = same >= 0
-    hit[np.flatnonzero(mine), same[mine]] = False
+    for at in range(0, p, 1024):
+        product = probe[at : at + 1024] @ members.T
+        own = mine[at : at + 1024]
+        product[np.flatnonzero(own), same[at : at + 1024][own]] = -2
+        hit[at : at + 1024] = product >= threshold + NARROW
+        i, j = np.nonzero((product >= threshold - NARROW) & (product < threshold + NARROW))
+        close.append((i + at, j))
     counts = hit @ weight
     label = np.arange(m, dtype=np.int32)
     top = np.full(p, m, np.int32)
@@ -113,7 +122,7 @@ def _linked(probe, members, weight, same, threshold: float):
             if (new == label).all():
                 break
             label = new
-    return counts, top, label
+    return counts, top, label, [np.concatenate(x) for x in zip(*close, strict=True)]
 
 
 def near_duplicates(
@@ -131,17 +140,30 @@ def near_duplicates(
     precision is at least ``threshold``. Vectors that are null, zero or empty, or
     hold null or non-finite components, link with nothing, as do vectors of
     different length. Rows with a null id take no part; repeated ids count each
-    row. ``n_links`` counts other rows, copies included.
+    row. ``n_links`` counts other rows, copies included. An empty table gives no
+    rows; other columns, of any name, are ignored.
     """
-    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
-    all_rows = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), x.alias("x"))
+    names = Numbered(rows)
+    x = F.transform(F.col(names.of(vector_col)), lambda v: v.cast("double"))
+    id_ = F.col(names.of(id_col)).cast("long")
+    all_rows = names.df.where(id_.isNotNull()).select(id_.alias("id"), F.col(names.of(label_col)).cast("string").alias("label"), x.alias("x"))
     fine = F.col("label").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     usable = all_rows.where(fine)
     classes = usable.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    # An id that repeats with other vectors stands for several entries; they are told apart by number.
+    # An id that repeats with other vectors stands for several entries; they are told apart by a number.
     classes = materialize(classes.withColumn("entry", F.xxhash64("label", "x")), "vectors")
-    n = classes.count()
-    sample = [r["x"] for r in classes.orderBy(F.xxhash64("entry"), "rep").limit(SAMPLE).select("x").collect()]
+    n, distinct = classes.agg(F.count("*"), F.count_distinct("entry")).first()
+    if distinct < n:
+        # Two vectors have one hash. A salted one is found for all, which needs another pass only here.
+        for salt in range(1, 100):
+            number = F.xxhash64("label", "x", F.lit(salt))
+            if classes.select(F.count_distinct(number)).first()[0] == n:
+                break
+        classes = materialize(classes.withColumn("entry", number), "vectors")
+    else:
+        number = F.xxhash64("label", "x")
+    k = int(min(CODEWORDS, max(1, round((n / CELL_ROWS) ** 0.5))))
+    sample = [r["x"] for r in classes.orderBy(F.xxhash64("entry"), "rep").limit(max(SAMPLE, SAMPLE_EACH * k)).select("x").collect()]
     if not n:
         return all_rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     import numpy as np
@@ -149,7 +171,6 @@ def near_duplicates(
     by_width: dict[int, list] = {}
     for v in sample:
         by_width.setdefault(len(v), []).append(v)
-    k = int(min(CODEWORDS, max(1, round((n / CELL_ROWS) ** 0.5))))
 
     def unit(v):
         v = np.asarray(v, float)
@@ -171,6 +192,7 @@ def near_duplicates(
             for w in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == w]
                 u = unit([vectors[i] for i in at])
+                narrow = u.astype(np.float32)
                 cells: list = [[0]] * len(at)
                 if w in books:
                     one, two, most = books[w]
@@ -187,12 +209,12 @@ def near_duplicates(
                         cells.append([p[i] * len(two) + q[j] for i, j in multi_sequence(m1[r][p].tolist(), m2[r][q].tolist(), most)])
                 for r, i in enumerate(at):
                     for c, cell in enumerate([cells[r][0], *cells[r]]):
-                        for col, v in zip(out, (label[i], w << 32 | cell, c > 0, entry[i], times[i], u[r]), strict=True):
+                        for col, v in zip(out, (label[i], w << 32 | cell, c > 0, entry[i], times[i], narrow[r]), strict=True):
                             col.append(v)
-            types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+            types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["label", "cell", "probe", "entry", "times", "u"])
 
-    filed = materialize(classes.mapInArrow(file, "label string, cell long, probe boolean, entry long, times long, u array<double>"), "cells")
+    filed = materialize(classes.mapInArrow(file, "label string, cell long, probe boolean, entry long, times long, u array<float>"), "cells")
     spread = filed.groupBy("label", "cell").agg(F.ceil(F.count_if(~F.col("probe")) / block).cast("int").alias("mb"), F.ceil(F.count_if("probe") / block).cast("int").alias("pb"))
     # Cells that nothing is filed in have nothing to verify.
     filed = filed.join(spread.where(F.col("mb") > 0), ["label", "cell"])
@@ -212,7 +234,7 @@ def near_duplicates(
             pe, me = entry[probe], entry[~probe]
             at = {e: i for i, e in enumerate(me.tolist())}
             same = np.array([at.get(e, -1) for e in pe.tolist()], np.int64)
-            counts, top, label = _linked(u[probe], u[~probe], times[~probe], same, threshold)
+            counts, top, label, (i, j) = _linked(u[probe], u[~probe], times[~probe], same, threshold)
             tied = top < len(me)
             src = np.concatenate([pe[tied], me])
             dst = np.concatenate([me[top[tied]], me[label]])
@@ -221,6 +243,8 @@ def near_duplicates(
             none = pa.nulls(int(edge.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pe[linked]), pa.nulls(int(linked.sum()), pa.int64()), pa.array(counts[linked].astype(np.int64))], ["src", "dst", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(src[edge]), pa.array(dst[edge]), none], ["src", "dst", "n"])
+            # Zero: still to be verified.
+            yield pa.RecordBatch.from_arrays([pa.array(pe[i]), pa.array(me[j]), pa.array(np.zeros(len(i), np.int64))], ["src", "dst", "n"])
 
         key, group = None, []
         for batch in batches:
@@ -236,11 +260,23 @@ def near_duplicates(
             yield from flush(group)
 
     found = materialize(dealt.mapInArrow(verify, "src long, dst long, n long"), "verified")
-    links = found.where(F.col("n").isNotNull()).groupBy(F.col("src").alias("entry")).agg(F.sum("n").alias("others"))
-    roots = components(found.where(F.col("dst").isNotNull()).select("src", "dst")).select(F.col("node").alias("entry"), "root")
+
+    def exactly(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = (unit(batch.column(c).to_pylist()) if len(set(map(len, batch.column(c).to_pylist()))) == 1 else [unit([v])[0] for v in batch.column(c).to_pylist()] for c in ("x", "y"))
+            ok = pa.array([float(p @ q) >= threshold for p, q in zip(a, b, strict=True)], pa.bool_())
+            yield batch.select(["src", "dst", "n"]).filter(ok)
+
+    close = found.where("n = 0").select("src", "dst").distinct()
+    close = close.join(classes.select(F.col("entry").alias("src"), "x"), "src").join(classes.select(F.col("entry").alias("dst"), F.col("x").alias("y"), F.col("times").alias("n")), "dst")
+    close = materialize(close.select("src", "dst", "n", "x", "y").mapInArrow(exactly, "src long, dst long, n long"), "verified")
+    links = found.where("n > 0").select("src", "n").unionByName(close.select("src", "n")).groupBy(F.col("src").alias("entry")).agg(F.sum("n").alias("others"))
+    roots = components(found.where("n is null").select("src", "dst").unionByName(close.select("src", "dst"))).select(F.col("node").alias("entry"), "root")
     joined = classes.select("label", "x", "entry", "rep", "times").join(links, "entry", "left").join(roots, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     joined = joined.join(least, "root").select("entry", "component_id", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    marked = all_rows.select("id", F.when(fine, F.xxhash64("label", "x")).alias("entry")).join(joined, "entry", "left")
+    marked = all_rows.select("id", F.when(fine, number).alias("entry")).join(joined, "entry", "left")
     component = F.coalesce("component_id", "id")
     return marked.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

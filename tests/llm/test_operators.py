@@ -207,6 +207,17 @@ def test_mtree_against_brute_force(spark):
             s = q @ q[i]
             want += [(i, n + 1, j, int(s[j])) for n, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-s[j], j))[:20])]
         assert sorted(map(tuple, got)) == want
+    for scale in (10**6, 3 * 10**8):
+        # Beyond what a score packed with its row, or a double, can hold.
+        got = mtree.top_k(df.where("vec_id < 300"), F.col("vec_id") % 20 == 0, k=20, scale=scale).collect()
+        big = np.floor(scale * base).astype(np.int64)
+        want = []
+        for i in range(0, 300, 20):
+            s = [sum(a * b for a, b in zip(x, big[i].tolist(), strict=True)) for x in big.tolist()]
+            want += [(i, n + 1, j, s[j]) for n, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-s[j], j))[:20])]
+        assert max(x[3] for x in want) > 1e12 and sorted(map(tuple, got)) == want
+    with pytest.raises(OverflowError):
+        mtree.top_k(df, F.col("vec_id") % 20 == 0, scale=10**10)
     few = mtree.top_k(df.where("vec_id < 5"), F.col("vec_id") == 0).collect()
     assert len(few) == 4
     assert mtree.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -464,6 +475,22 @@ def test_substring_dedup_of_frequent_prefixes_and_short_windows(spark):
         assert sorted(map(tuple, suffixtree.deduplicate_substrings(df, window=window, group=group).collect())) == brute_windows(rows, window)
 
 
+def test_substring_dedup_lengthens_frequent_prefixes(spark):
+    """A passage of many documents, in different surroundings, as trees of prefixes of 8, 16, 32 and 50 words."""
+    rng = random.Random(11)
+    passage = words(70, rng).split()
+    rows = []
+    for i in range(40):
+        a, b = rng.randint(0, 15), rng.randint(50, 70)
+        rows.append((i, " ".join([words(rng.randint(0, 30), rng), *passage[a:b], words(rng.randint(0, 30), rng)])))
+    rows += [(100 + i, " ".join([*passage[:30], words(1, rng), *passage[30:]])) for i in range(5)] + [(200, None), (None, " ".join(passage))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_windows(rows, 50)
+    assert sum(x[2] for x in want) > 1000
+    for group in (100_000, 30, 8, 1):
+        assert sorted(map(tuple, suffixtree.deduplicate_substrings(df, group=group).collect())) == want
+
+
 def test_huffman_code_is_optimal_and_prefix_free():
     assert huffman.code_lengths([5, 9, 1, 1, 1, 30, 4000], 16).tolist() == [4, 3, 6, 6, 5, 2, 1]
     rng = np.random.default_rng(0)
