@@ -29,7 +29,7 @@ from .common import Numbered, materialize, parts, release, strings
 
 PREFIX = 8
 #: Suffixes of a prefix that are grown as one tree; a unit of memory that results don't depend on.
-GROUP = 20_000
+GROUP = 100_000
 #: Rows that a worker takes from a stream of groups at a time.
 CHUNK = 30_000
 
@@ -132,7 +132,7 @@ def _suffixes(joined: DataFrame, window: int) -> DataFrame:
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names)
 
-    return joined.mapInArrow(work, "h long, id long, th long, lo int, off int, windows int, text binary")
+    return joined.mapInArrow(work, SUFFIX)
 
 
 def tree_ranges(h, doc, off, windows, texts: list[bytes], window: int, width: int):
@@ -216,8 +216,12 @@ def _grown(suffixes: DataFrame, window: int, width: int) -> DataFrame:
     return dealt.mapInArrow(work, "id long, th long, begin int, end int")
 
 
-def _lengthened(joined: DataFrame, window: int, width: int, longer: int) -> DataFrame:
-    """``(id, th, p)`` of the same windows with prefixes of ``longer`` in place of ``width`` words.
+#: Rows of ``_suffixes``: a prefix, a document, the first window, the words before the prefix, the windows, and the words of all of them.
+SUFFIX = "h long, id long, th long, lo int, off int, windows int, text binary"
+
+
+def _lengthened(suffixes: DataFrame, window: int, longer: int) -> DataFrame:
+    """The same windows with prefixes of ``longer`` words.
 
     Windows that hold the longer run from their anchor on share it; each of the
     others takes its last ``longer`` words.
@@ -227,28 +231,28 @@ def _lengthened(joined: DataFrame, window: int, width: int, longer: int) -> Data
         import numpy as np
         import pyarrow as pa
 
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = [x.split()[0] for x in SUFFIX.split(", ")]
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for i, th, text, places in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
+            out: list[list] = [[] for _ in types]
+            columns = [batch.column(c).to_pylist() for c in names[1:]]
+            for i, th, lo, off, windows, text in zip(*columns, strict=True):
                 words = text.split()
                 hashes = gram_hashes(words, longer).view(np.int64)
-                for p in places:
-                    at, lo, hi = p["at"], p["lo"], p["hi"]
-                    # Windows from this one on hold ``longer`` words from the anchor on.
-                    full = max(lo, at + longer - window)
-                    some = [(w + window - longer, w, w) for w in range(lo, min(full, hi + 1))]
-                    if full <= hi:
-                        some.append((at, full, hi))
-                    for place, first, last in some:
-                        for col, x in zip(out, (i, th, int(hashes[place]), place, first, last), strict=True):
-                            col.append(x)
-            entries = pa.StructArray.from_arrays([pa.array(out[2], pa.int64()), *(pa.array(x, pa.int32()) for x in out[3:])], ["h", "at", "lo", "hi"])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), entries], ["id", "th", "p"])
-
-    return joined.mapInArrow(work, "id long, th long, p struct<h:long,at:int,lo:int,hi:int>")
-
-
-def _leaves(joined: DataFrame, window: int) -> DataFrame:
+                # Windows from this one on hold ``longer`` words from the anchor on.
+                full = max(0, off + longer - window)
+                some = [(w + window - longer, w, w) for w in range(min(full, windows))]
+                if full < windows:
+                    some.append((off, full, windows - 1))
+                for place, first, last in some:
+                    for col, x in zip(out, (int(hashes[place]), i, th, lo + first, place - first, last - first + 1, b" ".join(words[first : last + window])), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+
+    return suffixes.mapInArrow(work, SUFFIX)
+
+
+def _leaves(suffixes: DataFrame, window: int) -> DataFrame:
     """The windows of prefixes that are as long as a window: a leaf each, told apart by 128 bits."""
 
     def work(batches: Iterator) -> Iterator:
@@ -257,22 +261,19 @@ def _leaves(joined: DataFrame, window: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            hashes, ids, ths, at = [], [], [], []
-            for i, th, text, places in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
-                words = text.split()
-                for p in places:
-                    hashes.append(xxhash.xxh3_128_digest(b" ".join(words[p["lo"] : p["lo"] + window])))
-                    at.append(p["lo"])
-                    ids.append(i)
-                    ths.append(th)
-            pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(at, pa.int32())], ["w1", "w2", "id", "th", "begin"])
-
-    rows = materialize(joined.mapInArrow(work, "w1 long, w2 long, id long, th long, begin int"), "windows")
+            pair = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, batch.column("text").to_pylist())), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), batch.column("id"), batch.column("th"), batch.column("lo")], ["w1", "w2", "id", "th", "begin"])
+
+    rows = materialize(suffixes.mapInArrow(work, "w1 long, w2 long, id long, th long, begin int"), "windows")
     least = rows.groupBy("w1", "w2").agg(F.min("id").alias("least"))
     return rows.join(least, ["w1", "w2"]).where(F.col("least") < F.col("id")).select("id", "th", "begin", F.col("begin").alias("end"))
 
 
+def _shared(h, rows: DataFrame) -> DataFrame:
+    """``(h, n)``: prefixes that more than one document has, and how often."""
+    return rows.groupBy(h.alias("h")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where(F.col("a") < F.col("b")).select("h", "n")
+
+
 def _cut(joined: DataFrame, window: int) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         from hashlib import sha256
@@ -315,22 +316,24 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     least = read.groupBy("sha").agg(F.min("id").alias("least"))
     long_ = read.where(F.col("n_words") >= window)
     own = long_.join(least, "sha").where(F.col("id") == F.col("least")).select("id", "th", F.explode("anchors").alias("p"))
-    with_text = lambda rows: frame.join(rows.groupBy("id", "th").agg(F.collect_list("p").alias("places")).hint("merge"), ["id", "th"])
-    ranges = None
-    while True:
-        shared = own.groupBy(F.col("p.h").alias("h")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where(F.col("a") < F.col("b"))
-        places = own.join(shared.select("h", "n"), F.col("p.h") == F.col("h")).select("id", "th", "p", (F.col("n") > group).alias("frequent"))
-        places = materialize(places, f"anchors-{width}")
-        grown = _grown(_suffixes(with_text(places.where("not frequent")), window), window, width)
-        ranges = grown if ranges is None else ranges.unionByName(grown)
-        frequent = places.where("frequent")
-        if frequent.isEmpty():
-            break
+    shared = materialize(_shared(F.col("p.h"), own), "prefixes")
+    places = own.join(shared, F.col("p.h") == F.col("h")).select("id", "th", "p", (F.col("n") > group).alias("frequent"))
+    places = materialize(places, "anchors")
+    suffixes = lambda rows: _suffixes(frame.join(rows.groupBy("id", "th").agg(F.collect_list("p").alias("places")).hint("merge"), ["id", "th"]), window)
+    ranges = _grown(suffixes(places.where("not frequent")), window, width)
+    frequent = places.where("frequent")
+    rest = None if frequent.isEmpty() else suffixes(frequent)
+    while rest is not None:
         if width == window:
-            ranges = ranges.unionByName(_leaves(with_text(frequent), window))
+            ranges = ranges.unionByName(_leaves(rest, window))
             break
-        longer = min(2 * width, window)
-        own, width = materialize(_lengthened(with_text(frequent), window, width, longer), f"prefixes-{longer}"), longer
+        width = min(2 * width, window)
+        longer = materialize(_lengthened(rest, window, width), f"suffixes-{width}", "zstd")
+        shared = materialize(_shared(F.col("h"), longer), f"prefixes-{width}")
+        few = longer.join(shared.where(F.col("n") <= group), "h", "left_semi")
+        ranges = ranges.unionByName(_grown(few, window, width))
+        many = shared.where(F.col("n") > group)
+        rest = None if many.isEmpty() else longer.join(many, "h", "left_semi")
     ranges = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     cut = _cut(frame.join(ranges.hint("merge"), ["id", "th"]), window).dropDuplicates(["id", "th"])
     rows = read.select("id", "th", "n_words", "sha").join(least, "sha").withColumn("copy", (F.col("id") > F.col("least")) & (F.col("n_words") >= window))
