@@ -136,8 +136,8 @@ def near_texts():
 
 def test_near_copies_against_brute_force(spark, docs, rows, empty):
     for width_rows, df in ((rows, docs), (near_texts(), spark.createDataFrame(near_texts(), "doc_id long, text string"))):
-        for crowd in (32, 2):
-            groups = shingles.near_copies(df, crowd=crowd)
+        for crowd, block in ((32, 512), (2, 512), (2, 3)):
+            groups = shingles.near_copies(df, crowd=crowd, block=block)
             assert groups.count() == len(width_rows)
             got = shingles.one_of_each(df, groups)
             assert got.columns == df.columns and sorted(str(r["doc_id"]) for r in got.collect()) == brute_near_copies(width_rows)
