@@ -134,6 +134,24 @@ def near_texts():
     return rows + [(5000 + k, " ".join(base[:k] + ["other"] + base[k + 1 :])) for k in range(50)]
 
 
+def test_near_copies_in_dense_shingles_against_brute_force(spark):
+    """Copies of one text that are alike in part only, so that many components stay apart in each shingle."""
+    rng = random.Random(21)
+    base = words(60, rng).split()
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(20, 60)] = f"new{rng.randint(0, 9)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near_copies(rows)
+    assert 3 < len(want) < 110
+    for crowd, block in ((2, 512), (2, 16), (64, 512)):
+        got = shingles.one_of_each(df, shingles.near_copies(df, crowd=crowd, block=block))
+        assert sorted(str(r["doc_id"]) for r in got.collect()) == want
+
+
 def test_near_copies_against_brute_force(spark, docs, rows, empty):
     for width_rows, df in ((rows, docs), (near_texts(), spark.createDataFrame(near_texts(), "doc_id long, text string"))):
         for crowd, block in ((32, 512), (2, 512), (2, 3)):
