@@ -52,10 +52,16 @@ def vif_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.try_divide(F.lit(1.0), 1 - r2).alias("vif"))
 
 
-def _ranked(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Average ranks, from counts of distinct values: the only global order is over ranges of them."""
+def _ranked(df: DataFrame, column: str, out: str, ranges: int = 256) -> DataFrame:
+    """Average ranks, from counts of distinct values: the only global order is over ranges of them.
+
+    Ranges are cut at literal values, at most ``ranges`` of them, so every
+    evaluation of the plan deals the same value to the same range.
+    """
     counts = df.groupBy(column).agg(F.count("*").alias("c"))
-    cut = counts.repartitionByRange(F.col(column)).select(column, "c", F.spark_partition_id().alias("part"))
+    cuts = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(column))) if cuts else F.lit(0)
+    cut = counts.select(column, "c", part.alias("part"))
     sums = cut.groupBy("part").agg(F.sum("c").alias("s"))
     base = sums.select(F.col("part").alias("part_"), F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     below = F.coalesce(F.sum("c").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studygrid.functions import texts
 from studygrid.functions import values as v
 from studygrid.operators import agreement, compare, groups, ledger, regression, rules
+from studygrid.plans import reports
 from studygrid.plans.reports import agreement_report
 
 QUERIES: dict = {}
@@ -225,11 +227,11 @@ def wilson_interval(spark, d):
     return rounded(c.select("o_orderpriority", regression.wilson(F.col("k"), F.col("n")).alias("w")).select("o_orderpriority", "w.*"), "share", "low", "high")
 
 
-RECORDS_SQL = "r AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2)"
+RECORDS_SQL = "r AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)"
 
 
 def _runs(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    rows = table(spark, d, "lineitem")
     rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"), F.max("l_quantity").alias("l_quantity"))
     keys, fields = ["l_orderkey", "l_linenumber"], ["l_returnflag", "l_linestatus"]
     a = compare.long_form(rows.where("l_orderkey % 11 <> 0 and not (l_orderkey % 7 = 0 and l_linenumber = 2)"), keys, fields)
@@ -343,10 +345,127 @@ def nearest_week(spark, d):
     return table(spark, d, "part").select("p_partkey", v.nearest_multiple(F.col("p_size"), (7,)).alias("week"))
 
 
-@query("SELECT CASE WHEN n_name IN ('CHINA') THEN 'Asia' WHEN n_name IN ('UNITED') THEN 'x' ELSE 'Other' END AS continent, count(*) AS n FROM (SELECT CASE n_name WHEN 'CHINA' THEN 'CHINA' ELSE '-' END AS n_name FROM nation) GROUP BY 1")
+#: Country texts of the query below, by nation key, and what they resolve to.
+COUNTRIES = [("Norway", "Europe"), ("Poland, Sweden", "Europe"), ("Europe (Greece, Poland)", "Europe"), ("India and Egypt", "Multi-continent"), ("Atlantis", "Other"), (None, "Unknown"), ("Chile", "South America"), ("New Zealand, Atlantis", "Other"), ("Taiwan, Thailand and Japan", "Asia"), ("South Africa", "Africa")]
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, x) in enumerate(COUNTRIES)) + " END AS continent FROM nation")
 def continents(spark, d):
-    name = F.when(F.col("n_name") == "CHINA", "China").otherwise("Atlantis")
-    return table(spark, d, "nation").select(v.continent(name).alias("continent")).groupBy("continent").agg(F.count("*").alias("n"))
+    named = F.element_at(F.array(*(F.lit(x) for x, _ in COUNTRIES)), F.col("n_nationkey").cast("int") % 10 + 1)
+    return table(spark, d, "nation").select("n_nationkey", v.continent(named).alias("continent"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE round(p_size + 0.125, 2) END AS number, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size + 0.125 END AS decimal, p_size % 4 = 0 AS missing FROM part")
+def normalised_numbers(spark, d):
+    text = F.when(F.col("p_size") % 4 == 0, F.lit(" n/a ")).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(",125 kg")))
+    short = F.when(F.col("p_size") % 4 != 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(",125 ")))
+    return table(spark, d, "part").select("p_partkey", v.numeric(text).alias("number"), v.decimal_comma(short).alias("decimal"), v.is_na(text).alias("missing"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 2 END AS n, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS first_key, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS first_value,
+          CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus || ': ' || CAST(o_custkey AS VARCHAR) || '~prio: ' || o_orderpriority END AS text FROM orders""")
+def key_value_items(spark, d):
+    items = F.array(F.concat("o_orderstatus", F.lit(": "), F.col("o_custkey").cast("string")), F.concat(F.lit("prio: "), F.col("o_orderpriority")))
+    text = v.joined(F.when(F.col("o_orderkey") % 5 != 0, items))
+    pairs, of_list = v.pairs_of_string(text), v.pairs_of_list(F.concat(F.array(F.lit("NA")), F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit("n/a"))).otherwise(items)))
+    same = F.when(pairs.eqNullSafe(of_list), text).otherwise(F.lit("list and text differ"))
+    return table(spark, d, "orders").select("o_orderkey", F.when(pairs.isNotNull(), F.size(pairs)).alias("n"), F.try_element_at(pairs, F.lit(1))["key"].alias("first_key"), F.try_element_at(pairs, F.lit(1))["value"].alias("first_value"), same.alias("text"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN NULL ELSE 'Stage ' || p_brand END AS label, CASE WHEN p_size % 3 = 0 THEN p_size END AS n, CASE WHEN p_size % 3 < 2 THEN p_size / 2.0 END AS pct,
+          CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || '->' || p_type END AS noted, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS note FROM part""")
+def labels_and_notes(spark, d):
+    half = F.format_string("%.1f", F.col("p_size") / 2)
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Stage "), "p_brand", F.lit(" : "), F.col("p_size").cast("string"), F.lit(" ("), half, F.lit("%)"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Stage "), "p_brand", F.lit(": "), half, F.lit(" %"))).otherwise("no colon")
+    found = v.label_count_percent(text)
+    noted = texts.with_note(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" -> "), "p_type")))
+    back = F.when(noted["note"] == "", noted["value"]).otherwise(F.concat(noted["value"], F.lit("->"), noted["note"]))
+    return table(spark, d, "part").select("p_partkey", found["label"].alias("label"), found["n"].alias("n"), found["pct"].alias("pct"), back.alias("noted"), noted["note"].alias("note"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'COPD only' ELSE 'COPD + other' END AS diagnosis, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'true' END AS category, CASE WHEN p_size <= 10 THEN 'low' WHEN p_size <= 30 THEN 'mid' ELSE 'high' END AS band FROM part")
+def classes_and_bands(spark, d):
+    keys = F.when(F.col("p_size") % 3 == 1, F.array(F.lit("COPD II"), F.lit("severe COPD"))).when(F.col("p_size") % 3 == 2, F.array(F.lit("COPD"), F.lit("asthma")))
+    kind, text = F.when(F.col("p_size") % 2 == 0, "number").otherwise("boolean"), F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".0"))).otherwise("True")
+    return table(spark, d, "part").select("p_partkey", texts.diagnosis_class(keys).alias("diagnosis"), texts.categorical(kind, text).alias("category"), v.bucket(F.col("p_size"), [1, 10, 30, 50], ["low", "mid", "high"], True).alias("band"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority, o_custkey % 3 AS k, o_custkey % 2 AS m FROM orders)
+SELECT o_orderpriority AS field, round(avg(CASE WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.5 ELSE 1.0 / 3 END), 6) AS key_jaccard,
+       round(sum(CASE k WHEN 0 THEN 1 + (1 - m) WHEN 1 THEN 1 ELSE 1 END) / sum(CASE k WHEN 0 THEN 2 ELSE 1 END), 6) AS value_agreement FROM o GROUP BY 1""")
+def agreement_structured(spark, d):
+    """Keys x and y on one side; x and y, x alone, or x and z on the other; 1,0 and 1 match, y matches on even keys."""
+    pair = lambda k, x: F.struct(F.lit(k).alias("key"), x.alias("value"))
+    k, m = F.col("o_custkey") % 3, F.col("o_custkey") % 2
+    a = F.array(pair("x", F.lit("1,0 %")), pair("y", F.lit(" Two")))
+    y = pair("y", F.when(m == 0, F.lit("two")).otherwise(F.lit("2")))
+    b = F.when(k == 0, F.array(pair("x", F.lit("1")), y)).when(k == 1, F.array(pair("x", F.lit("1.0")))).otherwise(F.array(pair("x", F.lit("1.005")), pair("z", F.lit("0"))))
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("field"), a.alias("a"), b.alias("b"))
+    return rounded(agreement.structured(rows), "key_jaccard", "value_agreement")
+
+
+@query("SELECT o_orderpriority, round(2 * (asin(sqrt(avg(CAST(o_orderstatus = 'F' AS INT)))) - asin(sqrt(0.3))), 6) AS h FROM orders GROUP BY 1")
+def share_effects(spark, d):
+    share = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("p"))
+    return rounded(share.select("o_orderpriority", regression.cohens_h(F.col("p"), F.lit(0.3)).alias("h")), "h")
+
+
+#: Two long runs over orders with a field for each bucket: the second is changed or missing in known rows.
+FIELDS = [("bool", "boolean"), ("cat", "categorical"), ("num", "numerical"), ("items", "structured_string_array"), ("text", "free_text"), ("id", "identifier"), ("note", "EXCLUDED")]
+
+
+def _sides(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    money = F.round(F.col("o_totalprice"), 2)
+    a = {"bool": F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("0"), "cat": F.concat(F.lit(" "), "o_orderpriority"), "num": money.cast("string"), "items": F.concat(F.lit("s: "), "o_orderstatus", F.lit("~p: 1")), "text": F.concat("o_orderpriority", F.lit(" one.")), "id": F.col("o_custkey").cast("string"), "note": F.lit("x")}
+    b = {
+        "bool": F.when(k % 7 == 0, "NA").when(k % 5 == 0, "yes").otherwise(F.when(F.col("o_orderstatus") == "F", "true").otherwise("no")),
+        "cat": F.when(k % 5 == 0, "other").otherwise(F.col("o_orderpriority")),
+        "num": F.when(k % 7 == 0, "n/a").when(k % 5 == 0, F.round(F.col("o_totalprice") + 1000, 2).cast("string")).otherwise(money.cast("string")),
+        "items": F.when(k % 5 == 0, F.concat(F.lit("s: "), "o_orderstatus")).otherwise(F.concat(F.lit("p: 1.0~s: "), F.lower("o_orderstatus"))),
+        "text": F.when(k % 5 == 0, F.col("o_orderpriority")).otherwise(F.concat("o_orderpriority", F.lit(" ONE"))),
+        "id": F.when(k % 5 == 0, "-").otherwise(F.col("o_custkey").cast("string")),
+        "note": F.lit("y"),
+    }
+    long = lambda side: o.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), x.cast("string").alias("value")) for f, x in side.items()])).alias("f")).select("o_orderkey", "f.*")
+    return long(a), long(b), spark.createDataFrame(FIELDS, "field_name string, bucket string")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus, o_totalprice, regexp_replace(o_orderpriority, '\\s+', ' ', 'g') AS pr FROM orders),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE k % 7 <> 0) AS known, count(*) FILTER (WHERE k % 7 = 0) AS one FROM o),
+bc AS (SELECT o_orderstatus = 'F' AS a, CASE WHEN k % 5 = 0 THEN true ELSE o_orderstatus = 'F' END AS b FROM o WHERE k % 7 <> 0),
+bs AS (SELECT avg(CAST(a = b AS INT)) AS po, (avg(CAST(a AS INT)) + avg(CAST(b AS INT))) / 2 AS p FROM bc),
+x AS (SELECT round(o_totalprice, 2) AS x, CASE WHEN k % 5 = 0 THEN round(o_totalprice + 1000, 2) ELSE round(o_totalprice, 2) END AS y FROM o WHERE k % 7 <> 0),
+m AS (SELECT count(*) AS n, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c, avg(x) - avg(y) AS g FROM x),
+i AS (SELECT ((vx + vy) / 2 + c) AS s, ((vx + vy) / 2 - c) AS e, n * g * g / 2 AS r, n FROM m),
+f AS (SELECT avg(CASE WHEN k % 5 = 0 THEN 2.0 * len(t) / (2 * len(t) + 1) ELSE 1.0 END) AS f1 FROM (SELECT k, list_distinct(string_split(lower(pr), ' ')) AS t FROM o)),
+cg AS (SELECT pr AS a, CASE WHEN k % 5 = 0 THEN 'other' ELSE pr END AS b FROM o),
+cs AS (SELECT cat, sum(pa + pb) / (2 * (SELECT n FROM n)) AS pi FROM (SELECT a AS cat, count(*) AS pa, 0 AS pb FROM cg GROUP BY a UNION ALL SELECT b, 0, count(*) FROM cg GROUP BY b) GROUP BY cat),
+ce AS (SELECT sum(pi * (1 - pi)) / (count(*) - 1) AS pe FROM cs),
+share AS (SELECT avg(CAST(k % 5 <> 0 AS INT)) AS keep FROM o)
+SELECT 'bool' AS field, 'boolean' AS bucket, known AS n_compared, 0 AS n_both_na, one AS n_one_na, 'gwet_ac1' AS primary_name, round((po - 2 * p * (1 - p)) / (1 - 2 * p * (1 - p)), 6) AS primary_value, 'percent_agreement' AS secondary_name, round(po, 6) AS secondary_value, (po - 2 * p * (1 - p)) / (1 - 2 * p * (1 - p)) < 0.99 AS flagged FROM bs, n
+UNION ALL SELECT 'cat', 'categorical', n, 0, 0, 'gwet_ac1', round((keep - pe) / (1 - pe), 6), 'percent_agreement', round(keep, 6), false FROM n, ce, share
+UNION ALL SELECT 'num', 'numerical', known, 0, one, 'icc_2_1', round((s - e) / (s + e + 2 * (r - e) / i.n), 6), 'na_concordance_rate', 0.0, true FROM i, n
+UNION ALL SELECT 'items', 'structured_string_array', n, 0, 0, 'key_jaccard', round(keep + (1 - keep) * 0.5, 6), 'value_agreement_on_matched_keys', 1.0, false FROM n, share
+UNION ALL SELECT 'text', 'free_text', n, 0, 0, 'token_f1', round(f1, 6), NULL, NULL, false FROM n, f
+UNION ALL SELECT 'id', 'identifier', n, 0, 0, 'exact_match_rate', round(keep, 6), NULL, NULL, true FROM n, share
+UNION ALL SELECT 'note', 'EXCLUDED', 0, 0, 0, 'excluded', NULL, NULL, NULL, false""")
+def agreement_all_buckets(spark, d):
+    got = reports.agreement_results(*_sides(spark, d), ["o_orderkey"], {"boolean": (0.99, None), "numerical": (0.5, 0.9), "identifier": (0.99, None)})
+    return rounded(got.drop("reason"), "primary_value", "secondary_value")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders)
+SELECT 'bool' AS field, o_orderkey FROM o WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 AND o_orderstatus <> 'F'
+UNION ALL SELECT 'num', o_orderkey FROM o WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0
+UNION ALL SELECT f, o_orderkey FROM o, (VALUES ('cat'), ('items'), ('id')) AS t(f) WHERE o_orderkey % 5 = 0""")
+def agreement_disagreements(spark, d):
+    return reports.disagreements(*_sides(spark, d), ["o_orderkey"]).select("field", "o_orderkey")
+
+
+@query("SELECT f AS field, o_orderkey, 'b' AS missing_in FROM orders, (VALUES ('bool'), ('num')) AS t(f) WHERE o_orderkey % 7 = 0")
+def agreement_one_sided(spark, d):
+    return reports.one_sided(*_sides(spark, d), ["o_orderkey"]).select("field", "o_orderkey", "missing_in")
 
 
 @query(f"""WITH {RECORDS_SQL} SELECT 'l_linestatus' AS field, 'categorical' AS bucket, count(*) AS n, 'ac1' AS metric, 1.0 AS value, false AS flagged FROM r WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 2) AND l_orderkey % 13 <> 0
