@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Numbered, materialize, parts
 
-#: Fixed value: what is in no term. Every byte from 0x80 on is, so terms of characters are those of UTF-8 bytes.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Fixed value: a term. Every byte from 0x80 on is in one, so terms of characters are those of UTF-8 bytes.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents and postings of a block at most (one document alone may have more); items of a lot.
 DOCS, POSTINGS = 32_768, 2_000_000
@@ -35,7 +34,7 @@ WEIGHT, IMPACT, SLOPE = 1000, 1_000_000_000, 50
 
 
 class Index(NamedTuple):
-    """``rows(term, block, n, at, slices)``, ``blocks(block, ids)`` with the document ids by place, and the bitmaps of an impact."""
+    """``rows(term, block, at, slices)``, ``blocks(block, ids)`` with the document ids by place, and how many bitmaps an impact has."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -56,10 +55,27 @@ def _binary(pieces, offsets):
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.asarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(pieces))]).cast(pa.binary())
 
 
+def _totals(docs: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and all their terms with repeats."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        table, docs, terms = _table(), 0, 0
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                if n := len((text or b"").translate(table).split()):
+                    docs, terms = docs + 1, terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([terms])], ["docs", "terms"])
+
+    found = docs.select("text").mapInArrow(work, "docs long, terms long").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    return found["docs"] or 0, found["terms"] or 0
+
+
 def _postings(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
-    """``(block, term, n, at, part)``: for each term of a block the places (16 bits each) and, without its weight, what it adds there (32 bits each).
+    """``(block, term, data)``: for each term of a block its places, of 16 bits, and, without its weight, what it adds there, of 16 low and 8 high bits.
 
-    A row without a term has the ids of the block's documents, 64 bits each, in ``at``, and in ``part`` a byte that is 1 where there is none.
+    A row without a term has the ids of the block's documents, of 64 bits, and a byte each that is 1 where there is none.
     """
 
     def work(batches: Iterator) -> Iterator:
@@ -70,7 +86,7 @@ def _postings(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names, table, block = ["block", "term", "n", "at", "part"], _table(), TaskContext.get().partitionId() << 32
+        names, table, block = ["block", "term", "data"], _table(), TaskContext.get().partitionId() << 32
 
         def flush(ids, vocabulary, terms, times, lengths):
             nonlocal block
@@ -79,19 +95,27 @@ def _postings(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
             order = np.lexsort((numbers, ~known))
             place = np.empty(len(ids), np.int64)
             place[order] = np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.array([len(ids)], pa.int32()), pa.array([numbers[order].tobytes()], pa.binary()), pa.array([(~known[order]).astype(np.uint8).tobytes()], pa.binary())], names)
+            head = numbers[order].tobytes() + (~known[order]).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.array([head], pa.binary())], names)
             sizes = np.array([len(x) for x in terms], np.int64)
             norm = np.array([100 - SLOPE + SLOPE * n * n_docs // n_terms for n in lengths], np.int64)
             term, at, tf = np.concatenate(terms).astype(np.int64), np.repeat(place, sizes), np.concatenate(times)
             adds = IMPACT * tf // (WEIGHT * tf + 20 * np.repeat(norm, sizes))
             order = np.argsort(term << 16 | at)
-            term, at, adds = term[order], at[order].astype("<u2"), adds[order].astype("<u4")
+            term, at, adds = term[order], at[order], adds[order]
             ends = np.r_[np.flatnonzero(term[1:] != term[:-1]) + 1, len(term)]
-            starts, spelled = np.r_[0, ends[:-1]], list(vocabulary)
+            starts = np.r_[0, ends[:-1]]
+            # Bytes of a row one plane behind the other: 2 a place, 2 of low bits, 1 of high bits.
+            data, own = np.empty(5 * len(term), np.uint8), np.repeat(starts, ends - starts)
+            wide, nth = np.repeat(ends - starts, ends - starts), np.arange(len(term)) - own
+            for plane, (values, shift) in enumerate(((at, 0), (at, 8), (adds, 0), (adds, 8))):
+                data[5 * own + plane // 2 * 2 * wide + 2 * nth + plane % 2] = values >> shift & 255
+            data[5 * own + 4 * wide + nth] = adds >> 16
+            spelled = pa.array(list(vocabulary), pa.binary()).cast(pa.string())
             for k in range(0, len(ends), 20_000):
                 a, b = starts[k : k + 20_000], ends[k : k + 20_000]
-                cut = np.r_[a, b[-1]] - a[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block)), pa.array(spelled[k : k + 20_000], pa.binary()).cast(pa.string()), pa.array((b - a).astype(np.int32)), _binary(at[a[0] : b[-1]], 2 * cut), _binary(adds[a[0] : b[-1]], 4 * cut)], names)
+                cut = np.r_[a, b[-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block)), spelled.slice(k, len(a)), _binary(data[5 * a[0] : 5 * b[-1]], 5 * (cut - a[0]))], names)
             block += 1
 
         def fresh():
@@ -100,8 +124,7 @@ def _postings(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         held, size = fresh(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                counted = Counter((text or b"").translate(table).split(b" "))
-                counted.pop(b"", None)
+                counted = Counter((text or b"").translate(table).split())
                 if not counted:
                     continue
                 if held[0] and (len(held[0]) >= DOCS or size + len(counted) > POSTINGS):
@@ -116,7 +139,7 @@ def _postings(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         if held[0]:
             yield from flush(*held)
 
-    return docs.mapInArrow(work, "block long, term string, n int, at binary, part binary")
+    return docs.mapInArrow(work, "block long, term string, data binary")
 
 
 def _sliced(postings: DataFrame, bits: int) -> DataFrame:
@@ -127,8 +150,8 @@ def _sliced(postings: DataFrame, bits: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            n, w = batch.column("n").to_numpy(), batch.column("w").to_numpy()
-            raw = batch.column("part").to_pylist()
+            raw, w = batch.column("data").to_pylist(), batch.column("w").to_numpy()
+            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 5
             slices: list = [None] * len(raw)
             # Terms of as many places are done together, in lots of bounded size.
             order = np.argsort(n, kind="stable")
@@ -136,15 +159,17 @@ def _sliced(postings: DataFrame, bits: int) -> DataFrame:
                 width = int(n[some[0]])
                 for k in range(0, len(some), step := max(1, 50_000 // width)):
                     rows = some[k : k + step]
-                    part = np.frombuffer(b"".join([raw[i] for i in rows]), "<u4").reshape(len(rows), width)
-                    impact = (part.astype(np.int64) * w[rows, None]).astype(">u8")
+                    data = np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8).reshape(len(rows), 5 * width).astype(np.int64)
+                    part = data[:, 2 * width : 4 * width : 2] | data[:, 2 * width + 1 : 4 * width : 2] << 8 | data[:, 4 * width :] << 16
+                    impact = (part * w[rows, None]).astype(">u8")
                     each = np.unpackbits(impact.view(np.uint8).reshape(len(rows), width, 8), axis=2)[:, :, 64 - bits :]
                     packed = np.packbits(each.transpose(0, 2, 1).reshape(len(rows), bits * width), axis=1)
                     for i, x in zip(rows.tolist(), packed, strict=True):
                         slices[i] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("block"), batch.column("n"), batch.column("at"), pa.array(slices, pa.binary())], ["term", "block", "n", "at", "slices"])
+            places = pa.array([x[: 2 * k] for x, k in zip(raw, n.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("block"), places, pa.array(slices, pa.binary())], ["term", "block", "at", "slices"])
 
-    return postings.mapInArrow(work, "term string, block long, n int, at binary, slices binary")
+    return postings.mapInArrow(work, "term string, block long, at binary, slices binary")
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -158,13 +183,12 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     """
     own = Numbered(docs)
     rows = own.df.select(F.col(own.of(id_col)).cast("long").alias("doc_id"), F.col(own.of(text_col)).cast("string").alias("text"))
-    length = F.regexp_count("text", F.lit(TERM)).cast("long")
-    total = rows.select(length.alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    n_docs, n_terms = total["docs"], max(1, total["terms"])
+    n_docs, n_terms = _totals(rows)
     postings = materialize(_postings(rows, n_docs, n_terms), "postings", "zstd")
-    blocks = postings.where(F.col("term").isNull()).select("block", F.col("n").alias("docs"), F.col("at").alias("ids"), F.col("part").alias("none"))
+    blocks = postings.where(F.col("term").isNull()).select("block", F.col("data").alias("ids"))
     postings = postings.where(F.col("term").isNotNull())
-    weight = F.floor(F.lit(float(WEIGHT)) * F.log((2.0 * n_docs + 2) / (2 * F.sum("n") + 1)))
+    holding = F.sum(F.octet_length("data").cast("long")) / 5
+    weight = F.floor(F.lit(float(WEIGHT)) * F.log((2.0 * n_docs + 2) / (2 * holding + 1)))
     weights = postings.groupBy("term").agg(weight.cast("long").alias("w"))
     most = int(WEIGHT * _log((2.0 * n_docs + 2) / 3)) + 1
     bits = max(1, (most * (IMPACT // WEIGHT)).bit_length())
@@ -252,10 +276,9 @@ def search(index: Index, items: DataFrame, k: int = 50, id_col: str = "item_id",
     """
     bits = index.bits
     numbers, by_lot, lots = asked(items, id_col, text_col, lot)
-    none = {"items": F.lit(None).cast("array<int>"), "term": F.lit(None).cast("string")}
-    rows = index.rows.join(by_lot, "term").select("lot", "block", F.lit(1).alias("kind"), "n", "at", "slices", "items")
+    rows = index.rows.join(by_lot, "term").select("lot", "block", F.lit(1).alias("kind"), "at", "slices", "items")
     every = F.explode(F.sequence(F.lit(0), F.lit(max(0, lots - 1)))).alias("lot")
-    heads = index.blocks.select(every, "block", F.lit(0).alias("kind"), F.col("docs").alias("n"), F.col("ids").alias("at"), F.col("none").alias("slices"), none["items"].alias("items"))
+    heads = index.blocks.select(every, "block", F.lit(0).alias("kind"), F.col("ids").alias("at"), F.lit(None).cast("binary").alias("slices"), F.lit(None).cast("array<int>").alias("items"))
     both = rows.unionByName(heads).repartition(parts(rows), "lot", "block").sortWithinPartitions("lot", "block", "kind")
 
     def work(batches: Iterator) -> Iterator:
@@ -263,9 +286,8 @@ def search(index: Index, items: DataFrame, k: int = 50, id_col: str = "item_id",
         import pyarrow as pa
 
         def best(head, sums):
-            n, raw, none = head
-            ids, missing = np.frombuffer(raw, "<i8"), np.frombuffer(none, np.uint8)
-            rows = []
+            n = len(head) // 9
+            ids, missing, rows = np.frombuffer(head, "<i8", n), np.frombuffer(head, np.uint8)[8 * n :], []
             for item, total in sums.items():
                 places = _places(highest(total, k))
                 if not places:
@@ -281,15 +303,16 @@ def search(index: Index, items: DataFrame, k: int = 50, id_col: str = "item_id",
 
         head, sums = None, {}
         for batch in batches:
-            columns = (batch.column(x).to_pylist() for x in ("kind", "n", "at", "slices", "items"))
-            for kind, n, at, raw, items in zip(*columns, strict=True):
+            columns = (batch.column(x).to_pylist() for x in ("kind", "at", "slices", "items"))
+            for kind, at, raw, items in zip(*columns, strict=True):
                 if kind == 0:
                     if head is not None:
                         yield from best(head, sums)
-                    head, sums = (n, at, raw), {}
+                    head, sums = at, {}
                     continue
+                n = len(at) // 2
                 own = np.unpackbits(np.frombuffer(raw, np.uint8), count=bits * n).reshape(bits, n)
-                spread = np.zeros((bits, head[0]), np.uint8)
+                spread = np.zeros((bits, len(head) // 9), np.uint8)
                 spread[:, np.frombuffer(at, "<u2")] = own
                 slices = [int.from_bytes(x.tobytes(), "little") for x in np.packbits(spread, axis=1, bitorder="little")[::-1]]
                 while slices and not slices[-1]:
