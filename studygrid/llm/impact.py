@@ -29,6 +29,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents and postings of a block at most (one document alone may have more); items of a lot.
 DOCS, POSTINGS = 32_768, 2_000_000
 LOT = 128
+#: Terms of lots, each with the items of one lot that ask for it, that are broadcast at most.
+ASKED = 100_000
 #: The formula's scales: of weights, of impacts and of the length norm.
 WEIGHT, IMPACT, SLOPE = 1000, 1_000_000_000, 50
 
@@ -263,7 +265,9 @@ def asked(items: DataFrame, id_col: str = "item_id", text_col: str = "text", lot
     terms = materialize(terms, "asked")
     numbers = materialize(terms.select("item_id").distinct().withColumn("number", F.row_number().over(Window.orderBy("item_id")) - 1), "items")
     numbered = terms.join(numbers.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i")))
-    by_lot = numbered.groupBy(F.floor(F.col("number") / lot).cast("int").alias("lot"), "term").agg(F.collect_list("number").alias("items"))
+    by_lot = materialize(numbered.groupBy(F.floor(F.col("number") / lot).cast("int").alias("lot"), "term").agg(F.collect_list("number").alias("items")), "by-lot")
+    if by_lot.count() <= ASKED:
+        by_lot = F.broadcast(by_lot)
     return numbers, by_lot, -(-numbers.count() // lot)
 
 
