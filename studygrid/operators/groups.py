@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studygrid.functions.tdist import t_ppf
+from studygrid.operators.quantiles import exact_quantiles
 
 
 def _fine(*names: str) -> Column:
@@ -123,8 +124,8 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def quartiles(df: DataFrame, value: str, group: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(q.alias("q")).select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    """``(group, q1, median, q3)`` by linear interpolation; no task gathers a group."""
+    return exact_quantiles(df, value, [0.25, 0.5, 0.75], [group]).select(group, *[F.col(f"q{i}").alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
 def top_groups(df: DataFrame, group: str, score: Column, k: int) -> DataFrame:

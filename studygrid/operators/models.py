@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studygrid.functions.tdist import normal_p_value
+from studygrid.operators.quantiles import exact_quantiles
 from studygrid.operators.regression import _ranked, cohens_h, cooks_distance, standardized_difference
 
 
@@ -107,9 +108,12 @@ def smoothed(df: DataFrame, y: str, x: str, at: list[float], share: float = 0.6,
     places = sorted(set(map(float, at)))
     if not places:
         return spark.createDataFrame([], "x double, y double")
-    far = rows.agg(*[F.percentile(F.abs(F.col("x") - p), F.lit(share)).alias(f"h{i}") for i, p in enumerate(places)]).first()
-    if far[0] is None:
+    # One long table of distances, so that all places share each scan of the selection.
+    away = rows.select(F.explode(F.transform(F.lit(places), lambda p: F.struct(p.alias("place"), F.abs(F.col("x") - p).alias("away")))).alias("d")).select("d.*")
+    reach = {r["place"]: r["q0"] for r in exact_quantiles(away, "away", [share], ["place"]).collect()}
+    if not reach:
         return spark.createDataFrame([(p, None) for p in places], "x double, y double")
+    far = [reach[p] for p in places]
     robust, found = F.lit(1.0), []
     for done in range(rounds + 1):
         sums = []
@@ -127,7 +131,7 @@ def smoothed(df: DataFrame, y: str, x: str, at: list[float], share: float = 0.6,
         if done == rounds:
             break
         off = F.abs(F.col("y") - _along(F.col("x"), places, found))
-        middle = rows.agg(F.percentile(off, F.lit(0.5)).alias("m")).first()["m"]
+        middle = exact_quantiles(rows, off, [0.5]).first()["q0"]
         if not middle:
             break
         robust = F.when(off < 6 * middle, F.pow(1 - F.pow(off / (6 * middle), F.lit(2)), F.lit(2))).otherwise(0.0)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studygrid.operators.quantiles import exact_quantiles
+
 #: Kinds of error in reviewed sheets.
 ERROR_NAMES = {"none": "no_error", "rule_misapplication": "minor_error", "hallucinated_value": "major_error"}
 STATUSES = ("reported", "not_reported", "ambiguous")
@@ -79,7 +81,9 @@ def error_fields(df: DataFrame, columns: list[str], names: dict[str, str] = ERRO
 
 def bucket_summary(report: DataFrame, bucket: str = "bucket", value: str = "value", flagged: str = "flagged") -> DataFrame:
     """``(bucket, fields, flagged, median)`` of an agreement report."""
-    return report.groupBy(bucket).agg(F.count("*").alias("fields"), F.count_if(flagged).alias("flagged"), F.percentile(value, F.lit(0.5)).alias("median"))
+    counts = report.groupBy(F.col(bucket).alias("_b")).agg(F.count("*").alias("fields"), F.count_if(flagged).alias("flagged"))
+    medians = exact_quantiles(report, value, [0.5], [bucket]).select(bucket, F.col("q0").alias("median"))
+    return medians.join(counts, F.col(bucket).eqNullSafe(F.col("_b"))).select(bucket, "fields", "flagged", "median")
 
 
 def tiers(reports: dict[str, DataFrame], flagged: str = "flagged") -> DataFrame:
@@ -139,9 +143,9 @@ def characteristics(df: DataFrame, numbers: list[str], categories: list[str], to
     """``(characteristic, value)`` texts: count, ranges and medians of numbers, the most frequent values of categories (ties by name)."""
     out = [df.agg(F.count("*").alias("n")).select(F.lit("n").alias("characteristic"), F.col("n").cast("string").alias("value"))]
     if numbers:
-        one = df.agg(*[f for i, c in enumerate(numbers) for f in (F.min(c).cast("double").alias(f"a{i}"), F.max(c).cast("double").alias(f"b{i}"), F.percentile(c, F.lit(0.5)).alias(f"m{i}"))])
-        items = F.array(*[F.struct(F.lit(c).alias("characteristic"), F.format_string("%.2f (%.2f to %.2f)", f"m{i}", f"a{i}", f"b{i}").alias("value")) for i, c in enumerate(numbers)])
-        out.append(one.select(F.inline(items)))
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "characteristic", "_x")
+        three = exact_quantiles(long, "_x", [0.5, 0.0, 1.0], ["characteristic"])
+        out.append(three.select("characteristic", F.format_string("%.2f (%.2f to %.2f)", "q0", "q1", "q2").alias("value")))
     for c in categories:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("k")).orderBy(F.col("k").desc(), "v").limit(top)
         listed = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "v")))
