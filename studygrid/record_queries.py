@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from studygrid.operators import checks, models, repair, tables
+from studygrid.operators import catalogue, checks, models, repair, tables
 from studygrid.queries import query, rounded, table
 
 
@@ -226,3 +226,70 @@ def against_cohorts(spark, d):
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n, round(sum({c} * l_quantity) / sum(l_quantity), 6) AS weighted, round(avg({c}), 6) AS simple FROM lineitem" for c in ("l_tax", "l_discount")))
 def weighted_and_simple(spark, d):
     return rounded(models.weighted_and_simple(_lines(spark, d), ["l_tax", "l_discount"], "l_quantity").drop("difference"), "weighted", "simple")
+
+
+#: Rules of three diseases over the files below.
+CATALOGUE = {
+    "copd": {"required": ["cov_nr", "arm", "n", "age", "sd", "grade", "flag", "items"], "numeric": {"n": (5, 45, True), "age": (0, 60000, False)}, "boolean": ["flag"], "array": ["items"], "below": [("sd", "n")]},
+    "cvd": {"required": ["cov_nr", "arm", "n", "age", "sd", "grade", "flag", "items", "extra"], "enum": {"grade": [1, 2]}, "numeric": {"sd": (None, 2.5, True)}, "above": [("n", "sd")]},
+    "dm": {"required": ["cov_nr", "arm", "n", "age", "sd", "grade", "flag", "items"], "text_enum": {"flag": ["yes"]}, "array": ["items"], "sum": [("n", "sd", "whole")]},
+}
+
+
+def _result_files(spark, d):
+    """A file of one disease for each order: a list of its lines, or their first for a tenth of the orders; each line a record with faults."""
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    arm = F.when(flag == "R", F.concat(F.lit("treat"), n.cast("string"))).when(flag == "A", "control").otherwise(F.concat(F.lit("Group ("), n.cast("string"), F.lit(")")))
+    text = lambda x: F.concat(F.lit('"'), x.cast("string"), F.lit('"'))
+    field = lambda name, x: F.concat(F.lit(f'"{name}":'), x.cast("string"))
+    grade = F.when(n % 4 == 0, text(n % 4)).otherwise((n % 4).cast("string"))
+    fields = [
+        field("cov_nr", text(F.when(n == 5, "9").otherwise(F.col("l_orderkey")))), field("arm", text(arm)), field("n", F.col("l_quantity").cast("int")),
+        field("age", F.when(n == 3, '"old"').when(n == 4, '"NA"').otherwise(F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))),
+        field("sd", (n / 2 * 7).cast("decimal(12,1)")), field("grade", grade), field("flag", F.when(flag == "R", "true").when(flag == "A", '"yes"').otherwise("0")),
+        field("items", F.when(n == 2, '"NA"').when(n == 6, '"one"').otherwise('["one: 1"]')), F.when(n == 7, '"unknown":1'), F.when(n == 1, '"_metadata":{"prompt_version":"v7"}'),
+    ]
+    rows = _lines(spark, d).select("l_orderkey", F.struct("l_linenumber", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("j")).alias("r"))
+    papers = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["j"]).alias("j"))
+    doc = F.when(F.col("l_orderkey") % 10 == 0, F.get("j", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("j", ","), F.lit("]")))
+    disease = F.element_at(F.array(*map(F.lit, CATALOGUE)), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    return papers.select(F.col("l_orderkey").cast("string").alias("paper_id"), disease.alias("disease"), doc.alias("text"))
+
+
+@query("""WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS paper_id, l_orderkey % 3 AS disease, l_linenumber AS i, CAST(trunc(l_quantity) AS INT) AS n, round(l_extendedprice, 2) AS age, l_linenumber * 3.5 AS sd, l_returnflag AS f,
+  CASE l_returnflag WHEN 'R' THEN 'treat' || l_linenumber WHEN 'A' THEN 'control' ELSE 'Group (' || l_linenumber || ')' END AS arm, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS least, count(*) OVER (PARTITION BY l_orderkey) AS arms FROM lineitem WHERE l_orderkey % 10 <> 0),
+p AS (SELECT paper_id, max(CASE WHEN i = 1 AND least = 1 THEN 'v7' ELSE '' END) AS prompt_version, max(arms) AS arms, bool_or(f = 'A') AS control, bool_or(f = 'R') AS treat FROM r GROUP BY 1),
+e AS (
+SELECT paper_id, arm, 'range_violation' AS category, NULL AS fix_value FROM r WHERE disease = 0 AND (n < 5 OR n > 45)
+UNION ALL SELECT paper_id, arm, 'range_violation', NULL FROM r WHERE disease = 0 AND i NOT IN (3, 4) AND age > 60000
+UNION ALL SELECT paper_id, arm, 'type_numeric', NULL FROM r WHERE disease = 0 AND i = 3
+UNION ALL SELECT paper_id, arm, 'type_boolean', NULL FROM r WHERE disease = 0 AND f <> 'R'
+UNION ALL SELECT paper_id, arm, 'type_array', NULL FROM r WHERE disease IN (0, 2) AND i = 6
+UNION ALL SELECT paper_id, arm, 'range_order', NULL FROM r WHERE disease = 0 AND sd >= n OR disease = 1 AND n <= sd
+UNION ALL SELECT paper_id, arm, 'schema_missing_field', NULL FROM r WHERE disease = 1
+UNION ALL SELECT paper_id, arm, 'type_enum', NULL FROM r WHERE disease = 1 AND i % 4 NOT IN (1, 2) OR disease = 2 AND f <> 'A'
+UNION ALL SELECT paper_id, arm, 'type_integer', CAST(CASE WHEN CAST(floor(sd) AS BIGINT) % 2 = 0 THEN floor(sd) ELSE floor(sd) + 1 END AS BIGINT)::VARCHAR FROM r WHERE disease = 1 AND sd <> floor(sd)
+UNION ALL SELECT paper_id, arm, 'range_violation', NULL FROM r WHERE disease = 1 AND sd > 2.5
+UNION ALL SELECT paper_id, arm, 'schema_extra_field', NULL FROM r WHERE i = 7
+UNION ALL SELECT paper_id, arm, 'schema_cov_nr_mismatch', NULL FROM r WHERE i = 5 AND paper_id <> '9'
+UNION ALL SELECT paper_id, arm, 'schema_arm_naming', NULL FROM r, (VALUES (1), (2)) AS t(x) WHERE f = 'N'
+UNION ALL SELECT paper_id, NULL, 'cross_arm_missing_treat', NULL FROM p WHERE arms >= 2 AND NOT treat
+UNION ALL SELECT paper_id, NULL, 'cross_arm_missing_control', NULL FROM p WHERE arms >= 2 AND NOT control)
+SELECT e.*, prompt_version FROM e JOIN p USING (paper_id)
+UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), NULL, 'schema_not_list', NULL, '' FROM lineitem WHERE l_orderkey % 10 = 0""")
+def validate_files(spark, d):
+    found = catalogue.validate_files(_result_files(spark, d), catalogue.compiled(spark, CATALOGUE))
+    return found.select("paper_id", "arm", "category", "fix_value", "prompt_version")
+
+
+@query("""WITH w AS (SELECT DISTINCT substr(p_name, 1, strpos(p_name || ' ', ' ') - 1) AS word FROM part WHERE p_partkey % 3 = 0),
+i AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(substr(p_name, 1, strpos(p_name || ' ', ' ') - 1)) WHEN 1 THEN substr(p_name, 1, strpos(p_name || ' ', ' ') - 1) || '_sd' WHEN 2 THEN 'x' || p_partkey % 7 ELSE substr(p_name, 1, strpos(p_name || ' ', ' ') - 1) END AS prefix FROM part),
+m AS (SELECT p_partkey, prefix, (SELECT max(length(word)) FROM w WHERE starts_with(lower(prefix), lower(word))) AS k, prefix IN (SELECT word FROM w) AS fine FROM i)
+SELECT p_partkey AS paper_id, prefix, CASE WHEN k = length(prefix) THEN 'case' WHEN k IS NULL THEN 'invalid' ELSE 'similar' END AS issue, CASE WHEN k IS NOT NULL THEN (SELECT min(word) FROM w WHERE lower(word) = substr(lower(prefix), 1, k)) END AS expected FROM m WHERE NOT fine""")
+def vocabulary_issues(spark, d):
+    part, first = table(spark, d, "part"), F.substring_index("p_name", " ", 1)
+    words = part.where("p_partkey % 3 = 0").select(F.lit("copd").alias("disease"), first.alias("word"))
+    k = F.col("p_partkey") % 4
+    value = F.when(k == 0, F.upper(first)).when(k == 1, F.concat(first, F.lit("_sd"))).when(k == 2, F.concat(F.lit("x"), (F.col("p_partkey") % 7).cast("string"))).otherwise(first)
+    items = part.select(F.col("p_partkey").alias("paper_id"), F.lit("control").alias("arm"), F.lit("copd").alias("disease"), F.concat(value, F.lit(": 1")).alias("value"))
+    return catalogue.vocabulary_issues(items, words).select("paper_id", "prefix", "issue", "expected")
