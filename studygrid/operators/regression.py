@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studygrid.functions.tdist import t_p_value, t_ppf
+from studygrid.scratch import written
 
 
 def fit_one(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -52,16 +53,15 @@ def vif_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.try_divide(F.lit(1.0), 1 - r2).alias("vif"))
 
 
-def _ranked(df: DataFrame, column: str, out: str, ranges: int = 256) -> DataFrame:
-    """Average ranks, from counts of distinct values: the only global order is over ranges of them.
+def _ranked(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Average ranks, from counts of distinct values in ranges.
 
-    Ranges are cut at literal values, at most ``ranges`` of them, so every
-    evaluation of the plan deals the same value to the same range.
+    The counts are written once with the number of their range, so that every
+    reader sees the same ranges; the only order over all of them is of one row a
+    range.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("c"))
-    cuts = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(column))) if cuts else F.lit(0)
-    cut = counts.select(column, "c", part.alias("part"))
+    counts = df.groupBy(column).agg(F.count("*").alias("c")).repartitionByRange(column)
+    cut = written(counts.select(column, "c", F.spark_partition_id().alias("part")), "ranks")
     sums = cut.groupBy("part").agg(F.sum("c").alias("s"))
     base = sums.select(F.col("part").alias("part_"), F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     below = F.coalesce(F.sum("c").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -69,17 +69,27 @@ def _ranked(df: DataFrame, column: str, out: str, ranges: int = 256) -> DataFram
     return df.join(ranks.select(F.col(column).alias("_v"), (F.col("base") + F.col("below") + (F.col("c") + 1) / 2).alias(out)), F.col(column) == F.col("_v")).drop("_v")
 
 
+def _both(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The two columns as doubles, without rows that have a null or NaN."""
+    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    return rows.where("a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b)")
+
+
+def _tested(found: DataFrame, r: str) -> DataFrame:
+    """With ``t`` and its two-sided ``p``."""
+    t = F.col(r) * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col(r) * F.col(r)))
+    return found.withColumn("t", t).withColumn("p", t_p_value("t", (F.col("n") - 2).cast("double")))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``(n, rho, t)`` with tied values at their mean rank."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = _ranked(_ranked(rows, "a", "ra"), "b", "rb")
-    r = both.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
-    return r.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho"))))
+    """``(n, rho, t, p)`` with tied values at their mean rank; nulls and NaN are left out."""
+    both = _ranked(_ranked(_both(df, a, b), "a", "ra"), "b", "rb")
+    return _tested(both.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")), "rho")
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
-    r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count("*").alias("n"), F.corr(a, b).alias("r"))
-    return r.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
+    """``(n, r, t, p)``; nulls and NaN are left out."""
+    return _tested(_both(df, a, b).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r")), "r")
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> Column:

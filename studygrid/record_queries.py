@@ -5,9 +5,11 @@ Importing this module adds them to the registry of ``studygrid.queries``.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
-from studygrid.operators import catalogue, checks, models, repair, tables
+from studygrid.operators import catalogue, checks, inference, models, repair, tables
 from studygrid.queries import query, rounded, table
 
 
@@ -293,3 +295,31 @@ def vocabulary_issues(spark, d):
     value = F.when(k == 0, F.upper(first)).when(k == 1, F.concat(first, F.lit("_sd"))).when(k == 2, F.concat(F.lit("x"), (F.col("p_partkey") % 7).cast("string"))).otherwise(first)
     items = part.select(F.col("p_partkey").alias("paper_id"), F.lit("control").alias("arm"), F.lit("copd").alias("disease"), F.concat(value, F.lit(": 1")).alias("value"))
     return catalogue.vocabulary_issues(items, words).select("paper_id", "prefix", "issue", "expected")
+
+
+@query("""WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS ma, avg(l_tax) AS mb, var_pop(l_extendedprice) AS yy, var_pop(l_quantity) AS aa, var_pop(l_tax) AS bb, covar_pop(l_quantity, l_tax) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_tax, l_extendedprice) AS yb FROM lineitem),
+c AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS a1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS b1 FROM s),
+v AS (SELECT *, (yy - a1 * ay - b1 * yb) / (n - 3) AS s2 FROM c)
+SELECT 'Intercept' AS term, n, round(my - a1 * ma - b1 * mb, 3) AS estimate, round(sqrt(s2 * (1 + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)), 3) AS se FROM v
+UNION ALL SELECT 'l_quantity', n, round(a1, 3), round(sqrt(s2 * bb / det), 3) FROM v UNION ALL SELECT 'l_tax', n, round(b1, 3), round(sqrt(s2 * aa / det), 3) FROM v""")
+def ols_many(spark, d):
+    return rounded(inference.fit_many(_lines(spark, d), "l_extendedprice", ["l_quantity", "l_tax"]).select("term", "n", "estimate", "se"), "estimate", "se", digits=3)
+
+
+def _determinant(cells) -> str:
+    """SQL of the determinant of named cells."""
+    k, terms = len(cells), []
+    for order in itertools.permutations(range(k)):
+        sign = "-" if sum(order[i] > order[j] for i in range(k) for j in range(i + 1, k)) % 2 else "+"
+        terms.append(sign + " * ".join(cells[i][order[i]] for i in range(k)))
+    return f"({' '.join(terms)})"
+
+
+DESIGN = ["l_quantity", "l_tax", "l_discount", "l_linenumber"]
+CELLS = [[f"g{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+MINOR = [_determinant([[CELLS[i][j] for j in range(4) if j != m] for i in range(4) if i != m]) for m in range(4)]
+
+
+@query(f"WITH g AS (SELECT {', '.join(f'sum(CAST({DESIGN[i]} AS DOUBLE) * {DESIGN[j]}) AS g{i}{j}' for i in range(4) for j in range(i, 4))} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(g{m}{m} * {MINOR[m]} / {_determinant(CELLS)}, 6) AS vif FROM g" for m, c in enumerate(DESIGN)))
+def vif_many(spark, d):
+    return rounded(inference.vif(_lines(spark, d), DESIGN), "vif")
