@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from studygrid.scratch import written
+
 
 def diff_runs(a: DataFrame, b: DataFrame, paper: str, arm: str, ignore: tuple[str, ...] = ("_metadata",)) -> DataFrame:
     """``(paper, arm, field, value_a, value_b)`` of long runs ``(paper, arm, field_name, value)``.
@@ -55,3 +57,57 @@ def pair_up(a: DataFrame, b: DataFrame, keys: list[str], pad: int | None = None)
     left = a.select("field_name", *map(key, keys), F.col("value").alias("a"))
     right = b.select("field_name", *map(key, keys), F.col("value").alias("b"))
     return left.join(right, ["field_name", *keys])
+
+
+def diff_pairs(runs: DataFrame, paper: str = "paper_id", arm: str = "arm", run: str = "run", ignore: tuple[str, ...] = ("_metadata",)) -> DataFrame:
+    """``(paper, run_a, run_b, arm, field, value_a, value_b)`` for each two runs of ``runs(run, paper, arm, field_name, value)`` in which a paper is, by name.
+
+    An arm that one of the two lacks gives a ``_status`` row, a field that one
+    lacks a null. Records shuffle once, to their arm, and pairs are made inside
+    it, of its own runs; which runs have a paper is settled on a row for each arm.
+    Repeated fields of an arm keep the least value.
+    """
+    long = runs.where(~F.col("field_name").isin(*ignore)).select(F.col(paper).alias("p"), F.col(arm).alias("a"), F.col(run).alias("r"), F.col("field_name").alias("f"), F.col("value").cast("string").alias("v"))
+    # Dealt by arm, records need no other exchange for their fields, nor to meet the runs of their arm.
+    dealt = long.repartition("p", "a")
+    arms = dealt.groupBy("p", "a").agg(F.array_sort(F.collect_set("r")).alias("runs"))
+    fields = dealt.groupBy("p", "a", "f").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("cells")).join(arms, ["p", "a"])
+    spread = lambda names: F.filter(F.flatten(F.transform(names, lambda x: F.transform(names, lambda y: F.struct(x.alias("x"), y.alias("y"))))), lambda t: t["x"] < t["y"])
+    at = lambda r: F.get(F.filter("cells", lambda c: c["r"] == r), F.lit(0))["v"]
+    pairs = fields.select("p", "a", "f", F.explode(F.transform(spread(F.col("runs")), lambda t: F.struct(t["x"].alias("run_a"), t["y"].alias("run_b"), at(t["x"]).alias("value_a"), at(t["y"]).alias("value_b")))).alias("d"))
+    differ = pairs.where(~F.col("d.value_a").eqNullSafe(F.col("d.value_b"))).select(F.col("p").alias(paper), "d.run_a", "d.run_b", F.col("a").cast("string").alias(arm), F.col("f").alias("field"), "d.value_a", "d.value_b")
+    of_paper = arms.select("p", F.explode("runs").alias("r")).distinct().groupBy(F.col("p").alias("q")).agg(F.array_sort(F.collect_list("r")).alias("every"))
+    lacking = arms.select("p", "a", "runs").join(of_paper, F.col("p") == F.col("q")).where(F.size("runs") < F.size("every"))
+    sides = lacking.select("p", "a", "runs", F.explode(spread(F.col("every"))).alias("t")).where(F.array_contains("runs", F.col("t.x")) != F.array_contains("runs", F.col("t.y")))
+    word = lambda r: F.when(F.array_contains("runs", r), "present").otherwise("missing")
+    status = sides.select(F.col("p").alias(paper), F.col("t.x").alias("run_a"), F.col("t.y").alias("run_b"), F.col("a").cast("string").alias(arm), F.lit("_status").alias("field"), word(F.col("t.x")).alias("value_a"), word(F.col("t.y")).alias("value_b"))
+    return differ.unionByName(status)
+
+
+def compare_by_place(a: DataFrame, b: DataFrame, paper: str = "paper_id", place: str = "place", ignore: tuple[str, ...] = ("cov_nr", "arm", "_metadata"), sample: int = 5) -> DataFrame:
+    """``(field_name, presence, status, same, diff, sample)`` of long runs ``(paper, place, field_name, value)`` whose arms are paired by place.
+
+    The arms of a paper that both have, from 0 on, are compared; a value that is
+    missing is an empty text, so a field that both lack is the same. ``sample``
+    has the first ``paper_place`` that differ, by paper and place. Fields that are
+    new or removed have no counts. Only the differing rows that may be in a sample
+    shuffle for it.
+    """
+    side = lambda df, v: df.where(~F.col("field_name").isin(*ignore)).select(F.col(paper).alias("p"), F.col(place).alias("i"), "field_name", F.coalesce(F.col("value").cast("string"), F.lit("")).alias(v))
+    left, right = side(a, "va"), side(b, "vb")
+    arms = lambda df: df.select(F.col(paper).alias("p"), F.col(place).alias("i")).distinct()
+    common_arms = written(arms(a).join(arms(b), ["p", "i"]), "places")
+    both = left.join(right, ["p", "i", "field_name"], "full_outer").join(common_arms, ["p", "i"])
+    empty = F.lit("")
+    differ = both.where(F.coalesce("va", empty) != F.coalesce("vb", empty)).select("field_name", "p", "i")
+    first = Window.partitionBy("field_name").orderBy("p", "i")
+    few = differ.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
+    name = F.concat_ws("_", F.col("p").cast("string"), F.col("i").cast("string"))
+    samples = few.groupBy("field_name").agg(F.array_sort(F.collect_list(F.struct("k", name.alias("x")))).alias("s"))
+    counts = differ.groupBy("field_name").agg(F.count("*").alias("diff"))
+    zipped = common_arms.agg(F.count("*").alias("arms"))
+    found = field_presence(a.where(~F.col("field_name").isin(*ignore)), b.where(~F.col("field_name").isin(*ignore)))
+    out = found.join(counts, "field_name", "left").join(samples, "field_name", "left").crossJoin(F.broadcast(zipped))
+    common, diff = F.col("presence") == "common", F.coalesce("diff", F.lit(0))
+    when = lambda x: F.when(common, x)
+    return out.select("field_name", "presence", when(F.when(diff == 0, "SAME").otherwise("DIFF")).alias("status"), when(F.col("arms") - diff).alias("same"), when(diff).alias("diff"), when(F.coalesce(F.transform("s", lambda s: s["x"]), F.array().cast("array<string>"))).alias("sample"))

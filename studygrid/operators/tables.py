@@ -166,3 +166,28 @@ def json_report(findings: DataFrame, papers: DataFrame, run: dict[str, str]) ->
     counts = findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("ERROR", "WARNING", "INFO")])
     body = F.struct(*[F.lit(v).alias(k) for k, v in run.items()], F.struct("ERROR", "WARNING", "INFO").alias("counts"), "papers_with_errors", "papers_with_warnings", "clean_papers")
     return counts.crossJoin(lists).select(F.to_json(body).alias("report"))
+
+
+def baseline_comparison(pooled: DataFrame, cohorts: DataFrame, names: list[str]) -> DataFrame:
+    """``(variable, estimate, ci, se, n, <cohort>_mean_sd, <cohort>_n ...)`` as texts: ``pooled(variable, mean, se, ci_low, ci_high, n)`` beside ``cohorts(cohort, variable, mean, sd, n)``.
+
+    A dash stands where a cohort lacks the variable, or there is no standard
+    error; a deviation that is not known is left out. One row a cohort and variable.
+    """
+    shown = lambda pattern, *c: F.format_string(pattern, *[F.col(x).cast("double") for x in c])
+    cell = F.concat(shown("%.1f", "mean"), F.when(F.col("sd").isNotNull(), shown(" (%.1f)", "sd")).otherwise(""))
+    spread = cohorts.select("cohort", F.col("variable").alias("_v"), cell.alias("cell"), F.col("n").cast("string").alias("k")).groupBy("_v").pivot("cohort", names).agg(F.max("cell").alias("mean_sd"), F.max("k").alias("n"))
+    joined = pooled.join(spread, F.col("variable").eqNullSafe(F.col("_v")), "left")
+    dash = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit("—")).alias(c)
+    return joined.select("variable", shown("%.1f", "mean").alias("estimate"), F.when(F.col("se").isNull(), "—").otherwise(shown("[%.1f, %.1f]", "ci_low", "ci_high")).alias("ci"), F.when(F.col("se").isNull(), "—").otherwise(shown("%.2f", "se")).alias("se"), F.col("n"), *(dash(f"{c}_{x}") for c in names for x in ("mean_sd", "n")))
+
+
+def summary_row(groups: DataFrame, members: DataFrame, span: str, total: str, distinct: str, setting: str, settings: list[str], pooled: dict[str, DataFrame]) -> DataFrame:
+    """One row: counts of groups and members, the range of ``span``, the sum of ``total``, distinct values, the percent of all groups in each of ``settings``, and mean and interval of each of ``pooled``."""
+    percent = [F.coalesce(F.try_divide(100.0 * F.count_if(F.col(setting) == s), F.count("*")), F.lit(0.0)).alias(f"pct_{s}") for s in settings]
+    whole = lambda f: F.format_string("%.0f", f(span).cast("double"))
+    one = groups.agg(F.count("*").alias("n_groups"), F.concat_ws("-", whole(F.min), whole(F.max)).alias("range"), F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("total"), F.count_distinct(distinct).alias("n_distinct"), *percent)
+    out = one.crossJoin(F.broadcast(members.agg(F.count("*").alias("n_members"))))
+    for name, row in pooled.items():
+        out = out.crossJoin(F.broadcast(row.select(F.col("mean").alias(f"{name}_pooled"), F.col("ci_low").alias(f"{name}_ci_lo"), F.col("ci_high").alias(f"{name}_ci_hi"))))
+    return out.select("n_groups", "n_members", "range", "total", "n_distinct", *(f"`pct_{s}`" for s in settings), *(f"{n}_{x}" for n in pooled for x in ("pooled", "ci_lo", "ci_hi")))

@@ -9,7 +9,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from studygrid.operators import catalogue, checks, inference, models, repair, tables
+from studygrid.operators import catalogue, checks, compare, groups, inference, models, repair, selection, tables
 from studygrid.queries import query, rounded, table
 
 
@@ -323,3 +323,109 @@ MINOR = [_determinant([[CELLS[i][j] for j in range(4) if j != m] for i in range(
 @query(f"WITH g AS (SELECT {', '.join(f'sum(CAST({DESIGN[i]} AS DOUBLE) * {DESIGN[j]}) AS g{i}{j}' for i in range(4) for j in range(i, 4))} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(g{m}{m} * {MINOR[m]} / {_determinant(CELLS)}, 6) AS vif FROM g" for m, c in enumerate(DESIGN)))
 def vif_many(spark, d):
     return rounded(inference.vif(_lines(spark, d), DESIGN), "vif")
+
+
+#: Four runs over the lines: what each has of a line's fields, and how it changes them.
+RUNS = {
+    "r1": ("true", "l_returnflag", "l_linestatus"), "r2": ("l_orderkey % 7 <> 0", "CASE WHEN l_quantity > 30 THEN 'X' ELSE l_returnflag END", "l_linestatus"),
+    "r3": ("l_linenumber <> 2", "l_returnflag", "CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_linestatus END"), "r4": ("l_orderkey % 7 <> 0 AND l_linenumber <> 3", "l_returnflag", "lower(l_linestatus)"),
+}
+RUNS_SQL = "u AS (" + " UNION ALL ".join(f"SELECT '{r}' AS run, l_orderkey AS p, l_linenumber AS a, {f} AS flag, {s} AS status FROM o WHERE {t}" for r, (t, f, s) in RUNS.items()) + ")"
+
+
+def _four_runs(spark, d):
+    rows = _lines(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"), F.max("l_quantity").alias("l_quantity"))
+    each = [rows.where(t).select(F.lit(r).alias("run"), F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("arm"), F.expr(f).alias("flag"), F.expr(s).alias("status")) for r, (t, f, s) in RUNS.items()]
+    stacked = each[0]
+    for more in each[1:]:
+        stacked = stacked.unionByName(more)
+    return stacked.unpivot(["run", "paper_id", "arm"], ["flag", "status"], "field_name", "value")
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2), {RUNS_SQL},
+n AS (SELECT DISTINCT run, p FROM u), k AS (SELECT DISTINCT p, a FROM u),
+j AS (SELECT k.p, k.a, x.run AS run_a, y.run AS run_b, ua.run AS ra, ub.run AS rb, ua.flag AS fa, ub.flag AS fb, ua.status AS sa, ub.status AS sb FROM k JOIN n x ON x.p = k.p JOIN n y ON y.p = k.p AND x.run < y.run
+  LEFT JOIN u ua ON ua.p = k.p AND ua.a = k.a AND ua.run = x.run LEFT JOIN u ub ON ub.p = k.p AND ub.a = k.a AND ub.run = y.run)
+SELECT p AS paper_id, run_a, run_b, CAST(a AS VARCHAR) AS arm, 'flag' AS field, fa AS value_a, fb AS value_b FROM j WHERE ra IS NOT NULL AND rb IS NOT NULL AND fa IS DISTINCT FROM fb
+UNION ALL SELECT p, run_a, run_b, CAST(a AS VARCHAR), 'status', sa, sb FROM j WHERE ra IS NOT NULL AND rb IS NOT NULL AND sa IS DISTINCT FROM sb
+UNION ALL SELECT p, run_a, run_b, CAST(a AS VARCHAR), '_status', CASE WHEN ra IS NULL THEN 'missing' ELSE 'present' END, CASE WHEN rb IS NULL THEN 'missing' ELSE 'present' END FROM j WHERE (ra IS NULL) <> (rb IS NULL)""")
+def diff_pairs(spark, d):
+    return compare.diff_pairs(_four_runs(spark, d))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity) - 1 AS i, l_returnflag, l_linestatus, l_quantity, l_shipmode FROM (SELECT *, l_returnflag || l_linenumber AS l_shipmode FROM lineitem)),
+z AS (SELECT * FROM r WHERE p % 3 <> 0 AND i < 4),
+f AS (SELECT 'flag' AS field_name, p, i, l_quantity > 30 AS bad FROM z UNION ALL SELECT 'status', p, i, i = 1 FROM z UNION ALL SELECT 'mode', p, i, false FROM z),
+s AS (SELECT field_name, list(p || '_' || i ORDER BY p, i) AS x FROM f WHERE bad GROUP BY 1)
+SELECT f.field_name, 'common' AS presence, CASE WHEN bool_or(bad) THEN 'DIFF' ELSE 'SAME' END AS status, count(*) FILTER (WHERE NOT bad) AS same, count(*) FILTER (WHERE bad) AS diff, coalesce(any_value(array_to_string(x[1:5], ' ')), '') AS sample FROM f LEFT JOIN s ON f.field_name = s.field_name GROUP BY 1
+UNION ALL VALUES ('old', 'removed', NULL, NULL, NULL, NULL), ('fresh', 'new', NULL, NULL, NULL, NULL)""")
+def compare_by_place(spark, d):
+    order = F.struct("l_linenumber", "l_extendedprice", "l_quantity").alias("k")
+    lists = _lines(spark, d).groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.array_sort(F.collect_list(F.struct(order, "l_returnflag", "l_linestatus"))).alias("x"))
+    at = lists.select("paper_id", F.posexplode("x").alias("place", "y"))
+    rows = at.select("paper_id", "place", F.col("y.l_returnflag").alias("flag"), F.col("y.l_linestatus").alias("status"), F.concat("y.l_returnflag", F.col("y.k.l_linenumber").cast("string")).alias("mode"), F.col("y.k.l_quantity").alias("q"))
+    a = rows.where("place < 4").withColumn("old", F.lit("1"))
+    b = rows.where("paper_id % 3 <> 0").withColumn("fresh", F.lit("1")).withColumn("flag", F.when(F.col("q") > 30, "X").otherwise(F.col("flag"))).withColumn("status", F.when(F.col("place") != 1, F.col("status")))
+    long = lambda df, names: df.unpivot(["paper_id", "place"], names, "field_name", "value").where("value IS NOT NULL")
+    out = compare.compare_by_place(long(a, ["flag", "status", "mode", "old"]), long(b, ["flag", "status", "mode", "fresh"]))
+    return out.withColumn("sample", F.array_join("sample", " "))
+
+
+@query("SELECT o_orderkey, CASE WHEN c_custkey % 6 <> 0 THEN c_name END AS c_name, (SELECT count(*) FROM orders WHERE o_custkey % 6 = 0) AS unmatched FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 6 <> 0")
+def with_lookup(spark, d):
+    lookup = table(spark, d, "customer").where("c_custkey % 6 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    joined, gaps = selection.with_lookup(table(spark, d, "orders").select("o_orderkey", "o_custkey"), lookup, "o_custkey", "c_name")
+    return joined.crossJoin(F.broadcast(gaps)).select("o_orderkey", "c_name", "unmatched")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus AS bucket FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND l_returnflag <> 'N'")
+def with_group_values(spark, d):
+    trials = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("bucket"))
+    arms = _lines(spark, d).select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("setting"))
+    return selection.with_group_values(arms, trials, "l_orderkey", ["bucket"], ("setting",)).drop("setting")
+
+
+@query("WITH v AS (SELECT CASE WHEN c_nationkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS value FROM customer) SELECT value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM v), 6) AS pct FROM v GROUP BY 1")
+def value_counts(spark, d):
+    rows = table(spark, d, "customer").select(F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("v"))
+    return rounded(selection.value_counts(rows, "v", missing=True), "pct")
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('7:' || o_orderkey), o_orderkey) AS k FROM orders) WHERE k <= 20 UNION ALL (SELECT -o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 50)")
+def seeded_sample(spark, d):
+    o = table(spark, d, "orders")
+    return selection.seeded_sample(o, "o_orderkey", 20, 7, "o_orderstatus").select("o_orderkey").unionByName(selection.seeded_sample(o, "o_orderkey", 50, 7).select((-F.col("o_orderkey")).alias("o_orderkey")))
+
+
+@query("SELECT l_orderkey, l_returnflag, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_extendedprice) AS k FROM lineitem) WHERE k = 1")
+def distinct_keys(spark, d):
+    rows = _lines(spark, d).select("l_orderkey", "l_returnflag", "l_linenumber", "l_extendedprice")
+    return selection.distinct_keys(rows, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_extendedprice"]).drop("l_linenumber")
+
+
+@query("SELECT count(DISTINCT o_custkey) AS groups, round(sum(o_totalprice), 2) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def members_of(spark, d):
+    return rounded(selection.members_of(table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "o_totalprice"), "n", digits=2)
+
+
+@query(f"""WITH m AS ({MEANS}), c AS ({COHORTS})
+SELECT m.variable, printf('%.1f', m.mean) AS estimate, m.se IS NOT NULL AS has_interval, o.x AS cohort, CASE WHEN c.mean IS NULL THEN '—' ELSE printf('%.1f (%.1f)', c.mean, c.sd) END AS mean_sd FROM m CROSS JOIN (VALUES ('F'), ('O'), ('none')) AS o(x) LEFT JOIN c ON c.cohort = o.x AND c.variable = m.variable""")
+def baseline_comparison(spark, d):
+    rows = _lines(spark, d)
+    of = (F.avg("l_quantity").alias("mean"), F.stddev_samp("l_quantity").alias("sd"), F.count("*").alias("n"))
+    pooled = rows.groupBy(F.col("l_returnflag").alias("variable")).agg(*of, (F.stddev_samp("l_quantity") / F.sqrt(F.count("*"))).alias("se"))
+    pooled = pooled.select("variable", "mean", "se", (F.col("mean") - F.col("se")).alias("ci_low"), (F.col("mean") + F.col("se")).alias("ci_high"), "n")
+    cohorts = rows.where("l_linenumber = 1").groupBy(F.col("l_linestatus").alias("cohort"), F.col("l_returnflag").alias("variable")).agg(*of)
+    out = tables.baseline_comparison(pooled, cohorts, ["F", "O", "none"])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("cohort"), F.col(f"{c}_mean_sd").alias("mean_sd")) for c in ("F", "O", "none")]))
+    return out.select("variable", "estimate", F.col("ci").startswith("[").alias("has_interval"), pairs.alias("p")).select("variable", "estimate", "has_interval", "p.*")
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS setting, count(*) AS k FROM orders GROUP BY 1)
+SELECT count(*) AS n_groups, (SELECT count(*) FROM lineitem) AS n_members, min(o_custkey) || '-' || max(o_custkey) AS "range", CAST(sum(o_shippriority) AS BIGINT) AS total, count(DISTINCT o_orderstatus) AS n_distinct,
+round(100.0 * count(*) FILTER (WHERE o_orderpriority = '1-URGENT') / count(*), 6) AS "pct_1-URGENT", round(100.0 * count(*) FILTER (WHERE o_orderpriority = 'none') / count(*), 6) AS pct_none, round(avg(o_totalprice), 4) AS price_pooled FROM (SELECT *, o_orderkey % 9 AS o_shippriority FROM orders)""")
+def summary_row(spark, d):
+    o = table(spark, d, "orders").withColumn("part", F.col("o_orderkey") % 9).withColumn("one", F.lit(1.0))
+    pooled = {"price": groups.weighted_mean_across_groups(o, "o_totalprice", "one")}
+    out = tables.summary_row(o, _lines(spark, d), "o_custkey", "part", "o_orderstatus", "o_orderpriority", ["1-URGENT", "none"], pooled)
+    return rounded(out.drop("price_ci_lo", "price_ci_hi"), "pct_1-URGENT", "pct_none").withColumn("price_pooled", F.round("price_pooled", 4))

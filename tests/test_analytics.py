@@ -10,7 +10,7 @@ from studygrid.operators import agreement, compare, groups, ledger, regression,
 from studygrid.plans import reports
 from studygrid.plans.reports import agreement_report
 from studygrid.sources import runs
-from studygrid.streaming.findings import follow
+from studygrid.streaming.findings import follow, read_ledger
 
 
 def one(spark, column):
@@ -187,7 +187,7 @@ def test_stream_of_findings(spark, tmp_path):
     follow(*args).awaitTermination(60)
     (tmp_path / "in" / "b.json").write_text('{"p": "1", "a": "t", "x": 50}\n{"p": "2", "a": "t", "x": -1}\n')
     follow(*args).awaitTermination(60)
-    last = spark.read.parquet(str(tmp_path / "ledger" / "v=2"))
+    last = read_ledger(spark, str(tmp_path / "ledger"))
     assert [(r["paper_id"], r["status"]) for r in last.collect()] == [("2", "open")]
 
 
