@@ -9,8 +9,10 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from studygrid.operators import catalogue, checks, compare, groups, inference, models, repair, selection, tables
+from studygrid.operators import catalogue, checks, compare, groups, inference, models, recode, repair, selection, tables
+from studygrid.plans import reports
 from studygrid.queries import query, rounded, table
+from studygrid.sources import runs as run_files
 
 
 def _lines(spark, d):
@@ -429,3 +431,39 @@ def summary_row(spark, d):
     pooled = {"price": groups.weighted_mean_across_groups(o, "o_totalprice", "one")}
     out = tables.summary_row(o, _lines(spark, d), "o_custkey", "part", "o_orderstatus", "o_orderpriority", ["1-URGENT", "none"], pooled)
     return rounded(out.drop("price_ci_lo", "price_ci_hi"), "pct_1-URGENT", "pct_none").withColumn("price_pooled", F.round("price_pooled", 4))
+
+
+KINDS_OF_A = """CASE o_custkey % 6 WHEN 0 THEN '["NA"]' WHEN 1 THEN '["x: 1", "NA"]' WHEN 2 THEN '0' WHEN 3 THEN '2' WHEN 4 THEN '" n/a "' ELSE '"' || o_orderpriority || '"' END"""
+KINDS_OF_B = """CASE o_custkey % 5 WHEN 0 THEN '"NaN"' WHEN 1 THEN '12' WHEN 2 THEN 'null' WHEN 3 THEN '"' || o_orderstatus || '"' ELSE '""' END"""
+FIELD_OF = "CASE o_orderkey % 3 WHEN 0 THEN 'ethnicity' WHEN 1 THEN 'ses' ELSE 'diagnosis' END"
+BUCKET_OF = "CASE o_orderkey % 3 WHEN 1 THEN 'boolean' ELSE 'structured_string_array' END"
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 3 AS f, o_custkey % 6 AS i, o_custkey % 5 AS j, o_orderpriority, o_orderstatus FROM orders),
+p AS (SELECT o_orderkey, CASE f WHEN 0 THEN 'ethnicity' WHEN 1 THEN 'ses' ELSE 'diagnosis' END AS field_name, CASE f WHEN 2 THEN 'structured_string_array' ELSE 'boolean' END AS bucket,
+  CASE WHEN f = 0 OR (f = 1 AND i < 2) THEN CASE WHEN i IN (1, 3, 5) THEN 'true' ELSE 'false' END ELSE CASE i WHEN 0 THEN 'NA' WHEN 1 THEN 'x: 1~NA' WHEN 2 THEN '0' WHEN 3 THEN '2' WHEN 4 THEN ' n/a ' ELSE o_orderpriority END END AS a,
+  CASE WHEN f < 2 THEN CASE WHEN j = 3 THEN 'true' ELSE 'false' END ELSE CASE j WHEN 0 THEN 'NaN' WHEN 1 THEN '12' WHEN 3 THEN o_orderstatus WHEN 4 THEN '' END END AS b FROM r)
+SELECT * FROM p""")
+def recoded_values(spark, d):
+    pairs = table(spark, d, "orders").select("o_orderkey", F.expr(FIELD_OF).alias("field_name"), F.expr(BUCKET_OF).alias("bucket"), F.expr(KINDS_OF_A).alias("a"), F.expr(KINDS_OF_B).alias("b"))
+    return recode.recoded(pairs)
+
+
+@query("""SELECT 'status' AS field_name, o_orderkey, o_orderstatus AS llm_value, 'X' AS prior_value, '' AS adjudication, '' AS adjudicator_note FROM orders WHERE o_custkey % 4 = 0""")
+def adjudication_queue(spark, d):
+    o = table(spark, d, "orders")
+    long = lambda x, y: o.select("o_orderkey", F.expr(f"stack(2, 'status', {x}, 'priority', {y})").alias("field_name", "value"))
+    mapping = spark.createDataFrame([("status", "categorical", "A_reference"), ("priority", "identifier", "no")], "field_name string, bucket string, tier1_prior_extraction string")
+    found = reports.disagreements(long("o_orderstatus", "o_orderpriority"), long("CASE WHEN o_custkey % 4 = 0 THEN 'X' ELSE o_orderstatus END", "'other'"), mapping, ["o_orderkey"])
+    return recode.adjudication_queue(found, mapping, ["o_orderkey"])
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)
+SELECT CAST(l_orderkey AS VARCHAR) AS cov_nr, CAST(l_linenumber AS VARCHAR) AS arm, l_returnflag || '~1' AS items, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE '' END AS n, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END AS note FROM o""")
+def wide_records(spark, d):
+    rows = _lines(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").cast("long").alias("q"))
+    n = F.col("l_linenumber")
+    values = {"items": F.concat(F.lit('["'), "flag", F.lit('", 1]')), "n": F.when(n % 2 == 0, F.col("q").cast("string")), "note": F.when(n % 3 == 0, "null").otherwise(F.concat(F.lit('"'), "flag", F.lit('"')))}
+    cells = F.array(*[F.struct(F.lit(k).alias("field_name"), v.alias("value")) for k, v in values.items()])
+    run = rows.select(F.col("l_orderkey").cast("string").alias("cov_nr"), n.cast("string").alias("arm"), F.posexplode(cells).alias("place", "c")).select("cov_nr", "arm", "place", "c.*").where("value IS NOT NULL")
+    return run_files.wide_records(run, place="place").select("cov_nr", "arm", "items", "n", "note")

@@ -66,10 +66,32 @@ def read_papers(spark: SparkSession, folder: str) -> DataFrame:
     return table.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("disease"), F.substring(F.regexp_replace(F.url_decode(stem), "^#", ""), 1, 4).alias("cov_nr"), F.col("value").alias("text"))
 
 
-def write_wide_csv(run: DataFrame, path: str, fields: list[str]) -> None:
-    """A row for each record, the given fields in order, null as empty text."""
-    wide = run.groupBy(*KEYS).pivot("field_name", fields).agg(F.first("value"))
-    wide.na.fill("", fields).write.mode("overwrite").csv(path, header=True, emptyValue="")
+def wide_records(run: DataFrame, fields: list[str] | None = None, place: str | None = None) -> DataFrame:
+    """A row for each record of a long run with JSON values, lists joined by ``~``, null as empty text, booleans as True and False.
+
+    The columns are ``fields``, or all of the run in the order of their first
+    place: by key, then the column ``place`` if there is one, then name. A field
+    that repeats in a record is an error.
+    """
+    if fields is None:
+        first = run.groupBy("field_name").agg(F.min(F.struct(*KEYS, *([place] if place else []), "field_name")).alias("at")).orderBy("at")
+        fields = [r["field_name"] for r in first.limit(10_001).collect()]
+        if len(fields) > 10_000:
+            raise ValueError("more than 10,000 fields")
+    value = F.try_parse_json("value")
+    kind = lambda x: F.schema_of_variant(x)
+    plain = lambda x: F.when(kind(x) == "BOOLEAN", F.initcap(F.try_variant_get(x, "$", "string"))).otherwise(F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.when(kind(x) == "VOID", "None").otherwise(plain(x)))
+    text = F.coalesce(F.array_join(listed, "~"), F.when(value.isNull(), F.col("value")).when(kind(value) != "VOID", plain(value)))
+    cells = run.where(F.col("field_name").isin(*fields)).select(*KEYS, "field_name", text.alias("value"))
+    wide = cells.groupBy(*KEYS).pivot("field_name", fields).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
+    cell = lambda c: F.when(F.col(f"`{c}_n`") > 1, F.raise_error(F.concat(F.lit(f"{c} repeats in "), F.concat_ws(" ", *KEYS)))).otherwise(F.coalesce(F.col(f"`{c}_v`"), F.lit("")))
+    return wide.select(*KEYS, *(cell(c).alias(c) for c in fields))
+
+
+def write_wide_csv(run: DataFrame, path: str, fields: list[str] | None = None, place: str | None = None) -> None:
+    """``wide_records`` as CSV with a header."""
+    wide_records(run, fields, place).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
 def write_records(df: DataFrame, path: str, metadata: dict[str, str], keys: tuple[str, ...] = ("disease", "version")) -> None:
