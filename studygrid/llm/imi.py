@@ -4,10 +4,11 @@ Unit vectors are cut into halves, each with its own codebook, and the pairs of
 codewords form a grid of cells. Every vector is filed in one cell. It visits
 cells by the multi-sequence algorithm, in order of how far it would have to move
 to be filed there: the squared distances to the two bisecting planes, summed. A
-vector within the cosine threshold moves at most delta = sqrt(2 - 2 t), and by
-delta / sqrt(d) along a given direction if it moves anywhere alike; the traversal
-ends where the cells left would hold less than 1 - ``recall`` of the links (at
-recall 1, where none can hold any). Pairs that meet are settled by products of
+vector within the cosine threshold moves at most delta = sqrt(2 - 2 t), so that
+cells beyond hold no link. How far links really reach is measured: ``PROBES``
+vectors are compared with all others, and the traversal ends where all but a tenth
+of 1 - ``recall`` of their links lie; at delta if the links found are too few to tell,
+or at recall 1. Pairs that meet are settled by products of
 single precision, which are off by less than ``NARROW``; the few that come as
 near to the threshold as that are verified in double precision by a join, so
 that cells carry vectors of half the size.
@@ -31,6 +32,8 @@ SAMPLE, SAMPLE_EACH = 8192, 16
 CODEWORDS = 4096
 CELL_ROWS = 200
 BLOCK = 4096
+#: Vectors whose links are measured; steps of the reach; links in proportion to 1 / (1 - recall) that a measure takes at least.
+PROBES, STEPS, TELLING = 1024, 1000, 10
 #: Above the error of a product of two unit vectors in single precision, for up to some thousands of components.
 NARROW = 1e-4
 
@@ -54,11 +57,13 @@ def margins(rows, centers):
     """Nearest codeword, and each codeword's distance from the row to the plane between it and the nearest."""
     import numpy as np
 
-    d = (rows**2).sum(axis=1)[:, None] + (centers**2).sum(axis=1)[None] - 2 * rows @ centers.T
+    size, at = (centers**2).sum(axis=1), np.arange(len(rows))
+    d = (rows**2).sum(axis=1)[:, None] + size[None] - 2 * rows @ centers.T
     own = d.argmin(axis=1)
-    apart = np.sqrt(np.maximum(((centers[:, None] - centers[None]) ** 2).sum(axis=2), 0))
-    gap = apart[own]
-    out = np.where(gap > 0, (d - d[np.arange(len(d)), own][:, None]) / (2 * np.where(gap > 0, gap, 1)), 0)
+    # Codewords' distances from the nearest one, by products as well, so nothing of codewords by codewords is held.
+    gap = np.sqrt(np.maximum(size[own][:, None] + size[None] - 2 * centers[own] @ centers.T, 0))
+    gap[at, own] = 0
+    out = np.where(gap > 0, (d - d[at, own][:, None]) / (2 * np.where(gap > 0, gap, 1)), 0)
     return own, np.maximum(out, 0)
 
 
@@ -78,13 +83,18 @@ def multi_sequence(a, b, most: float):
                 heapq.heappush(heap, (a[p[0]] + b[p[1]], *p))
 
 
-def reach(threshold: float, recall: float, width: int, words: int) -> float:
-    from statistics import NormalDist
+def reach(found, threshold: float, recall: float) -> float:
+    """The squared reach that all but a tenth of 1 - ``recall`` of the measured links need; delta squared if they are too few, or recall is 1.
 
-    delta = (2 - 2 * threshold) ** 0.5
-    if recall >= 1 or width < 8:
-        return delta + 1e-9
-    return min(delta + 1e-9, delta / width**0.5 * NormalDist().inv_cdf(1 - (1 - recall) / (2 * max(words, 1))))
+    ``found`` counts links by the step of delta squared that they need.
+    """
+    import numpy as np
+
+    delta = 2 - 2 * threshold + 1e-9
+    if recall >= 1 or found.sum() < TELLING / (1 - recall):
+        return delta
+    enough = int(np.searchsorted(np.cumsum(found), (1 - (1 - recall) / 10) * found.sum()))
+    return min(delta, (enough + 1) / STEPS * delta)
 
 
 def _linked(probe, members, weight, same, threshold: float):
@@ -125,6 +135,41 @@ def _linked(probe, members, weight, same, threshold: float):
     return counts, top, label, [np.concatenate(x) for x in zip(*close, strict=True)]
 
 
+def _needed(classes: DataFrame, probes: list, books: dict, unit, threshold: float) -> DataFrame:
+    """``(step, n)``: links of the probes with all other vectors, counted by the step of delta squared at which the probe visits the other's cell."""
+
+    def measure(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        sides, total = {}, np.zeros(STEPS, np.int64)
+        names = {x: i for i, x in enumerate(sorted({p["label"] for p in probes}))}
+        for w, (one, two) in books.items():
+            own = [p for p in probes if len(p["x"]) == w]
+            if own:
+                u = unit([p["x"] for p in own])
+                sides[w] = u, np.array([names[p["label"]] for p in own]), np.array([p["entry"] for p in own]), margins(u[:, : w // 2], one)[1], margins(u[:, w // 2 :], two)[1]
+        for batch in batches:
+            label, entry = batch.column("label").to_pylist(), batch.column("entry").to_numpy()
+            times, vectors = batch.column("times").to_numpy(), batch.column("x").to_pylist()
+            for w in {len(v) for v in vectors} & set(sides):
+                at = np.array([i for i, v in enumerate(vectors) if len(v) == w])
+                u, (one, two), (p, labels, entries, m1, m2) = unit([vectors[i] for i in at]), books[w], sides[w]
+                code = np.array([names.get(label[i], -1) for i in at])
+                link = (p @ u.T >= threshold) & (labels[:, None] == code[None]) & (entries[:, None] != entry[at][None])
+                i, j = np.nonzero(link)
+                if len(i):
+                    # Only members of a link are filed here.
+                    some, back = np.unique(j, return_inverse=True)
+                    o1, o2 = margins(u[some][:, : w // 2], one)[0][back], margins(u[some][:, w // 2 :], two)[0][back]
+                    share = (m1[i, o1] ** 2 + m2[i, o2] ** 2) / (2 - 2 * threshold + 1e-9)
+                    np.add.at(total, np.minimum((share * STEPS).astype(np.int64), STEPS - 1), times[at][j])
+        steps = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(steps.astype(np.int32)), pa.array(total[steps])], ["step", "n"])
+
+    return classes.select("label", "entry", "times", "x").mapInArrow(measure, "step int, n long")
+
+
 def near_duplicates(
     rows: DataFrame,
     id_col: str = "vec_id",
@@ -159,11 +204,14 @@ def near_duplicates(
             number = F.xxhash64("label", "x", F.lit(salt))
             if classes.select(F.count_distinct(number)).first()[0] == n:
                 break
+        else:
+            raise RuntimeError("no numbering of the vectors is free of collisions")
         classes = materialize(classes.withColumn("entry", number), "vectors")
     else:
         number = F.xxhash64("label", "x")
     k = int(min(CODEWORDS, max(1, round((n / CELL_ROWS) ** 0.5))))
-    sample = [r["x"] for r in classes.orderBy(F.xxhash64("entry"), "rep").limit(max(SAMPLE, SAMPLE_EACH * k)).select("x").collect()]
+    chosen = classes.orderBy(F.xxhash64("entry"), "rep").limit(max(SAMPLE, SAMPLE_EACH * k)).select("label", "entry", "x").collect()
+    sample = [r["x"] for r in chosen]
     if not n:
         return all_rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     import numpy as np
@@ -180,7 +228,12 @@ def near_duplicates(
     books = {}
     for w, vs in by_width.items():
         u = unit(vs)
-        books[w] = (codebook(u[:, : w // 2], k), codebook(u[:, w // 2 :], k), reach(threshold, recall, w, k) ** 2)
+        books[w] = (codebook(u[:, : w // 2], k), codebook(u[:, w // 2 :], k))
+    found = np.zeros(STEPS, np.int64)
+    if recall < 1 and n > PROBES:
+        for r in _needed(classes, chosen[:PROBES], books, unit, threshold).groupBy("step").agg(F.sum("n").alias("n")).collect():
+            found[r["step"]] = r["n"]
+    most = reach(found, threshold, recall)
 
     def file(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,7 +248,7 @@ def near_duplicates(
                 narrow = u.astype(np.float32)
                 cells: list = [[0]] * len(at)
                 if w in books:
-                    one, two, most = books[w]
+                    one, two = books[w]
                     (o1, m1), (o2, m2) = margins(u[:, : w // 2], one), margins(u[:, w // 2 :], two)
                     cells = []
                     m1, m2 = m1**2, m2**2

@@ -451,6 +451,39 @@ def test_embedding_dedup(spark):
     assert imi.near_duplicates(df.limit(0)).count() == 0
 
 
+def links_found(spark, vectors, **more):
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = imi.near_duplicates(df, **more).collect()
+    return sum(r["n_links"] for r in got), len({r["component_id"] for r in got})
+
+
+def test_embedding_links_of_two_groups_are_kept(spark):
+    """Two tight groups, 0.981 apart: differences point one way, along which half of all links lie."""
+    rng = np.random.default_rng(1)
+    a, side = rng.normal(size=64), rng.normal(size=64)
+    a /= np.linalg.norm(a)
+    side -= (side @ a) * a
+    b = 0.981 * a + math.sqrt(1 - 0.981**2) * side / np.linalg.norm(side)
+    vectors = np.array([(a if i % 2 else b) + rng.normal(size=64) * 1e-5 for i in range(600)])
+    assert links_found(spark, vectors) == (600 * 599, 1)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "plane", "groups"])
+def test_embedding_recall_whatever_the_shape(spark, kind):
+    """More vectors than are measured; links found at the default against brute force."""
+    rng = np.random.default_rng(2)
+    if kind == "isotropic":
+        vectors = rng.normal(size=(150, 32))[rng.integers(0, 150, 3000)] + rng.normal(size=(3000, 32)) * 0.09
+    elif kind == "plane":
+        vectors = rng.normal(size=(3000, 2)) @ rng.normal(size=(2, 64)) + rng.normal(size=(3000, 64)) * 0.01
+    else:
+        vectors = rng.normal(size=(8, 64))[rng.integers(0, 8, 3000)] + rng.normal(size=(1, 64)) * rng.integers(0, 2, (3000, 1)) * 0.19 + rng.normal(size=(3000, 64)) * 0.005
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = int((u @ u.T >= 0.98).sum()) - 3000
+    found, _ = links_found(spark, vectors)
+    assert want > 5000 and 0.999 * want <= found <= want
+
+
 def test_multi_sequence_is_in_order():
     a, b = sorted(RNG.random() for _ in range(8)), sorted(RNG.random() for _ in range(6))
     got = [a[i] + b[j] for i, j in imi.multi_sequence(a, b, 1.2)]
