@@ -33,7 +33,7 @@ CODEWORDS = 4096
 CELL_ROWS = 200
 BLOCK = 4096
 #: Vectors whose links are measured; steps of the reach; links in proportion to 1 / (1 - recall) that a measure takes at least.
-PROBES, STEPS, TELLING = 1024, 1000, 10
+PROBES, STEPS, TELLING = 2048, 1000, 3
 #: Above the error of a product of two unit vectors in single precision, for up to some thousands of components.
 NARROW = 1e-4
 
@@ -148,7 +148,7 @@ def _needed(classes: DataFrame, probes: list, books: dict, unit, threshold: floa
             own = [p for p in probes if len(p["x"]) == w]
             if own:
                 u = unit([p["x"] for p in own])
-                sides[w] = u, np.array([names[p["label"]] for p in own]), np.array([p["entry"] for p in own]), margins(u[:, : w // 2], one)[1], margins(u[:, w // 2 :], two)[1]
+                sides[w] = u, np.array([names[p["label"]] for p in own]), np.array([p["entry"] for p in own]), *(margins(half, book)[1].astype(np.float32) for half, book in ((u[:, : w // 2], one), (u[:, w // 2 :], two)))
         for batch in batches:
             label, entry = batch.column("label").to_pylist(), batch.column("entry").to_numpy()
             times, vectors = batch.column("times").to_numpy(), batch.column("x").to_pylist()
@@ -162,7 +162,7 @@ def _needed(classes: DataFrame, probes: list, books: dict, unit, threshold: floa
                     # Only members of a link are filed here.
                     some, back = np.unique(j, return_inverse=True)
                     o1, o2 = margins(u[some][:, : w // 2], one)[0][back], margins(u[some][:, w // 2 :], two)[0][back]
-                    share = (m1[i, o1] ** 2 + m2[i, o2] ** 2) / (2 - 2 * threshold + 1e-9)
+                    share = (m1[i, o1].astype(float) ** 2 + m2[i, o2].astype(float) ** 2) / (2 - 2 * threshold + 1e-9)
                     np.add.at(total, np.minimum((share * STEPS).astype(np.int64), STEPS - 1), times[at][j])
         steps = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(steps.astype(np.int32)), pa.array(total[steps])], ["step", "n"])
