@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The count of ``Label: N (P%)`` or ``Label: N``.
-COUNT = r"^[^:]*:\s*(\d+)\s*(?:\(\d+\.?\d*\s*%\)\s*)?$"
+#: Fixed value: the count of ``Label: N (P%)`` or ``Label: N``, among items with ``BREAK`` between them.
+BREAK = "\x1e"
+COUNT = r"(?<=^|\x1e)[^:\x1e]*:\s*(\d+)\s*(?:\(\d+\.?\d*\s*%\)\s*)?(?=\x1e|$)"
 #: Endings that name a statistic.
 STATISTICS = ("mean", "sd", "se", "median", "iqr", "range", "n", "pct", "category", "distribution", "total")
 #: Fixed value: prefixes of any comorbidity.
@@ -91,14 +92,15 @@ def item_sum(field: str, items: Column, n: Column, missing: str | None = None) -
     over, and then has the missing item as its fix. Items without a count do not
     take part; a list without any is not checked.
     """
-    counts = F.transform(items, lambda x: F.coalesce(F.regexp_extract(x, COUNT, 1).try_cast("long"), F.lit(0).cast("long")))
+    # One pattern over all items of a list.
+    counts = F.regexp_extract_all(F.array_join(items, BREAK), F.lit(COUNT), F.lit(1))
 
     def judge(total: Column) -> Column:
         low = finding("WARNING", "array_sum_count_low", _say(f"{field}: ", total, " of ", n), field, _say(f"{missing}: ", (n - total).cast("long")) if missing else None)
         high = finding("WARNING", "array_sum_count_high", _say(f"{field}: ", total, " of only ", n))
         return F.when(total > 0, only((F.lit(missing is not None) & (total < n), low), (total > n, high)))
 
-    return F.when(n > 0, _once(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x), judge))
+    return F.when(n > 0, _once(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x.try_cast("long"), F.lit(0))), judge))
 
 
 def _lookup(words: list[str]) -> Column:

@@ -8,28 +8,7 @@ from pyspark.sql import functions as F
 from studygrid.functions import values as v
 from studygrid.functions.texts import composed
 from studygrid.operators import agreement, compare
-
-
-def agreement_report(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list[str], thresholds: dict[str, float]) -> DataFrame:
-    """``(field, bucket, n, metric, value, flagged)`` of two long text runs, each field by the metric of its bucket.
-
-    One join pairs all fields; the buckets then are grouped aggregations over the
-    pairs. Buckets: categorical, boolean, numerical, free_text; others are left out.
-    """
-    pairs = compare.pair_up(a, b, keys).join(mapping.select("field_name", "bucket"), "field_name")
-    typed = lambda bucket, fn: pairs.where(F.col("bucket") == bucket).select(F.col("field_name").alias("field"), fn(F.col("a")).alias("a"), fn(F.col("b")).alias("b"))
-    parts = []
-    for bucket, fn in (("categorical", v.basic_string), ("boolean", lambda c: v.boolean(c).cast("string"))):
-        parts.append((bucket, "ac1", agreement.categorical(typed(bucket, fn)).select("field", "n", F.col("ac1").alias("value"))))
-    parts.append(("numerical", "icc", agreement.numerical(typed("numerical", v.numeric)).select("field", "n", F.col("icc").alias("value"))))
-    text = typed("free_text", v.free_text).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    parts.append(("free_text", "token_f1", text.groupBy("field").agg(F.count("*").alias("n"), F.avg(agreement.token_f1(F.col("a"), F.col("b"))).alias("value"))))
-    out = None
-    for bucket, metric, rows in parts:
-        rows = rows.select("field", F.lit(bucket).alias("bucket"), "n", F.lit(metric).alias("metric"), "value")
-        rows = rows.withColumn("flagged", F.col("value").isNull() | (F.col("value") < thresholds[bucket])) if bucket in thresholds else rows.withColumn("flagged", F.lit(False))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+from studygrid.scratch import written
 
 
 #: Primary and secondary metric of each bucket.
@@ -62,18 +41,26 @@ def _typed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("bucket", F.when(known, F.col("bucket")).otherwise(F.raise_error(F.concat(F.lit("Unknown bucket: "), F.coalesce("bucket", F.lit("null")))))).select("*", *(x.alias(k) for c in ("a", "b") for k, x in side(c).items()))
 
 
+def _paired(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list[str], name: str = "field") -> DataFrame:
+    """Typed pairs of the mapping's fields; the mapping is broadcast if it is counted to be small."""
+    fields = mapping.select("field_name", "bucket")
+    fields = F.broadcast(fields) if fields.count() <= 10_000 else fields
+    return _typed(compare.pair_up(a, b, keys).join(fields, "field_name")).withColumnRenamed("field_name", name)
+
+
 def agreement_results(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list[str], thresholds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
-    """``(field, bucket, n_compared, n_both_na, n_one_na, primary_name, primary_value, secondary_name, secondary_value, flagged, reason)``.
+    """``(field, bucket, n_compared, n_both_na, n_one_na, primary_name, primary_value, secondary_name, secondary_value, kappa, flagged, reason)``.
 
-    One row for each field of ``mapping(field_name, bucket)`` that both runs have.
+    ``kappa`` is Cohen's, of boolean and categorical fields. One row for each field of ``mapping(field_name, bucket)`` that both runs have.
     ``thresholds`` gives the least primary and secondary value of a bucket. A
     field without complete pairs has no values and is not flagged; an excluded
     field has neither counts; an unknown bucket raises.
     """
-    pairs = _typed(compare.pair_up(a, b, keys).join(F.broadcast(mapping.select("field_name", "bucket")), "field_name")).withColumnRenamed("field_name", "field")
+    # Paired and typed once, in a table that the metrics of all buckets read.
+    pairs = written(_paired(a, b, mapping, keys), "pairs")
     some = pairs.where(F.col("bucket") != "EXCLUDED")
     whole = ~F.col("a_na") & ~F.col("b_na")
-    # Means over rows and counts of all buckets come from one aggregation, the others from what is left of the same join.
+    # Means over rows and counts of all buckets come from one aggregation.
     equal = F.when(F.col("bucket") == "identifier", (F.col("a_text") == F.col("b_text")).cast("double"))
     shared = F.when(F.col("bucket") == "free_text", agreement.token_f1(F.col("a_text"), F.col("b_text")))
     counts = pairs.groupBy("field", "bucket").agg(
@@ -85,13 +72,13 @@ def agreement_results(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list
     texts = some.where(F.col("bucket").isin("boolean", "categorical")).select("field", F.col("a_text").alias("a"), F.col("b_text").alias("b"))
     numbers = some.where(F.col("bucket") == "numerical").select("field", F.col("a_number").alias("a"), F.col("b_number").alias("b"))
     items = some.where(F.col("bucket") == "structured_string_array").select("field", F.col("a_items").alias("a"), F.col("b_items").alias("b"))
-    found = agreement.categorical(texts).select("field", F.col("ac1").alias("p"), F.col("percent_agreement").alias("s"))
-    found = found.unionByName(agreement.numerical(numbers).select("field", F.col("icc").alias("p"), F.col("na_concordance").alias("s")))
-    found = found.unionByName(agreement.structured(items).select("field", F.col("key_jaccard").alias("p"), F.col("value_agreement").alias("s")))
+    found = agreement.categorical(texts).select("field", F.col("ac1").alias("p"), F.col("percent_agreement").alias("s"), "kappa")
+    found = found.unionByName(agreement.numerical(numbers).select("field", F.col("icc").alias("p"), F.col("na_concordance").alias("s"), F.lit(None).cast("double").alias("kappa")))
+    found = found.unionByName(agreement.structured(items).select("field", F.col("key_jaccard").alias("p"), F.col("value_agreement").alias("s"), F.lit(None).cast("double").alias("kappa")))
     names = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in (kv[0], kv[1][0])]), F.create_map(*[F.lit(x) for kv in METRICS.items() if kv[1][1] for x in (kv[0], kv[1][1])])
     out = counts.join(found, "field", "left")
     has = F.col("n_compared") > 0
-    out = out.select("field", "bucket", "n_compared", "n_both_na", "n_one_na", names[0][F.col("bucket")].alias("primary_name"), F.when(has, F.coalesce("p", "mean")).alias("primary_value"), names[1][F.col("bucket")].alias("secondary_name"), F.when(has, F.col("s")).alias("secondary_value"))
+    out = out.select("field", "bucket", "n_compared", "n_both_na", "n_one_na", names[0][F.col("bucket")].alias("primary_name"), F.when(has, F.coalesce("p", "mean")).alias("primary_value"), names[1][F.col("bucket")].alias("secondary_name"), F.when(has, F.col("s")).alias("secondary_value"), F.when(has, F.col("kappa")).alias("kappa"))
     reason = F.lit(None).cast("string")
     for bucket, (least, second) in thresholds.items():
         if least is None:
@@ -100,7 +87,7 @@ def agreement_results(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list
         first, other = METRICS[bucket]
         why = F.when(F.col("primary_value").isNull(), f"{first} undefined").when(F.col("primary_value") < least, F.format_string(f"{first}=%.3f < {least}", "primary_value"))
         if second is not None and other:
-            why = why.when(F.col("secondary_value") < second, F.format_string(f"{other}=%.3f < {second}", "secondary_value"))
+            why = why.when(F.col("secondary_value").isNull(), f"{other} undefined").when(F.col("secondary_value") < second, F.format_string(f"{other}=%.3f < {second}", "secondary_value"))
         reason = F.when(own, why).otherwise(reason)
     return out.withColumn("reason", reason).withColumn("flagged", F.col("reason").isNotNull()).withColumn("reason", F.when((F.col("n_compared") == 0) & (F.col("bucket") != "EXCLUDED"), "no comparable cases").otherwise(F.col("reason")))
 
@@ -112,7 +99,7 @@ def disagreements(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list[str
     for each key whose values do not match, the last of repeated keys counting.
     Free text and excluded fields have none.
     """
-    pairs = _typed(compare.pair_up(a, b, keys).join(F.broadcast(mapping.select("field_name", "bucket")), "field_name")).where(~F.col("a_na") & ~F.col("b_na")).withColumnRenamed("field_name", "field")
+    pairs = _paired(a, b, mapping, keys, "field_name").where(~F.col("a_na") & ~F.col("b_na")).withColumnRenamed("field_name", "field")
     none, text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
     plain = (F.col("bucket").isin("boolean", "categorical", "identifier") & (F.col("a_text") != F.col("b_text"))) | ((F.col("bucket") == "numerical") & (F.abs(F.col("a_number") - F.col("b_number")) > CLOSE))
     value = lambda c: F.coalesce(f"{c}_text", F.col(f"{c}_number").cast("string")).alias(f"value_{c}")
@@ -130,7 +117,7 @@ def disagreements(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list[str
 
 def one_sided(a: DataFrame, b: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
     """``(field, bucket, keys, missing_in)``: pairs of which one side alone is missing after normalising."""
-    pairs = _typed(compare.pair_up(a, b, keys).join(F.broadcast(mapping.select("field_name", "bucket")), "field_name")).where((F.col("bucket") != "EXCLUDED") & (F.col("a_na") != F.col("b_na")))
+    pairs = _paired(a, b, mapping, keys, "field_name").where((F.col("bucket") != "EXCLUDED") & (F.col("a_na") != F.col("b_na")))
     return pairs.select(F.col("field_name").alias("field"), "bucket", *keys, F.when(F.col("a_na"), "a").otherwise("b").alias("missing_in"))
 
 

@@ -13,7 +13,6 @@ from studygrid.functions import texts
 from studygrid.functions import values as v
 from studygrid.operators import agreement, compare, groups, ledger, regression, rules
 from studygrid.plans import reports
-from studygrid.plans.reports import agreement_report
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -452,15 +451,19 @@ UNION ALL SELECT 'id', 'identifier', n, 0, 0, 'exact_match_rate', round(keep, 6)
 UNION ALL SELECT 'note', 'EXCLUDED', 0, 0, 0, 'excluded', NULL, NULL, NULL, false""")
 def agreement_all_buckets(spark, d):
     got = reports.agreement_results(*_sides(spark, d), ["o_orderkey"], {"boolean": (0.99, None), "numerical": (0.5, 0.9), "identifier": (0.99, None)})
-    return rounded(got.drop("reason"), "primary_value", "secondary_value")
+    return rounded(got.drop("reason", "kappa"), "primary_value", "secondary_value")
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders)
-SELECT 'bool' AS field, o_orderkey FROM o WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 AND o_orderstatus <> 'F'
-UNION ALL SELECT 'num', o_orderkey FROM o WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0
-UNION ALL SELECT f, o_orderkey FROM o, (VALUES ('cat'), ('items'), ('id')) AS t(f) WHERE o_orderkey % 5 = 0""")
+@query("""WITH o AS (SELECT * FROM orders)
+SELECT 'bool' AS field, o_orderkey, 'false' AS value_a, 'true' AS value_b, NULL AS only_in_a, NULL AS only_in_b FROM o WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 AND o_orderstatus <> 'F'
+UNION ALL SELECT 'num', o_orderkey, CAST(round(o_totalprice, 2) AS VARCHAR), CAST(round(o_totalprice + 1000, 2) AS VARCHAR), NULL, NULL FROM o WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0
+UNION ALL SELECT 'cat', o_orderkey, regexp_replace(o_orderpriority, '\\s+', ' ', 'g'), 'other', NULL, NULL FROM o WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'items', o_orderkey, 's: ' || o_orderstatus || '~p: 1', 's: ' || o_orderstatus, 'p', '' FROM o WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'id', o_orderkey, CAST(o_custkey AS VARCHAR), '-', NULL, NULL FROM o WHERE o_orderkey % 5 = 0""")
 def agreement_disagreements(spark, d):
-    return reports.disagreements(*_sides(spark, d), ["o_orderkey"]).select("field", "o_orderkey")
+    found = reports.disagreements(*_sides(spark, d), ["o_orderkey"])
+    only = (F.when(F.col(c).isNotNull(), F.array_join(c, " ")).alias(c) for c in ("only_in_a", "only_in_b"))
+    return found.select("field", "o_orderkey", "value_a", "value_b", *only)
 
 
 @query("SELECT f AS field, o_orderkey, 'b' AS missing_in FROM orders, (VALUES ('bool'), ('num')) AS t(f) WHERE o_orderkey % 7 = 0")
@@ -468,8 +471,13 @@ def agreement_one_sided(spark, d):
     return reports.one_sided(*_sides(spark, d), ["o_orderkey"]).select("field", "o_orderkey", "missing_in")
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT 'l_linestatus' AS field, 'categorical' AS bucket, count(*) AS n, 'ac1' AS metric, 1.0 AS value, false AS flagged FROM r WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 2) AND l_orderkey % 13 <> 0
-UNION ALL SELECT 'l_returnflag', 'free_text', count(*), 'token_f1', round(avg(CAST(l_quantity <= 30 AS INT)), 6), false FROM r WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 2) AND l_orderkey % 13 <> 0""")
+@query(f"""WITH {RECORDS_SQL}, k AS (SELECT * FROM r WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 2) AND l_orderkey % 13 <> 0),
+p AS (SELECT l_returnflag AS a, CASE WHEN l_quantity > 30 THEN 'X' ELSE l_returnflag END AS b FROM k), n AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS po FROM p),
+c AS (SELECT cat, sum(x) AS na, sum(y) AS nb FROM (SELECT a AS cat, 1 AS x, 0 AS y FROM p UNION ALL SELECT b, 0, 1 FROM p) GROUP BY 1),
+e AS (SELECT sum((na + nb) / (2.0 * n) * (1 - (na + nb) / (2.0 * n))) / (count(*) - 1) AS pe, sum(CAST(na AS DOUBLE) * nb) / (max(n) * max(n)) AS pk FROM c, n)
+SELECT 'l_linestatus' AS field, 'free_text' AS bucket, count(*) AS n_compared, 'token_f1' AS primary_name, 1.0 AS primary_value, NULL AS kappa, false AS flagged, NULL AS reason FROM k
+UNION ALL SELECT 'l_returnflag', 'categorical', n, 'gwet_ac1', round((po - pe) / (1 - pe), 6), round((po - pk) / (1 - pk), 6), true, printf('gwet_ac1=%.3f < 0.8', (po - pe) / (1 - pe)) FROM n, e""")
 def agreement_of_runs(spark, d):
-    mapping = spark.createDataFrame([("l_linestatus", "categorical"), ("l_returnflag", "free_text")], "field_name string, bucket string")
-    return rounded(agreement_report(*_runs(spark, d), mapping, ["l_orderkey", "l_linenumber"], {"categorical": 0.8}), "value")
+    mapping = spark.createDataFrame([("l_linestatus", "free_text"), ("l_returnflag", "categorical")], "field_name string, bucket string")
+    got = reports.agreement_results(*_runs(spark, d), mapping, ["l_orderkey", "l_linenumber"], {"categorical": (0.8, None)})
+    return rounded(got.select("field", "bucket", "n_compared", "primary_name", "primary_value", "kappa", "flagged", "reason"), "primary_value", "kappa")

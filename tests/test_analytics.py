@@ -8,7 +8,6 @@ from studygrid.functions import values as v
 from studygrid.functions.tdist import t_quantile, t_two_sided
 from studygrid.operators import agreement, compare, groups, ledger, regression, rules
 from studygrid.plans import reports
-from studygrid.plans.reports import agreement_report
 from studygrid.sources import runs
 from studygrid.streaming.findings import follow, read_ledger
 
@@ -176,8 +175,13 @@ def test_sources(spark, tmp_path):
 def test_agreement_report(spark):
     run = spark.createDataFrame([("1", "t", "n", "5,0"), ("2", "t", "n", "7"), ("1", "t", "c", "x"), ("2", "t", "c", "y")], "cov_nr string, arm string, field_name string, value string")
     mapping = spark.createDataFrame([("n", "numerical"), ("c", "categorical")], "field_name string, bucket string")
-    got = {r["field"]: r for r in agreement_report(run, run, mapping, ["cov_nr", "arm"], {"numerical": 0.9}).collect()}
-    assert got["n"]["value"] == pytest.approx(1.0) and got["c"]["value"] == 1.0 and not got["n"]["flagged"]
+    got = {r["field"]: r for r in reports.agreement_results(run, run, mapping, ["cov_nr", "arm"], {"numerical": (0.9, 0.9)}).collect()}
+    assert got["n"]["primary_value"] == pytest.approx(1.0) and got["c"]["primary_value"] == got["c"]["kappa"] == 1.0
+    assert got["n"]["kappa"] is None and got["n"]["reason"] is None and not got["n"]["flagged"]
+    # Without a key in common there is no agreement of values.
+    items = lambda x: spark.createDataFrame([("1", "t", "s", x)], "cov_nr string, arm string, field_name string, value string")
+    one = reports.agreement_results(items("x: 1"), items("y: 1"), spark.createDataFrame([("s", "structured_string_array")], "field_name string, bucket string"), ["cov_nr", "arm"], {"structured_string_array": (0.0, 0.9)}).first()
+    assert one["reason"] == "value_agreement_on_matched_keys undefined" and one["flagged"]
 
 
 def test_stream_of_findings(spark, tmp_path):

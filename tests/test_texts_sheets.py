@@ -90,3 +90,19 @@ def test_wide_tables(spark, tmp_path):
         sheets.read_arms(spark, str(tmp_path / "arms.csv"), ["arm"], trials=1)
     (tmp_path / "rev.csv").write_text("﻿paper_id,resolution_note\n1,x\n")
     assert sheets.read_reviewed(spark, str(tmp_path / "rev.csv")).columns == ["paper_id", "resolution_note"]
+
+
+def test_records_of_broken_answers(spark):
+    """No crash, nothing out of a broken object, and time in proportion to the text."""
+    import time
+
+    from studygrid.functions import texts
+
+    cases = {
+        "[" * 100_000: [], '{"a":' * 5000: [], 'note {bad: {"x": 1}} end': [], 'x {bad} {"y": 2} z': ['{"y": 2}'], '{"a": "}{"} and {"b": [1]}': ['{"a": "}{"}', '{"b": [1]}'],
+        '{"never": 1 {"c": 3}': [], "} {}": ["{}"], "{" + '"k": [' * 50_000 + "} tail {\"q\": 1}": ['{"q": 1}'], '```json\n[{"a": 1}, {"b": 2}]\n```': ['{"a": 1}', '{"b": 2}'], "prose": [], "": [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    began = time.time()
+    assert {r["t"]: r["r"] for r in df.select("t", texts.records(F.col("t")).alias("r")).collect()} == cases
+    assert time.time() - began < 30
