@@ -3,9 +3,10 @@
 Each document gets the key -ln(u) / w: u is a hash of seed and id in (0, 1), w
 its quality weight. A source's target is first met by complete epochs; the rest
 takes documents in ascending key order until their prefix sum reaches it. The
-prefix sum is distributed: a source's keys are cut into ``BUCKETS`` ranges, sums
-of ranges are added up first and each range is then summed on its own, so a
-source that holds most rows is spread over many tasks.
+prefix sum is distributed: keys are cut into ranges of their logarithm, sums of
+ranges are added up first and each range is then summed on its own, so a source
+that holds most rows is spread over many tasks. Of an exponential key, at any
+weight, a range of 1 / c of the logarithm holds at most 0.37 / c of the rows.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Numbered, materialize
 
-#: Key ranges of a source; its prefix sums have at most so many rows in one task.
-BUCKETS = 1024
+#: Rows that a range of keys is to have at most, and ranges for each power of e at least and at most.
+ROWS, FEWEST, MOST = 50_000, 64, 65_536
 
 
 def n_words(text):
@@ -66,12 +67,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     return sized.select(*docs.columns, F.struct(key.alias("key"), F.col(id_col).alias("doc_id"), F.col("__size").alias("size")).alias("__mix"), F.col(source_col).alias("__source"))
 
 
+def bucket(key, rows: int):
+    """The range of a key, ascending with it, in a table of so many rows."""
+    each = min(MOST, max(FEWEST, -(-37 * rows // (100 * ROWS))))
+    return F.floor(F.log(key) * each).cast("int")
+
+
 def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, most: float, seed: int) -> DataFrame:
     """``(doc_id, source, size, key, source_size, target, epochs, picked)`` of every row."""
     own = Numbered(docs)
     rows = _keyed(own.df, own.of(id_col), own.of(text_col), own.of(source_col), seed).select("__mix.*", F.col("__source").alias("source"))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    rows = materialize(rows.withColumn("bucket", bucket), "mix")
+    rows = materialize(rows, "mix")
+    rows = rows.withColumn("bucket", bucket(F.col("key"), rows.count()))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     totals = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -152,6 +152,23 @@ def test_near_copies_in_dense_shingles_against_brute_force(spark):
         assert sorted(str(r["doc_id"]) for r in got.collect()) == want
 
 
+def test_copies_of_a_text_meet_once(spark):
+    """3,000 copies of one text and 500 of another give a row a shingle, not one a copy."""
+    one, other = words(80, random.Random(1)), words(80, random.Random(2))
+    rows = [(i, one) for i in range(3000)] + [(5000 + i, other) for i in range(500)] + [(9000, one.replace(one.split()[40], "changed", 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    seen, meet = [], shingles._meet
+
+    def counted(filed, crowd):
+        seen.append(filed.groupBy("hash").count().agg(F.max("count")).first()[0])
+        return meet(filed, crowd)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shingles, "_meet", counted)
+        groups = {r["group"]: r["n"] for r in shingles.near_copies(df).groupBy("group").agg(F.count("*").alias("n")).collect()}
+    assert sorted(groups.values()) == [500, 3001] and seen == [2]
+
+
 def test_near_copies_against_brute_force(spark, docs, rows, empty):
     for width_rows, df in ((rows, docs), (near_texts(), spark.createDataFrame(near_texts(), "doc_id long, text string"))):
         for crowd, block in ((32, 512), (2, 512), (2, 3)):
@@ -279,6 +296,17 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("long", [0.0, 1.0, 0.3])
+def test_mixing_deals_keys_of_any_weight(spark, long):
+    """Low quality, high quality or both: no range of keys holds more than one in a hundred rows."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 < 100 * long, "w" * 30 + " " + "x" * 30).otherwise("some plain words").alias("text"), F.lit("one").alias("source"))
+    rows = mixing._keyed(df, "doc_id", "text", "source", 42).select("__mix.key")
+    most = rows.groupBy(mixing.bucket(F.col("key"), 20_000).alias("b")).count().agg(F.max("count")).first()[0]
+    assert most <= 200
+    ranges = rows.groupBy(mixing.bucket(F.col("key"), 20_000).alias("b")).agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("b").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(ranges, ranges[1:]))
+
+
 def brute_ppm(train, text, order=5):
     counts = collections.defaultdict(collections.Counter)
     full = lambda t: [255] * order + list(t) + [254]
