@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,37 @@ def boolean_per_group(df: DataFrame, flag: str, group: str, method: str = "any_t
     return df.groupBy(group).agg(found[method](flag).alias(flag))
 
 
+#: What a field must be to count as reported; of all others it must be known.
+REPORTED = {"health_literacy": 2, "digital_literacy": True}
+
+
+def is_reported(field: str, values: dict = REPORTED) -> Column:
+    """True where the field says something: it has its value of ``values``, or is known if there is none for it."""
+    x = F.col(f"`{field}`")
+    if field not in values:
+        return x.isNotNull()
+    return F.coalesce(x == values[field], F.lit(False))
+
+
+def reporting_reach(df: DataFrame, group: str, weight: str, fields: dict[str, list[str]], weights: DataFrame) -> DataFrame:
+    """``(domain, groups, members, groups_pct, members_pct)``: groups of ``weights(group, weight)`` with a member that reports any field of the domain, and their weight.
+
+    Members of groups that ``weights`` lacks do not count. All domains come from
+    one aggregation by group.
+    """
+    any_ = lambda cols: F.bool_or(F.greatest(*map(is_reported, cols)) if len(cols) > 1 else is_reported(cols[0]))
+    per = df.groupBy(F.col(group).alias("_g")).agg(*[any_(cols).alias(f"_d{i}") for i, cols in enumerate(fields.values())])
+    rows = weights.select(F.col(group), F.col(weight).alias("_w")).join(per, F.col(group) == F.col("_g"), "left")
+    hit = lambda i: F.coalesce(F.col(f"_d{i}"), F.lit(False))
+    one = rows.agg(F.count("*").alias("_n"), F.sum("_w").alias("_t"), *[f for i in range(len(fields)) for f in (F.count_if(hit(i)).alias(f"_n{i}"), F.coalesce(F.sum(F.when(hit(i), F.col("_w"))), F.lit(0)).alias(f"_w{i}"))])
+    items = F.array(*[F.struct(F.lit(name).alias("domain"), F.col(f"_n{i}").alias("groups"), F.col(f"_w{i}").cast("double").alias("members")) for i, name in enumerate(fields)])
+    out = one.select("_n", "_t", F.inline(items))
+    return out.select("domain", "groups", "members", F.try_divide(100.0 * F.col("groups"), F.col("_n")).alias("groups_pct"), F.try_divide(100.0 * F.col("members"), F.col("_t").cast("double")).alias("members_pct"))
+
+
 def reporting_class(df: DataFrame, field: str, group: str, unclear: DataFrame) -> DataFrame:
     """``(group, status)``: reported if any member has the field; groups listed in ``unclear`` are ambiguous whatever they have."""
-    found = df.groupBy(group).agg(F.max(F.col(field).isNotNull()).alias("any"))
+    found = df.groupBy(group).agg(F.max(is_reported(field)).alias("any"))
     marked = unclear.select(F.col(group)).distinct().withColumn("unclear", F.lit(True))
     status = F.when(F.col("unclear"), "ambiguous").when(F.col("any"), "reported").otherwise("not_reported")
     return found.join(marked, group, "left").select(group, status.alias("status"))
@@ -141,6 +171,11 @@ def key_audit(df: DataFrame, pairs: str, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.array_join(keys, "; ").alias("keys"), F.size(keys).alias("n_keys")).join(known, group)
 
 
+def key_audit_by_side(df: DataFrame, group: str, sides: dict[str, str]) -> DataFrame:
+    """``(group, side, keys, n_keys, n_known)``: ``key_audit`` of several columns of (key, value) arrays, by the side each is named for."""
+    return reduce(DataFrame.unionByName, [key_audit(df, column, group).withColumn("side", F.lit(side)) for side, column in sides.items()]).select(group, "side", "keys", "n_keys", "n_known")
+
+
 def first_seen(df: DataFrame, key: str, position: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(position).alias("first")).orderBy("first")
 

@@ -188,3 +188,10 @@ def weighted_and_simple(df: DataFrame, values: list[str], weight: str) -> DataFr
     rows = df.select(F.col(weight).cast("double").alias("w"), *[F.col(c).cast("double").alias(c) for c in values]).unpivot(["w"], values, "field", "x")
     g = _known(rows, "x", "w").groupBy("field").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("weighted"), F.avg("x").alias("simple"))
     return g.withColumn("difference", F.abs(F.col("weighted") - F.col("simple")))
+
+
+def cohort_bands(cohorts: DataFrame, z: float = 1.96) -> DataFrame:
+    """``cohorts(cohort, variable, mean, sd, n)`` with ``se`` and the ends of mean -+ ``z`` errors and deviations; null where n or sd is not known, or n is 0."""
+    mean, sd = F.col("mean"), F.col("sd")
+    se = F.try_divide(sd, F.sqrt(F.nullif(F.col("n"), F.lit(0))))
+    return cohorts.withColumn("se", se).withColumns({"se_low": mean - z * F.col("se"), "se_high": mean + z * F.col("se"), "sd_low": mean - z * sd, "sd_high": mean + z * sd})

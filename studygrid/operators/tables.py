@@ -103,6 +103,25 @@ def costs(calls: DataFrame, prices: DataFrame, by: list[str], key: str = "model"
     return priced.groupBy(*by).agg(F.sum("calls").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"))
 
 
+def run_totals(calls: DataFrame, prices: DataFrame, key: str = "model") -> DataFrame:
+    """One row ``(calls, done, skipped, errors, elapsed_s, tokens_in, tokens_out, cost)`` of ``calls(key, skipped, ok, elapsed_s, tokens_in, tokens_out, cache_read, cache_write)``.
+
+    Skipped calls count as skipped alone. Errors are those that are not skipped
+    and not ok, null included; they cost what they took. Prices are for a million
+    tokens of each kind, null is none; a model without prices costs nothing, and
+    one that repeats in ``prices`` is an error.
+    """
+    kinds = ("tokens_in", "tokens_out", "cache_read", "cache_write")
+    skipped = F.coalesce(F.col("skipped"), F.lit(False))
+    made = lambda c: F.coalesce(F.sum(F.when(~skipped, F.col(c))), F.lit(0)).alias(c)
+    sums = calls.groupBy(key).agg(F.count("*").alias("calls"), F.count_if(~skipped).alias("done"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & ~F.coalesce(F.col("ok"), F.lit(False))).alias("errors"), made("elapsed_s"), *map(made, kinds))
+    known = prices.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), *[F.max(f"price_{c.removeprefix('tokens_')}").alias(f"_{c}") for c in kinds])
+    cost = sum((F.col(c) * F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in kinds[1:]), F.col(kinds[0]) * F.coalesce(F.col(f"_{kinds[0]}"), F.lit(0))) / 1e6
+    one = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("prices repeat for "), "_k"))).otherwise(cost)
+    priced = sums.join(known, F.col(key) == F.col("_k"), "left").withColumn("cost", one)
+    return priced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "done", "skipped", "errors", "elapsed_s", "tokens_in", "tokens_out", "cost")])
+
+
 def run_health(papers: DataFrame, outputs: DataFrame, findings: DataFrame, least: int = 5) -> DataFrame:
     """One row ``(papers, single_arm, invalid, unprocessed, catastrophic)``; outputs ``(paper_id, n_arms)``, null arms being not readable."""
     done = outputs.agg(F.count_if(F.col("n_arms") == 1).alias("single_arm"), F.count_if(F.col("n_arms").isNull()).alias("invalid"))

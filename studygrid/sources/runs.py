@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,19 @@ def read_cohort(spark: SparkSession, path: str, name: str) -> DataFrame:
     return table.where(F.trim("variable") != "").select(F.lit(name).alias("cohort"), "variable", F.col("n").try_cast("int").alias("n"), number("mean"), number("sd"), "note")
 
 
+def read_cohorts(spark: SparkSession, folder: str, files: dict[str, str]) -> DataFrame:
+    """``read_cohort`` of each file of ``files`` (cohort to name) that is in ``folder``; those that are missing are skipped."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    there = lambda p: hadoop.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(p))
+    found = [read_cohort(spark, f"{folder}/{file}", name) for name, file in files.items() if there(f"{folder}/{file}")]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "cohort string, variable string, n int, mean double, sd double, note string")
+
+
+def schema_hash(df: DataFrame) -> str:
+    """Eight digits that change with the column names, whatever their order: SHA-256 of their sorted JSON list."""
+    return hashlib.sha256(json.dumps(sorted(df.columns)).encode()).hexdigest()[:8]
+
+
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """``(cov_nr, publication_year, country)`` from a ``;`` CSV: byte-order mark, tabs, # and outer blanks are dropped."""
     table = spark.read.csv(path, header=True, sep=";")
@@ -58,12 +75,15 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.ltrim(found["cov_nr"], F.lit("#")).try_cast("int").alias("cov_nr"), found["publication_year"].try_cast("int").alias("publication_year"), found["country"].alias("country"))
 
 
-def read_papers(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, disease, cov_nr, text)`` of the ``*.md`` files of one folder, not of those below it."""
+def read_papers(spark: SparkSession, folder: str, diseases: tuple[str, ...] | None = None) -> DataFrame:
+    """``(path, disease, cov_nr, text)`` of the ``*.md`` files of one folder, not of those below it; with ``diseases``, a folder of another name is an error."""
     table = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
-    return table.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("disease"), F.substring(F.regexp_replace(F.url_decode(stem), "^#", ""), 1, 4).alias("cov_nr"), F.col("value").alias("text"))
+    disease = F.element_at(F.split(path, "/"), -2)
+    if diseases is not None:
+        disease = F.when(disease.isin(*diseases), disease).otherwise(F.raise_error(F.concat(F.lit("unknown disease: "), disease)))
+    return table.select(path.alias("path"), disease.alias("disease"), F.substring(F.regexp_replace(F.url_decode(stem), "^#", ""), 1, 4).alias("cov_nr"), F.col("value").alias("text"))
 
 
 def wide_records(run: DataFrame, fields: list[str] | None = None, place: str | None = None) -> DataFrame:

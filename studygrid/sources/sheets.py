@@ -95,6 +95,39 @@ def read_results(spark: SparkSession, *folders: str) -> DataFrame:
     return table.select(stem.alias("paper_id"), folder.alias("folder"), version.alias("version"), "value", arms.alias("n_arms"), prompt.alias("prompt_version"))
 
 
+def _of_folder(results: DataFrame, diseases: tuple[str, ...]) -> DataFrame:
+    """Results with ``_d`` and ``_v``, the disease and the label that their folder is named by; others go."""
+    name = F.regexp_extract(F.col("folder"), "([^/]+)/?$", 1)
+    label = F.regexp_extract(name, r"_(v\d+.*)$", 1)
+    return results.withColumn("_v", label).withColumn("_d", F.regexp_replace(name, r"_v\d+.*$", "")).where(F.col("_d").isin(*diseases))
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    """The folder of the greatest version of each disease; of equal versions the one of the least label."""
+    order = F.struct("version", (-F.length("_v")).alias("shorter"), "folder")
+    found = rows.where("_v <> ''").groupBy(F.col("_d").alias("_bd")).agg(F.max_by("folder", order).alias("_best"))
+    return F.broadcast(found)  # A row for each of ``diseases``.
+
+
+def discovered(results: DataFrame, disease: str | None = None, paper: str | None = None, output_version: str | None = None, diseases: tuple[str, ...] = ("copd", "cvd", "dm")) -> DataFrame:
+    """The results to validate: those of a disease's own folder and of its folder of the greatest version, or of the one labelled ``output_version``."""
+    rows = _of_folder(results, (disease.lower(),) if disease else diseases)
+    if output_version is not None:
+        rows = rows.where(F.col("_v") == output_version)
+    else:
+        rows = rows.join(_best(rows), F.col("_d") == F.col("_bd"), "left").where((F.col("_v") == "") | (F.col("folder") == F.col("_best"))).drop("_bd", "_best")
+    rows = rows.where(F.col("paper_id") == paper.strip()) if paper is not None else rows
+    return rows.drop("_d", "_v")
+
+
+def disease_map(results: DataFrame, diseases: tuple[str, ...] = ("copd", "cvd", "dm")) -> DataFrame:
+    """``(paper_id, disease)`` of numbered papers in the newest folder of each disease; of several the last of ``diseases`` holds."""
+    rows = _of_folder(results, diseases).where(F.col("paper_id").rlike("^[0-9]+$"))
+    rows = rows.join(_best(_of_folder(results, diseases)), (F.col("_d") == F.col("_bd")) & (F.col("folder") == F.col("_best")))
+    at = F.array_position(F.array(*map(F.lit, diseases)), F.col("_d"))
+    return rows.groupBy("paper_id").agg(F.max_by("_d", at).alias("disease"))
+
+
 def newest(results: DataFrame, by: str = "paper_id") -> DataFrame:
     """The row of the greatest version of each paper; versions are compared as numbers, ties by folder."""
     best = F.max_by(F.struct(*[c for c in results.columns if c != by]), F.struct("version", "folder"))
