@@ -2,8 +2,8 @@
 
 ``spark.checkpoint.dir`` names a folder that driver and executors share. Stages
 that are read twice are written there as Parquet, which cuts their lineage and
-survives a lost executor. Where it is unset the session's warehouse folder,
-which Spark shares as well, takes its place.
+survives a lost executor. Where it is unset the session's warehouse folder takes
+its place, which on a cluster must not be a folder of one machine.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/studygrid-scratch"
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return base.rstrip("/")
 
 

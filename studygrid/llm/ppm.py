@@ -278,15 +278,37 @@ def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.mapInArrow(work, "token binary, node long, n long").groupBy("token", "node").agg(F.sum("n").alias("n"))
 
 
-def _least_count(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` rows reach; the histogram that comes back has 10,000 rows at most."""
-    steps = counts.select(F.least("n", F.lit(10_000)).alias("n")).groupBy("n").count().collect()
-    left = sum(r["count"] for r in steps)
-    for r in sorted(steps, key=lambda r: r["n"]):
-        if left <= most:
-            return r["n"]
-        left -= r["count"]
-    return 10_001
+def _least_count(counts: DataFrame, most: int, steps: int = 1024) -> int:
+    """The least count that at most ``most`` rows reach, whatever the counts are.
+
+    A histogram of powers of two tells between which two it lies, further ones
+    of ``steps`` equal steps narrow that down; none has more rows than steps.
+    """
+    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    above, low, high = 0, 1, None
+    for r in sorted(counts.groupBy(power.alias("k")).count().collect(), key=lambda r: -r["k"]):
+        if above + r["count"] > most:
+            # Doubles may round a count next to a power of two up to it: the bounds leave room for that.
+            low, high = 1 << max(0, r["k"] - 1), 1 << (r["k"] + 1)
+            break
+        above += r["count"]
+    if high is None:
+        return 1
+    above = counts.where(F.col("n") >= high).count()
+    while high - low > 0:
+        width = -(-(high - low) // steps)
+        at = F.expr(f"(n - {low}L) div {width}L")
+        found = counts.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(at.alias("k")).count().collect()
+        for r in sorted(found, key=lambda r: -r["k"]):
+            if above + r["count"] > most:
+                if width == 1:
+                    return low + r["k"] + 1
+                low, high = low + r["k"] * width, min(high, low + (r["k"] + 1) * width)
+                break
+            above += r["count"]
+        else:
+            return low
+    return high
 
 
 def _masked(key, level, order: int):
