@@ -5,9 +5,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from studygrid.llm import common, ppm
+from studygrid.llm import common, mtree, ppm
 from studygrid.llm.queries import QUERIES, TOKENIZERS
 
 
@@ -100,3 +101,26 @@ def test_a_folder_of_one_machine_is_refused_on_a_cluster():
         common.shared_dir(Session)
     Session.sparkContext.master = "local[4]"
     assert common.shared_dir(Session) == "file:/here/spark-warehouse/studygrid-scratch"
+
+
+@pytest.mark.parametrize("kind", ["clustered", "unstructured"])
+def test_mtree_visits_the_pivots_that_matter(spark, kind):
+    rng = np.random.default_rng(8)
+    if kind == "clustered":
+        x = (rng.normal(size=(30, 1, 8)) + 0.02 * rng.normal(size=(30, 40, 8))).reshape(-1, 8)
+    else:
+        x = rng.normal(size=(1200, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report: dict = {}
+    got = sorted(map(tuple, mtree.top_k(df, F.col("vec_id") % 60 == 0, k=5, block=20, queries=7, report=report).collect()))
+    q = np.floor(64 * x).astype(int)
+    want = []
+    for i in range(0, 1200, 60):
+        s = q @ q[i]
+        want += [(i, n + 1, j, int(s[j])) for n, j in enumerate(sorted((j for j in range(1200) if j != i), key=lambda j: (-s[j], j))[:5])]
+    assert got == want
+    share = report["visits"] / report["possible"]
+    print(kind, report, share)
+    assert report["possible"] == 20 * 60 or kind == "clustered"
+    assert share < (0.4 if kind == "clustered" else 1.01)
