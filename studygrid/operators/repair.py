@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studygrid.operators import review
 from studygrid.operators.ledger import KEY, resolve
 
 #: Fixed value: names of arms without the intervention.
@@ -22,15 +23,8 @@ RENAMES = {
 INVENTED = {"ses_employment": "ses_job_status", "ses_marital_status": "ses_relationship_status"}
 #: Fields that go.
 REMOVES = ("gender_intermediate_n", "gender_intermediate_pct")
-#: Notes of reviewers and what they decide; null leaves the finding open.
-NOTE_RULES = (
-    (r"Correct autofix", "accepted"),
-    (r"(?i)rerun", "rejected"),
-    (r"(?i)manual check", "accepted"),
-    (r"(?i)fix to|proposed fix", "fixed"),
-    (r"(?i)ignore|expected", "accepted"),
-    (r"^$", "accepted"),
-)
+#: Notes of reviewers and what they decide; no rule leaves the finding open.
+NOTE_RULES = tuple((pattern, status) for pattern, status, *_ in review.NOTE_RULES)
 
 LIST = "array<string>"
 
