@@ -228,6 +228,29 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) == len(got) == 40
 
 
+def test_language_model_learns_from_every_row(spark):
+    rng = random.Random(6)
+    letters = {"x": ["ab", "ca", "da", "eo"], "y": ["eo", "fu", "gu", "ab"]}
+    rows = [(i, " ".join("".join(rng.choice(letters[k]) for _ in range(3)) for _ in range(4)), k) for i in range(1500) for k in [rng.choice("xxy")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.train(df, "doc_id", "text", "lang", landmarks=12)
+    frame = df.select("lang", F.xxhash64(F.lit(42), "doc_id").alias("draw"), "text")
+    labels = [k for *_, k in rows]
+    basis = langid.Basis(langid._landmarks(frame, [(k, labels.count(k)) for k in "xy"], 12))
+    features, goal = basis.features([t for _, t, _ in rows]), np.array([1.0 if k == "x" else -1.0 for k in labels])
+    share = (goal > 0).mean()
+    weight = np.where(goal > 0, 0.5 / share, 0.5 / (1 - share))
+    by_hand = np.linalg.solve((features * weight[:, None]).T @ features + langid.RIDGE * len(rows) * np.eye(12), (features * weight[:, None]).T @ goal)
+    assert model.languages == ["x", "y"]
+    assert np.allclose(model.score([t for _, t, _ in rows])[:, 0], features @ by_hand, atol=1e-4)
+
+
+def test_language_model_learns_from_long_texts(spark):
+    rows = [(i, ("abca " if i % 2 else "foo gu ") * 5000, "x" if i % 2 else "y") for i in range(6)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_mtree_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 8)) / 3
