@@ -65,14 +65,18 @@ def records(files: DataFrame, paper: str = "paper_id", disease: str = "disease",
     """``(paper_id, disease, prompt_version, position, kind, record)`` of each item of a file's list; invalid JSON is left out.
 
     A file that is no list gives one row without a position. ``kind`` is that of
-    the file or item; ``record`` maps names to typed values, null if it is no object.
+    the file or item, of an item that is an object just OBJECT; ``record`` maps
+    names to typed values, null if it is no object. Schemas of whole files and
+    objects cost more than parsing them, so they are worked out for other kinds alone.
     """
     doc = files.select(F.col(paper).cast("string").alias("paper_id"), F.col(disease).alias("disease"), F.try_parse_json(F.col(text)).alias("doc")).where(F.col("doc").isNotNull())
     version = F.coalesce(F.try_variant_get("doc", "$[0]._metadata.prompt_version", "string"), F.lit(""))
-    listed = doc.select("paper_id", "disease", version.alias("prompt_version"), F.schema_of_variant("doc").alias("kind"), F.posexplode_outer(F.try_variant_get("doc", "$", "array<variant>")).alias("position", "item"))
-    item_kind = F.when(F.col("item").isNotNull(), F.schema_of_variant("item")).otherwise(F.when(F.col("position").isNull(), F.col("kind")).otherwise("VOID"))
-    rows = listed.select("paper_id", "disease", "prompt_version", "position", item_kind.alias("kind"), "item")
-    return rows.where(F.col("position").isNotNull() | ~F.col("kind").startswith("ARRAY")).select("paper_id", "disease", "prompt_version", "position", "kind", F.when(F.col("kind").startswith("OBJECT"), F.try_variant_get("item", "$", "map<string,variant>")).alias("record"))
+    doc = doc.withColumns({"prompt_version": version, "items": F.try_variant_get("doc", "$", "array<variant>")})
+    kind = F.when(F.col("items").isNull(), F.schema_of_variant("doc"))
+    listed = doc.select("paper_id", "disease", "prompt_version", kind.alias("kind"), F.posexplode_outer("items").alias("position", "item"))
+    rows = listed.where(F.col("position").isNotNull() | ~F.col("kind").startswith("ARRAY")).withColumn("record", F.try_variant_get("item", "$", "map<string,variant>"))
+    item_kind = F.when(F.col("record").isNotNull(), "OBJECT").when(F.col("item").isNotNull(), F.schema_of_variant("item")).otherwise(F.when(F.col("position").isNull(), F.col("kind")).otherwise("VOID"))
+    return rows.select("paper_id", "disease", "prompt_version", "position", item_kind.alias("kind"), "record")
 
 
 def text_of(record: Column, field: str | Column) -> Column:
@@ -81,7 +85,7 @@ def text_of(record: Column, field: str | Column) -> Column:
 
 def _number(value: Column, kind: Column) -> Column:
     """The number of a value that is one; null for texts and booleans."""
-    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), F.try_variant_get(value, "$", "double"))
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
 
 
 def _kind(value: Column) -> Column:
@@ -114,7 +118,6 @@ def _judged() -> Column:
     whole = F.when(F.col("field").isin(*DAYS), nearest_multiple(number)).otherwise(F.bround(number)).cast("long")
     f = checks.finding
     by_kind = {
-        "required": checks.only((~F.col("present"), f("ERROR", "schema_missing_field", say("is missing")))),
         "boolean": checks.only((known & (kind != "BOOLEAN"), f("WARNING", "type_boolean", say("no boolean but ", text)))),
         "enum": checks.only((known & ~F.coalesce(allowed, F.lit(False)), f("ERROR", "type_enum", say("not allowed: ", text)))),
         "text_enum": checks.only((known & ~((kind == "STRING") & F.array_contains("allowed", text)), f("ERROR", "type_enum", say("not allowed: ", text)))),
@@ -136,24 +139,31 @@ def _judged() -> Column:
 
 
 def rule_findings(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings of all rules of each record's disease: one join on the disease, one projection, one explode."""
-    side = few(rules.withColumnsRenamed({"disease": "_d", "kind": "rule"}))
+    """Findings of all rules on values of each record's disease: one join on the disease, one projection, one explode."""
+    side = few(rules.where("kind <> 'required'").withColumnsRenamed({"disease": "_d", "kind": "rule"}))
     objects = found.where(F.col("record").isNotNull())
     beside = objects.join(side, F.col("disease") == F.col("_d"))
     of = lambda field: F.try_element_at("record", field)
-    values = beside.select("paper_id", text_of(F.col("record"), "arm").alias("arm"), "prompt_version", "field", "rule", "low", "high", "whole", "allowed", "other", F.map_contains_key("record", F.col("field")).alias("present"), of(F.col("field")).alias("v"), of(F.col("other")).alias("o"), of(F.get("allowed", F.lit(0))).alias("w"))
-    kinds = values.withColumns({"vk": _kind(F.col("v")), "vt": F.try_variant_get("v", "$", "string"), "vj": F.to_json("v"), "on": _number(F.col("o"), _kind(F.col("o"))), "wn": _number(F.col("w"), _kind(F.col("w")))})
-    kinds = kinds.withColumn("vn", _number(F.col("v"), F.col("vk")))
+    sums = F.col("rule") == "sum"
+    values = beside.select("paper_id", text_of(F.col("record"), "arm").alias("arm"), "prompt_version", "field", "rule", "low", "high", "whole", "allowed", "other", of(F.col("field")).alias("v"), F.when(F.col("other").isNotNull(), of(F.col("other"))).alias("o"), F.when(sums, of(F.get("allowed", F.lit(0)))).alias("w"))
+    kinds = values.withColumns({"vk": _kind(F.col("v")), "vt": F.try_variant_get("v", "$", "string"), "on": _number(F.col("o"), _kind(F.col("o"))), "wn": _number(F.col("w"), _kind(F.col("w")))})
+    kinds = kinds.withColumns({"vn": _number(F.col("v"), F.col("vk")), "vj": F.when(F.col("vk").startswith("ARRAY"), F.to_json("v"))})
     return kinds.select("paper_id", "arm", "prompt_version", F.explode(_judged()).alias("f")).select("paper_id", "arm", "f.*", "prompt_version")
 
 
-def unknown_fields(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fields that the record's disease does not require; ``_metadata`` is known to all."""
-    known = rules.where("kind = 'required'").groupBy(F.col("disease").alias("_d")).agg(F.collect_set("field").alias("known"))
-    objects = found.where(F.col("record").isNotNull()).join(few(known), F.col("disease") == F.col("_d"), "left")
-    extra = F.array_except(F.map_keys("record"), F.concat(F.coalesce("known", F.array().cast("array<string>")), F.array(F.lit("_metadata"))))
-    each = F.transform(extra, lambda x: checks.finding("ERROR", "schema_extra_field", x))
-    return objects.select("paper_id", text_of(F.col("record"), "arm").alias("arm"), "prompt_version", F.explode(each).alias("f")).select("paper_id", "arm", "f.*", "prompt_version")
+def known_fields(rules: DataFrame) -> DataFrame:
+    """``(_d, known)``: the fields that a disease requires, as often as it has the rule."""
+    return rules.where("kind = 'required'").groupBy(F.col("disease").alias("_d")).agg(F.sort_array(F.collect_list("field")).alias("known"))
+
+
+def field_checks(record: Column, known: Column) -> list[Column]:
+    """Required fields that the record lacks, and fields that its disease does not require; ``_metadata`` is known to all."""
+    known, names = F.coalesce(known, F.array().cast("array<string>")), F.map_keys(record)
+    extra, lacking = F.array_except(names, F.concat(known, F.array(F.lit("_metadata")))), F.filter(known, lambda x: ~F.array_contains(names, x))
+    return [
+        F.transform(lacking, lambda x: checks.finding("ERROR", "schema_missing_field", F.concat(x, F.lit(": is missing")))),
+        F.transform(extra, lambda x: checks.finding("ERROR", "schema_extra_field", x)),
+    ]
 
 
 def record_checks(record: Column, paper: Column) -> list[Column]:
@@ -175,17 +185,20 @@ def validate_files(files: DataFrame, rules: DataFrame, equal: tuple[str, ...] =
     parsed once, into a table of typed records that all layers read; only the
     checks across arms shuffle.
     """
-    found = written(records(files), "records")
-    objects = found.where(F.col("record").isNotNull())
     record, none = F.col("record"), F.lit(None).cast("string")
-    own = F.flatten(F.array(*[F.coalesce(c, F.array().cast(f"array<{checks.ITEM}>")) for c in more(record, F.col("paper_id"))]))
-    single = objects.select("paper_id", text_of(record, "arm").alias("arm"), "prompt_version", F.explode(own).alias("f")).select("paper_id", "arm", "f.*", "prompt_version")
     stated = F.try_variant_get(F.try_element_at(record, F.lit("_metadata")), "$.study_info.n_arms", "int")
-    arms = objects.select("paper_id", text_of(record, "arm").alias("arm"), "prompt_version", F.when(F.col("position") == 0, stated).alias("n_arms"), *(text_of(record, c).alias(c) for c in equal))
+    # What the checks across arms ask for has its own columns, so that they read no records.
+    asked = {"arm": text_of(record, "arm"), "n_arms": F.when(F.col("position") == 0, stated)} | {f"equal_{i}": text_of(record, c) for i, c in enumerate(equal)}
+    found = written(records(files).withColumns(asked), "records")
+    objects = found.where(record.isNotNull()).join(few(known_fields(rules)), F.col("disease") == F.col("_d"), "left")
+    own = [F.coalesce(c, F.array().cast(f"array<{checks.ITEM}>")) for c in [*field_checks(record, F.col("known")), *more(record, F.col("paper_id"))]]
+    # Worked out before the explode, where parts that checks share are worked out once.
+    single = objects.select("paper_id", "arm", "prompt_version", F.flatten(F.array(*own)).alias("own")).select("paper_id", "arm", "prompt_version", F.explode("own").alias("f")).select("paper_id", "arm", "f.*", "prompt_version")
+    arms = found.where(F.col("kind") == "OBJECT").select("paper_id", "arm", "prompt_version", "n_arms", *(F.col(f"equal_{i}").alias(c) for i, c in enumerate(equal)))
     across = checks.whole_paper(arms, "paper_id", "arm", list(equal), arms.select("paper_id", "n_arms"))
     versions = arms.groupBy("paper_id").agg(F.max("prompt_version").alias("prompt_version"))
     across = across.join(versions, "paper_id").select("paper_id", none.alias("arm"), "severity", "category", "message", "fix_field", "fix_value", "prompt_version")
-    parts = [structure(found), rule_findings(found, rules), unknown_fields(found, rules), single, across]
+    parts = [structure(found), rule_findings(found, rules), single, across]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

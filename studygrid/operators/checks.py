@@ -35,7 +35,9 @@ def finding(severity: str, category: str, message: Column, fix_field=None, fix_v
 
 def only(*tests: tuple[Column, Column]) -> Column:
     """The findings whose test holds; an unknown test does not."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), item) for test, item in tests]))
+    # Arrays put together without a lambda, which would leave its whole argument to interpreted evaluation.
+    none = F.array().cast(f"array<{ITEM}>")
+    return F.concat(*[F.when(F.coalesce(test, F.lit(False)), F.array(item.cast(ITEM))).otherwise(none) for test, item in tests])
 
 
 def _say(*parts) -> Column:

@@ -93,3 +93,14 @@ def test_vocabulary(spark):
     found = c.vocabulary_issues(df, words)
     assert {(r["value"], r["issue"], r["expected"]) for r in found.collect()} == {x for x in rows if x[1]}
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checks_of_records_are_compiled_and_objects_need_no_schema(spark):
+    from pyspark.sql import functions as F
+
+    from studygrid.operators import checks
+
+    one = spark.range(1).select(checks.only((F.col("id") == 0, checks.finding("ERROR", "x", F.lit("m"), "f", 1)), (F.lit(None).cast("boolean"), checks.finding("ERROR", "y", F.lit("m")))).alias("f"))
+    assert "lambda" not in one._jdf.queryExecution().optimizedPlan().toString() and [x["category"] for x in one.first()["f"]] == ["x"]
+    files = spark.createDataFrame([("1", "dm", '[{"a": [1, {"b": 2}]}, 3, null]')], "paper_id string, disease string, text string")
+    assert [r["kind"] for r in c.records(files).orderBy("position").collect()] == ["OBJECT", "BIGINT", "VOID"]
