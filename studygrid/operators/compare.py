@@ -70,17 +70,20 @@ def diff_pairs(runs: DataFrame, paper: str = "paper_id", arm: str = "arm", run:
     long = runs.where(~F.col("field_name").isin(*ignore)).select(F.col(paper).alias("p"), F.col(arm).alias("a"), F.col(run).alias("r"), F.col("field_name").alias("f"), F.col("value").cast("string").alias("v"))
     # Dealt by arm, records need no other exchange for their fields, nor to meet the runs of their arm.
     dealt = long.repartition("p", "a")
-    arms = dealt.groupBy("p", "a").agg(F.array_sort(F.collect_set("r")).alias("runs"))
-    fields = dealt.groupBy("p", "a", "f").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("cells")).join(arms, ["p", "a"])
-    spread = lambda names: F.filter(F.flatten(F.transform(names, lambda x: F.transform(names, lambda y: F.struct(x.alias("x"), y.alias("y"))))), lambda t: t["x"] < t["y"])
-    at = lambda r: F.get(F.filter("cells", lambda c: c["r"] == r), F.lit(0))["v"]
-    pairs = fields.select("p", "a", "f", F.explode(F.transform(spread(F.col("runs")), lambda t: F.struct(t["x"].alias("run_a"), t["y"].alias("run_b"), at(t["x"]).alias("value_a"), at(t["y"]).alias("value_b")))).alias("d"))
-    differ = pairs.where(~F.col("d.value_a").eqNullSafe(F.col("d.value_b"))).select(F.col("p").alias(paper), "d.run_a", "d.run_b", F.col("a").cast("string").alias(arm), F.col("f").alias("field"), "d.value_a", "d.value_b")
-    of_paper = arms.select("p", F.explode("runs").alias("r")).distinct().groupBy(F.col("p").alias("q")).agg(F.array_sort(F.collect_list("r")).alias("every"))
-    lacking = arms.select("p", "a", "runs").join(of_paper, F.col("p") == F.col("q")).where(F.size("runs") < F.size("every"))
-    sides = lacking.select("p", "a", "runs", F.explode(spread(F.col("every"))).alias("t")).where(F.array_contains("runs", F.col("t.x")) != F.array_contains("runs", F.col("t.y")))
+    arms = long.groupBy("p", "a").agg(F.sort_array(F.collect_set("r")).alias("runs"))
+    cells = dealt.groupBy("p", "a", "f").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("cells")).select("p", "a", "f", F.col("cells.r").alias("rs"), F.col("cells.v").alias("vs"))
+    fields = cells.withColumn("runs", F.sort_array(F.array_distinct(F.flatten(F.collect_set("rs").over(Window.partitionBy("p", "a"))))))
+    # Pairs by two explodes and values by place, not by lambdas, whose evaluation is interpreted.
+    spread = lambda df, names, *keep: df.select(*keep, F.explode(names).alias("x")).select("*", F.explode(names).alias("y")).where("x < y")
+    at = lambda r: F.get("vs", F.array_position("rs", r).cast("int") - 1)
+    may_differ = (F.size("rs") < F.size("runs")) | (F.size(F.array_distinct("vs")) > 1)
+    pairs = spread(fields.where(may_differ), F.col("runs"), "p", "a", "f", "rs", "vs", "runs").select("p", "a", "f", "x", "y", at(F.col("x")).alias("value_a"), at(F.col("y")).alias("value_b"))
+    differ = pairs.where(~F.col("value_a").eqNullSafe(F.col("value_b"))).select(F.col("p").alias(paper), F.col("x").alias("run_a"), F.col("y").alias("run_b"), F.col("a").cast("string").alias(arm), F.col("f").alias("field"), "value_a", "value_b")
+    of_paper = arms.select(F.col("p").alias("q"), F.explode("runs").alias("r")).groupBy("q").agg(F.sort_array(F.collect_set("r")).alias("every"))
+    lacking = arms.join(of_paper, F.col("p") == F.col("q")).where(F.size("runs") < F.size("every"))
+    sides = spread(lacking, F.col("every"), "p", "a", "runs", "every").where(F.array_contains("runs", F.col("x")) != F.array_contains("runs", F.col("y")))
     word = lambda r: F.when(F.array_contains("runs", r), "present").otherwise("missing")
-    status = sides.select(F.col("p").alias(paper), F.col("t.x").alias("run_a"), F.col("t.y").alias("run_b"), F.col("a").cast("string").alias(arm), F.lit("_status").alias("field"), word(F.col("t.x")).alias("value_a"), word(F.col("t.y")).alias("value_b"))
+    status = sides.select(F.col("p").alias(paper), F.col("x").alias("run_a"), F.col("y").alias("run_b"), F.col("a").cast("string").alias(arm), F.lit("_status").alias("field"), word(F.col("x")).alias("value_a"), word(F.col("y")).alias("value_b"))
     return differ.unionByName(status)
 
 

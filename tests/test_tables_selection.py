@@ -153,3 +153,10 @@ def test_baseline_table(spark):
     got = {r["variable"]: tuple(r)[1:] for r in tables.baseline_comparison(pooled, cohorts, ["ECLIPSE", "Nijmegen"]).collect()}
     assert got["age"] == ("69.8", "[68.4, 71.2]", "0.72", 59, "63.4 (7.1)", "2164", "60.0", "168")
     assert got["bmi"] == ("26.5", "—", "—", 1, "—", "—", "—", "—")
+
+
+def test_diff_pairs_shuffles_records_once_and_has_no_lambda(spark):
+    df = spark.createDataFrame([("r1", "1", "t", "x", "a"), ("r2", "1", "t", "x", "b")], "run string, paper_id string, arm string, field_name string, value string")
+    plan = compare.diff_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    assert plan.count("REPARTITION_BY_COL") == 1
