@@ -47,13 +47,16 @@ def diff_documents(diffs: DataFrame, paper: str = "paper_id") -> DataFrame:
 
     It lists the fields of one paper, so a row is as long as the paper's differences.
     """
-    row = F.struct(F.col("arm"), F.col("field"), F.col("value_a"), F.col("value_b"))
-    listed = diffs.groupBy(paper, "run_a", "run_b").agg(F.array_sort(F.collect_list(row)).alias("d"))
     shown = lambda c, width: F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
     word = lambda c: F.coalesce(c, F.lit("None"))
     cells = lambda a, f, x, y: F.concat(F.lit("| "), shown(a, 25), F.lit(" | "), shown(f, 35), F.lit(" | "), shown(x, 25), F.lit(" | "), y, F.lit(" |"))
-    lines = F.transform("d", lambda t: cells(word(t["arm"]), t["field"], word(t["value_a"]), word(t["value_b"])))
+    names = ("arm", "field", "value_a", "value_b")
+    # Lines are made of rows that are dealt to their pair already, so they do not shuffle.
+    dealt = diffs.select(paper, "run_a", "run_b", *names).repartition(paper, "run_a", "run_b")
+    line = cells(word(F.col("arm")), F.col("field"), word(F.col("value_a")), word(F.col("value_b")))
+    listed = dealt.withColumn("line", line).groupBy(paper, "run_a", "run_b").agg(F.sort_array(F.collect_list(F.struct(*names, "line"))).alias("d"))
     n = F.size("d")
     title = F.concat(F.lit("## "), F.col("run_a"), F.lit(" vs "), F.col("run_b"), F.lit(" ("), n.cast("string"), F.lit(" difference"), F.when(n == 1, "").otherwise("s"), F.lit(")\n"))
     head = F.array(title, cells(F.lit("ARM"), F.lit("FIELD"), F.col("run_a"), F.col("run_b")), F.lit("|" + "|".join("-" * k for k in (27, 37, 27, 20)) + "|"))
-    return listed.select(paper, "run_a", "run_b", n.alias("n"), F.to_json("d", {"ignoreNullFields": "false"}).alias("document"), F.concat(F.array_join(F.concat(head, lines), "\n"), F.lit("\n")).alias("markdown"))
+    plain = F.arrays_zip(*[F.col(f"d.{c}") for c in names]).cast("array<struct<" + ",".join(f"{c}:string" for c in names) + ">>")
+    return listed.select(paper, "run_a", "run_b", n.alias("n"), F.to_json(plain, {"ignoreNullFields": "false"}).alias("document"), F.concat(F.array_join(F.concat(head, F.col("d.line")), "\n"), F.lit("\n")).alias("markdown"))

@@ -127,3 +127,10 @@ def test_keys_by_side(spark):
     rows = spark.createDataFrame([("f", [("b", "1"), ("a", "1")], [("c", "2")]), ("f", [("a", "3")], None), ("g", None, [])], f"field string, a {kind}, b {kind}")
     found = {(r["field"], r["side"]): (r["keys"], r["n_keys"], r["n_known"]) for r in groups.key_audit_by_side(rows, "field", {"A": "a", "B": "b"}).collect()}
     assert found == {("f", "A"): ("a; b", 2, 2), ("f", "B"): ("c", 1, 1), ("g", "A"): ("", 0, 0), ("g", "B"): ("", 0, 1)}
+
+
+def test_diff_documents_have_no_lambda(spark):
+    diffs = spark.createDataFrame([("1", "a", "b", "t", "f", None, "y"), ("1", "a", "b", None, "f", "x", "y")], "paper_id string, run_a string, run_b string, arm string, field string, value_a string, value_b string")
+    out = exports.diff_documents(diffs)
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first()["document"] == '[{"arm":null,"field":"f","value_a":"x","value_b":"y"},{"arm":"t","field":"f","value_a":null,"value_b":"y"}]'
