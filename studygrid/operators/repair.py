@@ -38,9 +38,11 @@ def rename_arms(df: DataFrame, paper: str, arm: str, position: str) -> DataFrame
     named = F.col(arm).rlike("^(treat|control)")
     loose = ~named & ~F.col(arm).rlike(CONTROL)
     number = F.regexp_extract(F.col(arm), r"^treat(\d+)", 1).try_cast("int")
-    w = Window.partitionBy(paper)
-    nth = F.sum(F.coalesce(loose, F.lit(False)).cast("int")).over(w.orderBy(position, arm).rowsBetween(Window.unboundedPreceding, 0))
-    fresh = F.concat(F.lit("treat"), (F.coalesce(F.max(number).over(w), F.lit(0)) + nth).cast("string"))
+    # One order for both frames, so that rows are sorted once.
+    w = Window.partitionBy(paper).orderBy(position, arm)
+    nth = F.sum(F.coalesce(loose, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    greatest = F.max(number).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    fresh = F.concat(F.lit("treat"), (F.coalesce(greatest, F.lit(0)) + nth).cast("string"))
     return df.withColumn("new_arm", F.when(named | F.col(arm).isNull(), F.col(arm)).when(loose, fresh).otherwise("control"))
 
 

@@ -129,3 +129,10 @@ def test_report_tables(spark):
     assert [tuple(r) for r in tables.characteristics(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "x int, c string"), ["x"], ["c"]).collect()] == [("n", "3"), ("x", "2.00 (1.00 to 3.00)"), ("c", "b (2), a (1)")]
     report = tables.json_report(spark.createDataFrame([("1", "ERROR"), ("2", "WARNING"), ("2", "INFO")], "paper_id string, severity string"), spark.createDataFrame([("1",), ("2",), ("3",)], "paper_id string"), {"run": "r"}).first()
     assert json.loads(report["report"]) == {"run": "r", "counts": {"ERROR": 1, "WARNING": 1, "INFO": 1}, "papers_with_errors": ["1"], "papers_with_warnings": ["2"], "clean_papers": ["3"]}
+
+
+def test_rename_arms_sorts_once(spark):
+    df = spark.createDataFrame([("1", "treat2", 1), ("1", "new", 2)], "p string, arm string, pos int")
+    out = repair.rename_arms(df, "p", "arm", "pos")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1 and out.where("arm = 'new'").first()["new_arm"] == "treat3"
