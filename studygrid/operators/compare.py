@@ -12,22 +12,23 @@ def diff_runs(a: DataFrame, b: DataFrame, paper: str, arm: str, ignore: tuple[st
     """``(paper, arm, field, value_a, value_b)`` of long runs ``(paper, arm, field_name, value)``.
 
     A paper or arm that one side lacks gives one ``_status`` row in place of its
-    fields. One full outer join of the fields carries both levels: what is there
-    is counted over the paper and the arm.
+    fields. Fields shuffle once, to their arm, where both sides meet by one sort;
+    what is there is told on a row for each arm. Repeated fields give all pairs.
     """
-    keys = [paper, arm, "field_name"]
-    left = a.where(~F.col("field_name").isin(*ignore)).select(*keys, F.col("value").cast("string").alias("value_a"), F.lit(True).alias("in_a"))
-    right = b.where(~F.col("field_name").isin(*ignore)).select(*keys, F.col("value").cast("string").alias("value_b"), F.lit(True).alias("in_b"))
-    both = left.join(right, keys, "full_outer")
-    has = lambda side, *by: F.coalesce(F.bool_or(F.col(side)), F.lit(False))
-    papers = both.groupBy(paper).agg(has("in_a").alias("pa"), has("in_b").alias("pb"))
-    arms = both.groupBy(paper, arm).agg(has("in_a").alias("aa"), has("in_b").alias("ab"))
+    side = lambda df, in_a: df.where(~F.col("field_name").isin(*ignore)).select(paper, arm, "field_name", F.col("value").cast("string").alias("value"), F.lit(in_a).alias("in_a"))
+    long, mine = side(a, True).unionByName(side(b, False)), F.col("in_a")
+    values = lambda own: F.collect_list(F.when(own, F.struct("value")))
+    cells = long.repartition(paper, arm).groupBy(paper, arm, "field_name").agg(values(mine).alias("xs"), values(~mine).alias("ys"))
+    of_arm = Window.partitionBy(paper, arm)
+    shared = cells.withColumns({"aa": F.max(F.size("xs") > 0).over(of_arm), "ab": F.max(F.size("ys") > 0).over(of_arm)}).where(F.col("aa") & F.col("ab") & F.col(paper).isNotNull() & F.col(arm).isNotNull())
+    pairs = shared.select(paper, arm, "field_name", "ys", F.explode_outer("xs").alias("x")).select(paper, arm, "field_name", "x", F.explode_outer("ys").alias("y"))
+    fields = pairs.select(paper, F.col(arm).cast("string").alias(arm), F.col("field_name").alias("field"), F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b")).where(~F.col("value_a").eqNullSafe(F.col("value_b")))
+    arms = long.groupBy(paper, arm).agg(F.bool_or(mine).alias("aa"), F.bool_or(~mine).alias("ab"))
+    papers = arms.groupBy(paper).agg(F.bool_or("aa").alias("pa"), F.bool_or("ab").alias("pb"))
     word = lambda c: F.when(F.col(c), "present").otherwise("missing")
     one_paper = papers.where("pa <> pb").select(paper, F.lit(None).cast("string").alias(arm), F.lit("_status").alias("field"), word("pa").alias("value_a"), word("pb").alias("value_b"))
-    shared = arms.join(papers.where("pa and pb").select(paper), paper)
-    one_arm = shared.where("aa <> ab").select(paper, F.col(arm).cast("string").alias(arm), F.lit("_status").alias("field"), word("aa").alias("value_a"), word("ab").alias("value_b"))
-    fields = both.join(shared.where("aa and ab").select(paper, arm), [paper, arm]).where(~F.col("value_a").eqNullSafe(F.col("value_b")))
-    fields = fields.select(paper, F.col(arm).cast("string").alias(arm), F.col("field_name").alias("field"), "value_a", "value_b")
+    one_arm = arms.where("aa <> ab").join(papers.where("pa and pb").select(paper), paper)
+    one_arm = one_arm.select(paper, F.col(arm).cast("string").alias(arm), F.lit("_status").alias("field"), word("aa").alias("value_a"), word("ab").alias("value_b"))
     return one_paper.unionByName(one_arm).unionByName(fields)
 
 

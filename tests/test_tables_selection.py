@@ -160,3 +160,13 @@ def test_diff_pairs_shuffles_records_once_and_has_no_lambda(spark):
     plan = compare.diff_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan
     assert plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_diff_runs_meets_without_a_join_of_fields(spark):
+    schema = "p string, a string, field_name string, value string"
+    one = spark.createDataFrame([("1", "t", "x", "1"), ("1", "t", "x", "2"), ("1", None, "x", "1"), ("1", "t", "y", None), ("1", "t", "z", "5")], schema)
+    two = spark.createDataFrame([("1", "t", "x", "1"), ("1", "t", "x", "3"), ("1", None, "x", "9"), ("1", "u", "y", "1"), ("2", "t", "x", "1")], schema)
+    got = compare.diff_runs(one, two, "p", "a")
+    want = [("1", "t", "x", "1", "3"), ("1", "t", "x", "2", "1"), ("1", "t", "x", "2", "3"), ("1", "t", "z", "5", None), ("1", "u", "_status", "missing", "present"), ("2", None, "_status", "missing", "present")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
