@@ -460,7 +460,8 @@ def adjudication_queue(spark, d):
 @query("""WITH o AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)
 SELECT CAST(l_orderkey AS VARCHAR) AS cov_nr, CAST(l_linenumber AS VARCHAR) AS arm, l_returnflag || '~1' AS items, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE '' END AS n, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END AS note FROM o""")
 def wide_records(spark, d):
-    rows = _lines(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").cast("long").alias("q"))
+    # Lines are dealt first, so that none is sorted before its shuffle.
+    rows = _lines(spark, d).select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").repartition("l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").cast("long").alias("q"))
     n = F.col("l_linenumber")
     values = {"items": F.concat(F.lit('["'), "flag", F.lit('", 1]')), "n": F.when(n % 2 == 0, F.col("q").cast("string")), "note": F.when(n % 3 == 0, "null").otherwise(F.concat(F.lit('"'), "flag", F.lit('"')))}
     cells = F.array(*[F.struct(F.lit(k).alias("field_name"), v.alias("value")) for k, v in values.items()])

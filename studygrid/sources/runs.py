@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from studygrid.dealing import dealt
+
 KEYS = ("cov_nr", "arm")
 
 
@@ -86,24 +88,33 @@ def read_papers(spark: SparkSession, folder: str, diseases: tuple[str, ...] | No
     return table.select(path.alias("path"), disease.alias("disease"), F.substring(F.regexp_replace(F.url_decode(stem), "^#", ""), 1, 4).alias("cov_nr"), F.col("value").alias("text"))
 
 
+def _first_places(run: DataFrame, place: str | None) -> DataFrame:
+    """``(field_name, at, n, names)``: where each field comes first and how many values it has; with the set, of one name each, fields are found by hash and not by a sort of all values."""
+    at = F.struct(*KEYS, *([place] if place else []), "field_name")
+    return run.groupBy("field_name").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.collect_set("field_name").alias("names"))
+
+
 def wide_records(run: DataFrame, fields: list[str] | None = None, place: str | None = None) -> DataFrame:
     """A row for each record of a long run with JSON values, lists joined by ``~``, null as empty text, booleans as True and False.
 
     The columns are ``fields``, or all of the run in the order of their first
     place: by key, then the column ``place`` if there is one, then name. A field
-    that repeats in a record is an error.
+    that repeats in a record is an error. The run's values are counted, and dealt
+    to so many tasks that none sorts more than ``dealing.LARGE`` of them.
     """
     if fields is None:
-        first = run.groupBy("field_name").agg(F.min(F.struct(*KEYS, *([place] if place else []), "field_name")).alias("at")).orderBy("at")
-        fields = [r["field_name"] for r in first.limit(10_001).collect()]
-        if len(fields) > 10_000:
+        found = _first_places(run, place).orderBy("at").limit(10_001).collect()
+        if len(found) > 10_000:
             raise ValueError("more than 10,000 fields")
+        fields, n = [r["field_name"] for r in found], sum(r["n"] for r in found)
+    else:
+        n = run.where(F.col("field_name").isin(*fields)).count()
     value = F.try_parse_json("value")
     kind = lambda x: F.schema_of_variant(x)
     plain = lambda x: F.when(kind(x) == "BOOLEAN", F.initcap(F.try_variant_get(x, "$", "string"))).otherwise(F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
     listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.when(kind(x) == "VOID", "None").otherwise(plain(x)))
     text = F.coalesce(F.array_join(listed, "~"), F.when(value.isNull(), F.col("value")).when(kind(value) != "VOID", plain(value)))
-    cells = run.where(F.col("field_name").isin(*fields)).select(*KEYS, "field_name", text.alias("value"))
+    cells = dealt(run.where(F.col("field_name").isin(*fields)).select(*KEYS, "field_name", text.alias("value")), n, *KEYS)
     wide = cells.groupBy(*KEYS).pivot("field_name", fields).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
     cell = lambda c: F.when(F.col(f"`{c}_n`") > 1, F.raise_error(F.concat(F.lit(f"{c} repeats in "), F.concat_ws(" ", *KEYS)))).otherwise(F.coalesce(F.col(f"`{c}_v`"), F.lit("")))
     return wide.select(*KEYS, *(cell(c).alias(c) for c in fields))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from studygrid import dealing
 from studygrid.operators import recode
 from studygrid.sources import dialects, runs
 
@@ -75,6 +76,17 @@ def test_prior_rows(spark):
     assert [tuple(r) for r in dialects.prior_rows(df, {"Cov nr": "cov_nr", "Group": "arm", "Age": "age_mean"}).collect()] == [("0009", "treat2", None), ("0157", "control", "65"), ("12345", "treat1", None)]
 
 
+def test_wide_records_sort_bounded_tasks(spark):
+    """No value is sorted before its shuffle or for the header, and a task's share does not grow with the run."""
+    assert [dealing.tasks(n) for n in (0, 50_000, 50_001, 10_000_000, 800_000_000, 800_000_001)] == [1, 1, 2, 200, 200, 201]
+    df = spark.createDataFrame([("1", "control", 0, "b", "1"), ("2", "treat1", 1, "a", "2")], "cov_nr string, arm string, place int, field_name string, value string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    header, wide = plan(runs._first_places(df, "place")), plan(runs.wide_records(df, place="place"))
+    assert "SortAggregate" not in header and "ObjectHashAggregate" in header
+    assert wide.count("Exchange ") == wide.count("REPARTITION_BY_NUM") == 1
+    assert "Sort" not in wide[wide.index("Exchange "):]
+
+
 def test_wide_records_find_their_header(spark, tmp_path):
     rows = [("1", "control", 2, "z", '"last"'), ("1", "control", 0, "b", "1.5"), ("1", "control", 1, "a", '["x", 2, null]'), ("1", "treat1", 0, "new", "true"), ("1", "treat1", 1, "a", "null"), ("0", "treat1", 5, "c", '{"k": 1}')]
     df = spark.createDataFrame(rows, "cov_nr string, arm string, place int, field_name string, value string")
