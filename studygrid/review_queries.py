@@ -14,7 +14,9 @@ ARMS = "WITH o AS (SELECT l_orderkey AS p, l_linenumber AS a, min(l_returnflag)
 
 def _reviewed_run(spark, d):
     """A run of all order lines, and reviewed rows that set a number, lengthen a list, and add a field."""
-    arms = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.max("l_quantity").cast("long").alias("q"))
+    # Lines are dealt first, so that none is sorted before its shuffle.
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").repartition("l_orderkey", "l_linenumber")
+    arms = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.max("l_quantity").cast("long").alias("q"))
     cells = F.array(F.struct(F.lit("n").alias("field_name"), F.col("q").cast("string").alias("value")), F.struct(F.lit("items").alias("field_name"), F.concat(F.lit('["'), "f", F.lit(': 1"]')).alias("value")))
     run = arms.select(F.col("l_orderkey").cast("string").alias("cov_nr"), F.col("l_linenumber").cast("string").alias("arm"), F.inline(cells))
     o, p = table(spark, d, "orders"), F.col("o_orderkey")

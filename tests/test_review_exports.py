@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from studygrid import dealing
 from studygrid.operators import compare, groups, review
 from studygrid.sources import exports, sheets
 from studygrid.sources import runs as run_files
@@ -134,3 +135,17 @@ def test_diff_documents_have_no_lambda(spark):
     out = exports.diff_documents(diffs)
     assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.first()["document"] == '[{"arm":null,"field":"f","value_a":"x","value_b":"y"},{"arm":"t","field":"f","value_a":null,"value_b":"y"}]'
+
+
+def test_fixes_shuffle_values_once(spark, monkeypatch):
+    """Run and audit have one exchange of values and one of fixes, both to the counted tasks; an arm without any fix, repeated fields and unknown papers stay."""
+    monkeypatch.setattr(dealing, "SMALL", 2)
+    run = spark.createDataFrame([("1", "a", "n", "5"), ("1", "a", "n", "6"), ("1", "b", "k", "true"), ("1", None, "n", "1"), (None, "a", "n", "7"), ("2", "a", "n", "8"), ("3", "a", None, "9")], "cov_nr string, arm string, field_name string, value string")
+    plan = spark.createDataFrame([("1", "n", "", "a", 0, "x", "fixed", "r", True), ("1", "n", "", "", 1, "y", "fixed", "r", True), ("3", "n", "", "", 0, "z", "fixed", "r", True), ("9", "n", "", "", 0, "z", "fixed", "r", True)], "paper_id string, category string, message string, arm string, place long, proposed string, status string, resolution string, apply_fix boolean")
+    new, audit = review.written_fixes(run, plan)
+    for df in (new, audit):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange ") == text.count("REPARTITION_BY_NUM") == 2
+    y = '"y"'
+    assert sorted(map(tuple, new.collect()), key=str) == sorted([("1", "a", "n", y), ("1", "a", "n", y), ("1", "b", "k", "true"), ("1", "b", "n", y), ("1", None, "n", y), (None, "a", "n", "7"), ("2", "a", "n", "8"), ("3", "a", None, "9"), ("3", "a", "n", '"z"')], key=str)
+    assert sorted(tuple(r)[:5] for r in audit.where("arm is not null").collect() if r["old_value"]) == [("1", "a", "n", "5", y), ("1", "a", "n", "6", y)]
