@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from studygrid.scratch import written
-
 
 def diff_runs(a: DataFrame, b: DataFrame, paper: str, arm: str, ignore: tuple[str, ...] = ("_metadata",)) -> DataFrame:
     """``(paper, arm, field, value_a, value_b)`` of long runs ``(paper, arm, field_name, value)``.
@@ -94,24 +92,35 @@ def compare_by_place(a: DataFrame, b: DataFrame, paper: str = "paper_id", place:
     The arms of a paper that both have, from 0 on, are compared; a value that is
     missing is an empty text, so a field that both lack is the same. ``sample``
     has the first ``paper_place`` that differ, by paper and place. Fields that are
-    new or removed have no counts. Only the differing rows that may be in a sample
-    shuffle for it.
+    new or removed have no counts.
+
+    Both runs meet in their arm by one sort; where they are already dealt by paper
+    or arm, nothing shuffles but the differing rows that may be in a sample, and
+    counts. Repeated fields give all pairs.
     """
-    side = lambda df, v: df.where(~F.col("field_name").isin(*ignore)).select(F.col(paper).alias("p"), F.col(place).alias("i"), "field_name", F.coalesce(F.col("value").cast("string"), F.lit("")).alias(v))
-    left, right = side(a, "va"), side(b, "vb")
-    arms = lambda df: df.select(F.col(paper).alias("p"), F.col(place).alias("i")).distinct()
-    common_arms = written(arms(a).join(arms(b), ["p", "i"]), "places")
-    both = left.join(right, ["p", "i", "field_name"], "full_outer").join(common_arms, ["p", "i"])
-    empty = F.lit("")
-    differ = both.where(F.coalesce("va", empty) != F.coalesce("vb", empty)).select("field_name", "p", "i")
+    # Ignored fields have no name here, but tell that their arm is there.
+    field = F.when(~F.col("field_name").isin(*ignore), F.col("field_name")).alias("field_name")
+    side = lambda df, in_a: df.select(F.col(paper).alias("p"), F.col(place).alias("i"), field, F.coalesce(F.col("value").cast("string"), F.lit("")).alias("v"), F.lit(in_a).alias("in_a"))
+    of_arm = Window.partitionBy("p", "i").orderBy("field_name")
+    whole = of_arm.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mine, there = F.col("in_a"), F.col("p").isNotNull() & F.col("i").isNotNull()
+    rows = side(a, True).unionByName(side(b, False)).withColumns({"aa": F.max("in_a").over(whole), "ab": F.max(~mine).over(whole), "k": F.row_number().over(of_arm)})
+    cells = rows.groupBy("p", "i", "field_name").agg(F.collect_list(F.when(mine, F.col("v"))).alias("xs"), F.collect_list(F.when(~mine, F.col("v"))).alias("ys"), F.min("k").alias("k"), F.bool_and(F.col("aa") & F.col("ab") & there).alias("both"))
+    # What is missing is an empty text; all pairs are made only of repeated fields.
+    or_empty = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("")))
+    unlike = F.aggregate(F.transform(or_empty("xs"), lambda x: F.size(F.filter(or_empty("ys"), lambda y: x != y))), F.lit(0), lambda n, x: n + x)
+    one = (F.coalesce(F.get("xs", F.lit(0)), F.lit("")) != F.coalesce(F.get("ys", F.lit(0)), F.lit(""))).cast("int")
+    cells = cells.withColumn("n", F.when(~F.col("both"), 0).when((F.size("xs") < 2) & (F.size("ys") < 2), one).otherwise(unlike))
     first = Window.partitionBy("field_name").orderBy("p", "i")
+    differ = cells.where("n > 0 and field_name is not null").select("field_name", "p", "i", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("_one"))
     few = differ.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
     name = F.concat_ws("_", F.col("p").cast("string"), F.col("i").cast("string"))
     samples = few.groupBy("field_name").agg(F.array_sort(F.collect_list(F.struct("k", name.alias("x")))).alias("s"))
-    counts = differ.groupBy("field_name").agg(F.count("*").alias("diff"))
-    zipped = common_arms.agg(F.count("*").alias("arms"))
-    found = field_presence(a.where(~F.col("field_name").isin(*ignore)), b.where(~F.col("field_name").isin(*ignore)))
-    out = found.join(counts, "field_name", "left").join(samples, "field_name", "left").crossJoin(F.broadcast(zipped))
-    common, diff = F.col("presence") == "common", F.coalesce("diff", F.lit(0))
+    found = cells.groupBy("field_name").agg(F.bool_or(F.size("xs") > 0).alias("in_a"), F.bool_or(F.size("ys") > 0).alias("in_b"), F.sum("n").alias("diff"), F.count_if(F.col("both") & (F.col("k") == 1)).alias("own"))
+    # Rows of ``found`` are the fields; each arm is counted at its first.
+    found = found.withColumn("arms", F.sum("own").over(Window.partitionBy())).where("field_name is not null")
+    out = found.join(samples, "field_name", "left")
+    presence = F.when(~F.col("in_a"), "new").when(~F.col("in_b"), "removed").otherwise("common")
+    common = presence == "common"
     when = lambda x: F.when(common, x)
-    return out.select("field_name", "presence", when(F.when(diff == 0, "SAME").otherwise("DIFF")).alias("status"), when(F.col("arms") - diff).alias("same"), when(diff).alias("diff"), when(F.coalesce(F.transform("s", lambda s: s["x"]), F.array().cast("array<string>"))).alias("sample"))
+    return out.select("field_name", presence.alias("presence"), when(F.when(F.col("diff") == 0, "SAME").otherwise("DIFF")).alias("status"), when(F.col("arms") - F.col("diff")).alias("same"), when(F.col("diff")).alias("diff"), when(F.coalesce(F.transform("s", lambda s: s["x"]), F.array().cast("array<string>"))).alias("sample"))

@@ -367,7 +367,8 @@ def compare_by_place(spark, d):
     rows = at.select("paper_id", "place", F.col("y.l_returnflag").alias("flag"), F.col("y.l_linestatus").alias("status"), F.concat("y.l_returnflag", F.col("y.k.l_linenumber").cast("string")).alias("mode"), F.col("y.k.l_quantity").alias("q"))
     a = rows.where("place < 4").withColumn("old", F.lit("1"))
     b = rows.where("paper_id % 3 <> 0").withColumn("fresh", F.lit("1")).withColumn("flag", F.when(F.col("q") > 30, "X").otherwise(F.col("flag"))).withColumn("status", F.when(F.col("place") != 1, F.col("status")))
-    long = lambda df, names: df.unpivot(["paper_id", "place"], names, "field_name", "value").where("value IS NOT NULL")
+    # By inline, as unpivot forgets that the rows are dealt by paper.
+    long = lambda df, names: df.select("paper_id", "place", F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in names]))).where("value IS NOT NULL")
     out = compare.compare_by_place(long(a, ["flag", "status", "mode", "old"]), long(b, ["flag", "status", "mode", "fresh"]))
     return out.withColumn("sample", F.array_join("sample", " "))
 

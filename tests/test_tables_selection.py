@@ -135,6 +135,25 @@ def test_arms_by_place(spark):
     assert got == {"n": ("common", "DIFF", 1, 9, ["1_1", "10_0", "11_0", "12_0", "13_0"]), "same": ("common", "SAME", 10, 0, []), "old": ("removed", None, None, None, None), "new": ("new", None, None, None, None)}
 
 
+def test_arms_by_place_meet_without_a_shuffle_of_values(spark):
+    """Against brute force with repeated fields and null keys; of runs that are dealt by paper only rows of samples and counts shuffle."""
+    rng = random.Random(5)
+    run = lambda: [(rng.choice(("1", "2", "3", None)), rng.choice((0, 1, 2, None)), rng.choice("xyz"), rng.choice(("", "1", "2", None))) for _ in range(60)]
+    a, b = run() + [("1", 0, "arm", "1")], [r for r in run() if r[0] != "3"]
+    dealt = lambda rows: spark.createDataFrame(rows, "paper_id string, place int, field_name string, value string").repartition("paper_id")
+    found = compare.compare_by_place(dealt(a), dealt(b), sample=1000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    at = lambda rows: {(p, i) for p, i, *_ in rows if p is not None and i is not None}
+    arms, want = at(a) & at(b), {}
+    for f in "xyz":
+        of = lambda rows, p, i: [r[3] or "" for r in rows if r[:3] == (p, i, f)] or [""]
+        differ = [f"{p}_{i}" for p, i in sorted(arms) for x in of(a, p, i) for y in of(b, p, i) if x != y]
+        want[f] = ("common", "DIFF", len(arms) - len(differ), len(differ), differ)
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == want
+    shuffles = [x for x in plan.split("\n") if "Exchange " in x]
+    assert sum("REPARTITION_BY_COL" in x for x in shuffles) == 4 and not any("hashpartitioning(p#" in x or "hashpartitioning(field_name" not in x and "SinglePartition" not in x for x in shuffles if "REPARTITION_BY_COL" not in x)
+
+
 def test_lookups_and_counts(spark):
     rows = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     joined, gaps = selection.with_lookup(rows, spark.createDataFrame([(1, 2020), (None, 1999)], "k int, year int"), "k", "year")
